@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("op8_token_output",)
+NAMES = ("op1_packing", "op8_token_output")
 
 
 def queries() -> dict:
