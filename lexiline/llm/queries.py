@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("op1_packing", "op3_chat_format", "op4_warc", "op8_token_output")
+NAMES = ("op1_packing", "op3_chat_format", "op4_warc", "op8_token_output", "op9_quality")
 
 
 def queries() -> dict:
