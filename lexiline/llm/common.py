@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that one step of a task holds at once; a longer single text is a step of its own.
 BATCH_BYTES = 4 << 20
@@ -34,6 +35,12 @@ def materialise(df: DataFrame, place: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{place}/{name}")
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value. Plain columns that a lambda uses get inlined, and then computed anew for each element,
+    wherever the optimizer pushes a filter below their projection; a bound one is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
