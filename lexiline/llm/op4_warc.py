@@ -2,7 +2,7 @@
 
 Headers (page, digest, length), not payloads, are shuffled by payload digest: the largest of each group becomes the
 response, the others refer to it. Records are written with fresh headers by Spark's text writer,
-whose line end is the end of a WARC record (CR LF CR LF), so every file is an archive as it stands and the
+whose line end is the end of a WARC record (CR LF CR LF), so every file is a (gzipped) archive as it stands and the
 writer's commit protocol covers lost tasks. Archives are read as whole files and cut by Content-Length.
 
 Only payloads of at least `least_bytes` are given up for a revisit record. Null html is an empty payload, a null url is
@@ -12,6 +12,7 @@ An empty table gives no records. Other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ def write_archives(resolved: DataFrame, path: str, records_per_file: int = 2000)
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _record_id(F.col("original")))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block,
     )
-    resolved.select(head.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    resolved.select(head.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 RECORD = "record_id string, record_type string, page_id long, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, payload binary"
@@ -71,16 +72,15 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                data, at, rows = memoryview(content.as_buffer()), 0, []
-                raw = content.as_buffer()
+                data, at, rows = gzip.decompress(content.as_buffer()), 0, []
                 while at < len(data):
-                    end = raw.slice(at, min(1 << 16, len(data) - at)).to_pybytes().index(b"\r\n\r\n") + at
-                    lines = bytes(data[at:end]).decode().split(CRLF)
+                    end = data.index(b"\r\n\r\n", at)
+                    lines = data[at:end].decode().split(CRLF)
                     assert lines[0] == "WARC/1.1", lines[0]
                     head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
                     first, size = end + 4, int(head["content-length"])
-                    block = bytes(data[first : first + size])
-                    assert bytes(data[first + size : first + size + 4]) == b"\r\n\r\n"
+                    block = data[first : first + size]
+                    assert data[first + size : first + size + 4] == b"\r\n\r\n"
                     at = first + size + 4
                     payload = block[block.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
                     if payload is not None:
