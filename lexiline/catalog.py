@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("lexiline.operators.segment",)
+
+
+def _all(what: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        more = getattr(importlib.import_module(name), what)
+        assert not found.keys() & more.keys(), f"{name}: {found.keys() & more.keys()}"
+        found |= more
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("ORACLES")
