@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lexiline.operators.segment",)
+MODULES = ("lexiline.operators.segment", "lexiline.operators.intervals")
 
 
 def _all(what: str) -> dict:

@@ -207,7 +207,7 @@ def _region_step(state, row):
 
 def region_partition(grid: DataFrame) -> DataFrame:
     """Sentences to regions of bounded count and characters, greedily."""
-    g = grid.select("source_id", "sentence_id", F.length("text").alias("length"))
+    g = grid.select("source_id", "sentence_id", F.length("text").cast("long").alias("length"))
     return fold(g, ["source_id"], ["sentence_id"], ["length"], _region_step, "region")
 
 
@@ -268,7 +268,7 @@ paras AS (SELECT *, CASE WHEN paragraph_id = 0 THEN 'start' WHEN speaker IS DIST
 """
 PARA_SQL = GRID_SQL + "," + _PARA
 _TAG = "CASE WHEN speaker IS NULL THEN 'S?' WHEN try_cast(speaker AS INT) IS NOT NULL THEN 'S' || (try_cast(speaker AS INT) + 1) ELSE 'S' || speaker END"
-_CLOCK = "lpad((start_ms // 60000)::VARCHAR, greatest(2, length((start_ms // 60000)::VARCHAR)), '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0')"
+_CLOCK = "lpad((start_ms // 60000)::VARCHAR, greatest(2, length((start_ms // 60000)::VARCHAR))::INT, '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0')"
 SHOTS_SQL = "shots AS (SELECT source_id, start_ms + 300 AS time_ms FROM words WHERE ord % 17 = 5)"
 
 
@@ -358,7 +358,7 @@ ORACLES = {
     "b9_utterances": f"WITH {WORDS_SQL}, {_ISL} SELECT source_id, utterance, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(ord) AS first_word, count(*) AS words FROM ut GROUP BY source_id, utterance",
     "b10_words_by_utterance": f"WITH {WORDS_SQL}, {_ISL} SELECT source_id, ord, utterance FROM ut",
     "b11_layer_candidates": f"WITH RECURSIVE {PARA_SQL} SELECT source_id, sentence_start AS sentence_id, start_ms AS ms, break_reason AS kind, 1.0::DOUBLE AS score FROM paras WHERE break_reason IN ('turn', 'pause')",
-    "b12_coarse_rendering": f"WITH RECURSIVE {PARA_SQL}, t AS (SELECT p.source_id, p.paragraph_id, p.start_ms, p.speaker, string_agg(g.text, ' ' ORDER BY g.sentence_id) AS text FROM paras p JOIN grid g ON g.source_id = p.source_id AND g.sentence_id BETWEEN p.sentence_start AND p.sentence_end GROUP BY ALL) SELECT source_id, paragraph_id, 'P' || lpad((paragraph_id + 1)::VARCHAR, greatest(3, length((paragraph_id + 1)::VARCHAR)), '0') || ' [' || {_CLOCK} || '] ' || {_TAG} || ': ' || text AS line FROM t",
+    "b12_coarse_rendering": f"WITH RECURSIVE {PARA_SQL}, t AS (SELECT p.source_id, p.paragraph_id, p.start_ms, p.speaker, string_agg(g.text, ' ' ORDER BY g.sentence_id) AS text FROM paras p JOIN grid g ON g.source_id = p.source_id AND g.sentence_id BETWEEN p.sentence_start AND p.sentence_end GROUP BY ALL) SELECT source_id, paragraph_id, 'P' || lpad((paragraph_id + 1)::VARCHAR, greatest(3, length((paragraph_id + 1)::VARCHAR))::INT, '0') || ' [' || {_CLOCK} || '] ' || {_TAG} || ': ' || text AS line FROM t",
     "b13_fine_rendering": f"WITH RECURSIVE {PARA_SQL}, {SHOTS_SQL}, x AS (SELECT g.*, lag(pause_after_ms) OVER (PARTITION BY source_id ORDER BY sentence_id) AS before, EXISTS (SELECT 1 FROM paras p WHERE p.source_id = g.source_id AND p.sentence_start = g.sentence_id) AS p, EXISTS (SELECT 1 FROM shots s WHERE s.source_id = g.source_id AND abs(s.time_ms - g.start_ms) <= 500) AS s FROM grid g) SELECT source_id, sentence_id, CASE WHEN p THEN 'P' ELSE '.' END || CASE WHEN opens_turn THEN 'T' ELSE '.' END || CASE WHEN before >= {PAUSE_MS} THEN '|' ELSE '.' END || CASE WHEN s THEN 'S' ELSE '.' END || ' [' || {_CLOCK} || '] ' || {_TAG} || ' ' || text AS line FROM x",
     "b14_model_sentences": f"WITH {WORDS_SQL}, {_PIECES_SQL} SELECT * FROM ms",
     "b15_model_paragraphs": f"WITH {WORDS_SQL}, {_PIECES_SQL}, p AS (SELECT source_id, piece // 3 AS paragraph, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(speaker, piece) AS speaker FROM ms GROUP BY ALL) SELECT *, CASE WHEN lag(paragraph) OVER w IS NULL THEN 'start' WHEN speaker IS DISTINCT FROM lag(speaker) OVER w THEN 'turn' WHEN start_ms - lag(end_ms) OVER w > {PARAGRAPH_GAP_MS} THEN 'pause' ELSE 'topic' END AS kind FROM p WINDOW w AS (PARTITION BY source_id ORDER BY paragraph)",
