@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lexiline.operators.segment", "lexiline.operators.intervals")
+MODULES = ("lexiline.operators.segment", "lexiline.operators.intervals", "lexiline.operators.clean", "lexiline.operators.aggregate")
 
 
 def _all(what: str) -> dict:
