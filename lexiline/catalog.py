@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lexiline.operators.segment", "lexiline.operators.intervals", "lexiline.operators.clean", "lexiline.operators.aggregate")
+MODULES = tuple(f"lexiline.operators.{m}" for m in ("segment", "intervals", "clean", "aggregate", "retrieval", "metrics", "compile"))
 
 
 def _all(what: str) -> dict:

@@ -97,4 +97,4 @@ def page(df: DataFrame, keys: list[str], order: list[Column | str], cursor: int,
     if not 1 <= limit <= 1000 or cursor < 0:
         raise ValueError("limit must be 1 to 1000 and cursor 0 or more")
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("position", n).filter((F.col("position") > cursor) & (F.col("position") <= cursor + limit))
+    return df.withColumn("position", n.cast("long")).filter((F.col("position") > cursor) & (F.col("position") <= cursor + limit))
