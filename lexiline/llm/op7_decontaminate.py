@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits. Of each window of ten words the least hash of its five-word
 grams is kept, on both sides, so every span of ten words that a document shares with an item leaves an equal fingerprint in
-both. Fingerprints are joined (the benchmark's are broadcast only while their counted number is below BROADCAST_ROWS), and the
-hits are extended on the documents that have any: all their ten-word windows are joined, as strings, with the item's. Items of
+both. Fingerprints are joined (the benchmark's are broadcast only while their counted number is at most BROADCAST_ROWS, as are the ids of
+documents with hits while there are at most BROADCAST_IDS; beyond, joins shuffle), and the hits are extended on the documents that have any: all their ten-word windows are joined, as strings, with the item's. Items of
 fewer words are one window, and documents get fingerprints of those lengths too.
 
 Null text has no words; a null doc_id is kept as a document of its own; rows with equal doc_id are one row each and share
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexiline.llm.common import let, materialise, table, workspace
 
 WINDOW, GRAM = 10, 5
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_IDS = 200_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,8 +69,8 @@ def windows(w: Column, length: int) -> Column:
     return F.when(F.size(w) >= length, each)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,6 +92,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = materialise(prints.groupBy("row", "doc_id", "n_words").agg(F.max("found").alias("found")), place, "base")
 
     hit_ids = base.filter("found = 1").select(F.col("doc_id").alias("__id")).distinct()
+    hit_ids = small(hit_ids, hit_ids.count(), BROADCAST_IDS)
     hit_docs = own.select("doc_id", "text").join(hit_ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     runs = lambda m: let(words(F.col("text")), lambda w: windows(w, m))
     found = union([hit_docs.select("doc_id", F.explode(runs(m)).alias("x")).select("doc_id", "x.i", F.lit(m).alias("m"), "x.window") for m in lengths])
