@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiline.llm.common import materialise, partitions, slices, table, workspace
-from lexiline.llm.tokens import Encoder, with_end, word_path
+from lexiline.llm.tokens import TOKEN_BYTES, Encoder, with_end, word_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, w
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, most=TOKEN_BYTES):
             ids, offsets = with_end(*encoder.ids(batch.column("text")), separator)
             counts = np.diff(offsets)
             cuts = -(-counts // capacity)

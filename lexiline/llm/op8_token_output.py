@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiline.llm.common import materialise, partitions, slices, table, workspace
-from lexiline.llm.tokens import Encoder, with_end, word_path
+from lexiline.llm.tokens import TOKEN_BYTES, Encoder, with_end, word_path
 
 MAGIC = b"PFOR\x01\0\0\0"
 BLOCK = 4096
@@ -44,9 +44,10 @@ def _lanes(width: int) -> list[tuple[int, int]]:
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values (a multiple of 64 each) below 2**width, each as 64-bit words."""
-    v = values.reshape(-1, 64).astype(np.uint64)
-    out = np.zeros((len(v), width), np.uint64)
+    """Rows of values (a multiple of 64 each) below 2**width, each as 64-bit words: a row is 64 lanes, and word j of
+    every column of the lanes has the bits from 64 * j on."""
+    v = values.reshape(len(values), 64, -1).astype(np.uint64)
+    out = np.zeros((len(v), width, v.shape[2]), np.uint64)
     for i, (word, shift) in enumerate(_lanes(width)):
         out[:, word] |= v[:, i] << np.uint64(shift)
         if shift + width > 64:
@@ -55,14 +56,14 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
-    rows, w = len(words), words.reshape(-1, width)
-    out, mask = np.empty((len(w), 64), np.uint32), np.uint64((1 << width) - 1)
+    w = words.reshape(len(words), width, -1)
+    out, mask = np.empty((len(w), 64, w.shape[2]), np.uint32), np.uint64((1 << width) - 1)
     for i, (word, shift) in enumerate(_lanes(width)):
         x = w[:, word] >> np.uint64(shift)
         if shift + width > 64:
             x = x | (w[:, word + 1] << np.uint64(64 - shift))
         out[:, i] = x & mask
-    return out.reshape(rows, -1)
+    return out.reshape(len(words), -1)
 
 
 def encode_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
@@ -132,7 +133,7 @@ def write(docs: DataFrame, place: str, tokenizer: str, end: int = 1, percentile:
                 out.write(block)
                 at += len(block)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=TOKEN_BYTES):
             if out is None:
                 out = _open(uri, True)
                 out.write(MAGIC)
