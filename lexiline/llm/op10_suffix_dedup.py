@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import materialise, mixed, partitions, table, workspace
-from lexiline.llm.op5_substring_dedup import Ranges, firsts
+from lexiline.llm.common import materialise, mixed, partitions, table
+from lexiline.llm.groups import Groups, bucket_keys, by_value, list_column, own_texts, packed
+from lexiline.llm.ranges import Ranges
 
 LENGTH, GRAM = 50, 20
-GROUP_BYTES, BUCKET_ANCHORS, BLOCK_BYTES, HOT = 4 << 20, 400_000, 1 << 20, 20_000
+BUCKET_ANCHORS, BLOCK_BYTES, HOT = 400_000, 1 << 20, 20_000
 STEP_BYTES = 4 << 20
 LOW = np.uint64((1 << 24) - 1)
 
@@ -69,12 +69,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[at[cut]], start[cut], np.diff(np.append(cut, len(start)))
 
 
-def bucket_keys(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 32 bits of a hash, in one number."""
-    h = mixed(h)
-    return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-
-
 def buffers(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Steps of at most STEP_BYTES (or one text): first row, bytes, offsets."""
     texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
@@ -89,84 +83,30 @@ def buffers(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray
         yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def own_texts(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """doc_id and text of a group's documents that aren't copies."""
-    copies = right.column("copy").drop_null()
-    rows = left.filter(pa.compute.invert(pa.compute.is_in(left.column("doc_id"), value_set=copies))) if len(copies) else left
-    return rows.column("doc_id").to_numpy(), rows.column("text")
-
-
-class Groups:
-    """The documents as a table bucketed by group, and joins of its groups with other rows of theirs."""
-
-    def __init__(self, docs: DataFrame):
-        self.spark, self.place = docs.sparkSession, workspace(docs.sparkSession)
-        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        size = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-        self.bytes = size["b"] or 0
-        rows = max(1, min(4096, GROUP_BYTES * size["n"] // max(1, self.bytes)))
-        group = F.expr(f"monotonically_increasing_id() div {rows}")
-        self.name = f"lexiline_groups_{uuid.uuid4().hex}"
-        table = source.withColumns({"g": F.pmod(F.xxhash64(group), F.lit(1 << 48)), "key": F.unhex(F.md5("text"))})
-        table.write.bucketBy(partitions(self.spark), "g").sortBy("g").option("compression", "zstd").format("parquet").saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
-        known = self.table.filter("doc_id is not null").select("g", "doc_id", "key")
-        first = known.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
-        self.copies = materialise(known.join(first, "key").filter("doc_id > first").select("g", F.col("doc_id").alias("copy")), self.place, "copies")
-
-    def join(self, right: DataFrame, step, schema: str, columns: list[str] = ("g", "doc_id", "text")) -> DataFrame:
-        """step(g, documents, rows) on each group with the rows of its g in right."""
-        return self.table.select(*columns).groupBy("g").cogroup(right.groupBy("g")).applyInArrow(lambda key, a, b: step(key[0].as_py(), a, b), schema)
-
-
 def shared_anchors(groups: Groups) -> DataFrame:
     """(g, keys): bucket keys of the anchors of a group that another document has too."""
     n_buckets = max(1, math.ceil(groups.bytes / 16 / BUCKET_ANCHORS))
 
     def send(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = own_texts(left, right)
-        keys, docs = [], []
+        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for first, data, offsets in buffers(texts):
             h, s, _ = anchors(data, offsets)
             keys.append(bucket_keys(h, n_buckets)), docs.append(ids[first + np.searchsorted(offsets, s, side="right") - 1])
-        out = {"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int64()), "once": pa.array([], pa.list_(pa.int32())), "often": pa.array([], pa.list_(pa.int32()))}
-        if keys and len(key := np.concatenate(keys)):
-            doc = np.concatenate(docs)
-            order = np.argsort(key)
-            key, doc = key[order], doc[order]
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            often = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
-            key = key[cut]
-            bucket, value = (key >> np.uint64(32)).astype(np.int32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            split = lambda mask: pa.ListArray.from_arrays(
-                pa.array(np.concatenate([np.concatenate([[0], np.cumsum(mask)])[starts], [mask.sum()]]).astype(np.int32)), pa.array(value[mask])
-            )
-            out = {"bucket": pa.array(bucket[starts]), "g": pa.array(np.full(len(starts), g, np.int64)), "once": split(~often), "often": split(often)}
-        return pa.table(out)
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        often = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut) if len(cut) else np.zeros(0, bool)
+        return packed(g, key[cut], often)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            values, own, often = [], [], []
-            for batch in rows:
-                g = batch.column("g").to_numpy()
-                for name, flag in (("once", False), ("often", True)):
-                    column = batch.column(name)
-                    values.append(column.flatten().to_numpy())
-                    own.append(np.repeat(g, column.value_lengths().to_numpy()))
-                    often.append(np.full(len(values[-1]), flag))
-            value, own, often = np.concatenate(values), np.concatenate(own), np.concatenate(often)
-            order = np.argsort(value)
-            value, own, often = value[order], own[order], often[order]
-            cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        def done(bucket: int, rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            value, own, often, _ = by_value([pa.Table.from_batches(rows)])
+            cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
             size = np.diff(np.append(cut, len(value)))
             shared = np.repeat((size > 1) | np.logical_or.reduceat(often, cut), size)
-            value, own = value[shared], own[shared]
-            order = np.argsort(own, kind="stable")
-            key = value[order].view(np.uint32).astype(np.int64) | (bucket << 32)
-            own = own[order]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(own)).astype(np.int32)), pa.array(key))], ["g", "keys"])
+            return list_column(own[shared], value[shared].view(np.uint32).astype(np.int64) | (bucket << 32)).to_batches()
 
         current, rows = None, []
         for batch in batches:
@@ -175,12 +115,12 @@ def shared_anchors(groups: Groups) -> DataFrame:
             for a, b in zip(cuts, cuts[1:]):
                 if b > a:
                     if buckets[a] != current and rows:
-                        yield done(current, rows)
+                        yield from done(current, rows)
                         rows = []
                     current = int(buckets[a])
                     rows.append(batch.slice(a, b - a))
         if rows:
-            yield done(current, rows)
+            yield from done(current, rows)
 
     sent = groups.join(groups.copies, send, "bucket int, g long, once array<int>, often array<int>")
     return sent.repartition(partitions(groups.spark), "bucket").sortWithinPartitions("bucket").mapInArrow(back, "g long, keys array<long>"), n_buckets

@@ -1,14 +1,15 @@
 """Substring dedup of word windows by a log-structured fingerprint index.
 
-Of each window of WINDOW words the least hash of its GRAM-word grams is its fingerprint; neighbouring windows with one
-and the same gram share an entry (fp, ctx, doc_id, s, n): ctx hashes all words of those n windows, the first of which starts
-at word s. Equal windows have equal fingerprints, so entries are enough to find all repeats.
+Of each window of WINDOW words the least hash of its GRAM-word grams is its fingerprint; neighbouring windows with one and
+the same gram share an entry. Equal windows have equal fingerprints, so fingerprints are enough to find all repeats. Documents are
+written once, in groups of a few MB, as a table bucketed by group that later steps join without a shuffle.
 
-The index is a log of sorted immutable runs: tables bucketed and sorted by fp, so history is merge-joined with a batch without
-being shuffled. A batch is staged the same way; of its entries those whose (fp, ctx) is known are repeats as a whole, new ones become the
-next run, and where a fingerprint has several contexts all of them go to verification. When there are more than `fanout` runs they
-are compacted into one. Verification reads the texts again, hashes each single window in question with 128 bits, and takes
-all but the first (smallest doc_id, then start) of equal ones for repeats. Batches are ranges of doc_id, oldest first.
+The index is a log of sorted immutable runs: a run has the different fingerprints of each group of a batch, sorted, in tables bucketed by
+hash. A batch becomes a run of its own, which is merge-joined with the earlier ones, bucket by bucket and without moving them; groups on both
+sides get back the fingerprints that occur again. When there are more than `fanout` runs they are compacted into one. Entries with such
+fingerprints are then verified: the hashes of their single windows are dealt and sorted by fingerprint and (doc_id, start), and a window
+that was there before (64 bits of its own besides the 64 of its fingerprint) is a repeat. A group sends only the first of its own equal
+windows. Batches are ranges of doc_id, oldest first.
 
 Null text has no words and documents of fewer words than a window keep them all; a null doc_id is kept whole and never compared; rows with
 equal doc_id are taken for one document; an empty table gives no rows; other columns are ignored (strip() keeps them).
@@ -17,6 +18,7 @@ equal doc_id are taken for one document; an empty table gives no rows; other col
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -26,235 +28,234 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
+from lexiline.llm.common import grams, hashes, materialise, mixed, partitions, slices, table, words_of
+from lexiline.llm.groups import Groups, bucket_keys, by_value, list_column, own_texts, packed
+from lexiline.llm.ranges import Ranges, least_places
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM, BUCKET_PRINTS = 20, 5, 400_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-ENTRY = "fp long, ctx long, doc_id long, s int, n int, late boolean"
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Ranges:
-    """Hashes of any ranges of a sequence of word hashes."""
-
-    def __init__(self, h: np.ndarray):
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(BASE, len(h))[: len(h)], dtype=np.uint64)])
-        self.inverse = powers(INVERSE, len(h))
-
-    def of(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[first + length] - self.sums[first]) * self.inverse[first] + length.astype(np.uint64))
-
-
-def least_places(g: np.ndarray, span: int) -> np.ndarray:
-    """For each run of `span` values the place of the least (the first of equal ones)."""
-    at, have = np.arange(len(g)), 1
-    while have < span:
-        step = min(have, span - have)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(g[left] <= g[right], left, right)
-        have += step
-    return at
-
-
-def firsts(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether an entry is the first (by doc, place) of those with its key."""
-    order = np.lexsort((place, doc, keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    out = np.empty(len(keys), bool)
-    out[order] = new
-    return out
-
-
-def entries(docs: DataFrame) -> DataFrame:
-    """The entries of all documents. What isn't the first of its (fp, ctx) in a step of a task is late already, and gets an fp of its own."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words, offsets = words_of(batch.column("text"))
-            if len(words) < WINDOW:
-                continue
-            h = hashes(words)
-            g = grams(h, GRAM)
-            anchor = least_places(g, WINDOW - GRAM + 1)  # by window start
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[: len(anchor)]
-            start = np.flatnonzero(np.arange(len(anchor)) + WINDOW <= offsets[doc + 1])
-            if not len(start):
-                continue
+RUN = "bucket int, g long, once array<int>, often array<int>"
+
+
+def entries(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In steps: first row, word hashes, offsets, and of each entry its fingerprint, first window and number of windows."""
+    batches = (pa.RecordBatch.from_arrays([c], ["text"]) for c in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]))
+    row = 0
+    for batch in slices(batches):
+        words, offsets = words_of(batch.column("text"))
+        first, row = row, row + batch.num_rows
+        if len(words) < WINDOW:
+            continue
+        h = hashes(words)
+        g = grams(h, GRAM)
+        anchor = least_places(g, WINDOW - GRAM + 1)  # by window start
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[: len(anchor)]
+        start = np.flatnonzero(np.arange(len(anchor)) + WINDOW <= offsets[doc + 1])
+        if len(start):
             a = anchor[start]
             cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            n = np.diff(np.append(cut, len(start)))
-            s, a, own = start[cut], a[cut], doc[start[cut]]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[own].astype(np.int64)
-            fp, ctx, place = g[a], Ranges(h).of(s, n + WINDOW - 1), s - offsets[own]
-            new = firsts(mixed(fp ^ mixed(ctx)), ids, place)
-            fp = np.where(new, fp, mixed(mixed(ids.view(np.uint64)) + place.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (fp.view(np.int64), ctx.view(np.int64), ids, place.astype(np.int32), n.astype(np.int32), ~new)], ["fp", "ctx", "doc_id", "s", "n", "late"]
-            )
-
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(task, ENTRY)
+            yield first, h, offsets, g[a[cut]], start[cut], np.diff(np.append(cut, len(start)))
 
 
 class FingerprintIndex:
-    """Runs of (fp, ctx, doc_id, s, n), one entry for each (fp, ctx), as bucketed tables."""
+    """Runs of (bucket, g, once, often): the fingerprints that a group has once, and more than once, sorted."""
 
-    def __init__(self, spark: SparkSession, place: str, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.place, self.fanout = spark, place, fanout
-        self.buckets, self.runs, self.batches = buckets or partitions(spark), [], 0
+    def __init__(self, groups: Groups, fanout: int = 2):
+        self.groups, self.spark, self.fanout = groups, groups.spark, fanout
+        self.tables, self.runs, self.batches = partitions(groups.spark), [], 0
+        self.buckets = max(1, math.ceil(groups.bytes / 50 / BUCKET_PRINTS))
 
-    def _write(self, df: DataFrame, kind: str) -> str:
-        name = f"lexiline_{kind}_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").format("parquet").saveAsTable(name)
+    def _write(self, df: DataFrame) -> str:
+        name = f"lexiline_run_{uuid.uuid4().hex}"
+        df.repartition(self.tables, "bucket").write.bucketBy(self.tables, "bucket").sortBy("bucket").option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Joins a batch with the runs and adds it. Gives repeats and entries to verify, both (doc_id, s, n)."""
-        k, self.batches = self.batches, self.batches + 1
-        place, columns = self.place, ["doc_id", "s", "n"]
-        staged = self._write(entries(docs).repartition(self.buckets, "fp"), "batch")
-        batch = self.spark.table(staged)
-        own = batch.filter("not late")
-        first = own.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "s", "n")).alias("f"), F.count("*").alias("c"))
-        again = own.join(first.filter("c > 1"), ["fp", "ctx"]).filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s"))).select(*columns)
-        repeats = [batch.filter("late").select(*columns), again]
-        new = first.select("fp", "ctx", "f.*")
-        for run in self.runs:
-            known = self.spark.table(run).select("fp", "ctx")
-            repeats.append(new.join(known, ["fp", "ctx"], "left_semi").select(*columns))
-            new = new.join(known, ["fp", "ctx"], "left_anti")
-        fresh = self._write(new.select("fp", "ctx", *columns), "run")
-        new = self.spark.table(fresh)
-        # fingerprints of the new contexts that have others, here or in the runs: all their contexts are looked at
-        several = new.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")
-        check = [new.join(several, "fp", "left_semi").select(*columns)]
-        for run in self.runs:
-            old = self.spark.table(run)
-            check.append(new.join(old.select("fp"), "fp", "left_semi").select(*columns))
-            check.append(old.join(new.select("fp"), "fp", "left_semi").select(*columns))
-        union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-        out = materialise(union(repeats), place, f"repeats{k}"), materialise(union(check), place, f"check{k}")
-        self._drop(staged)
-        self.runs.append(fresh)
+    def add(self, batch: int) -> list[DataFrame]:
+        """Makes a run of a batch's groups and joins it with the earlier ones: (g, keys) of groups of both sides."""
+        n_buckets = self.buckets
+
+        def send(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
+            _, texts = own_texts(left, right)
+            keys = [bucket_keys(fp, n_buckets) for _, _, _, fp, _, _ in entries(texts)]
+            key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return packed(g, key, count > 1)
+
+        def merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
+            value, own, often, side = by_value([new, old])
+            cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+            if len(cut):
+                size = np.diff(np.append(cut, len(value)))
+                met = ((size > 1) | np.logical_or.reduceat(often, cut)) & (np.minimum.reduceat(side, cut) == 0)
+                keep = np.repeat(met, size)
+                value, own = value[keep], own[keep]
+            return list_column(own, value.view(np.uint32).astype(np.int64) | (key[0].as_py() << 32))
+
+        sent = self.groups.join(self.groups.copies, send, RUN, where=F.col("batch") == batch)
+        new, empty = self._write(sent), self.spark.createDataFrame([], RUN)
+        found = []
+        for run in self.runs or [None]:
+            old = self.spark.table(run) if run else empty
+            found.append(materialise(self.spark.table(new).groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(merge, "g long, keys array<long>"), self.groups.place, f"found{self.batches}-{len(found)}"))
+        self.batches += 1
+        self.runs.append(new)
         if len(self.runs) > self.fanout:
             self.compact()
-        return out
+        return found
 
     def compact(self) -> None:
         """Merges all runs into one."""
         merged = self.spark.table(self.runs[0])
         for run in self.runs[1:]:
             merged = merged.unionByName(self.spark.table(run))
-        run = self._write(merged.repartition(self.buckets, "fp"), "run")
-        for old in self.runs:
-            self._drop(old)
+        run = self._write(merged)
+        self.close()
         self.runs = [run]
 
     def close(self) -> None:
         for run in self.runs:
-            self._drop(run)
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         self.runs = []
 
 
-def _by_doc(spans: DataFrame, name: str) -> DataFrame:
-    """doc_id with its spans as two arrays; a document has at most as many as words."""
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias(name)).select(F.col("doc_id").alias("__id"), F.col(f"{name}.s").alias(f"{name}_s"), F.col(f"{name}.n").alias(f"{name}_n"))
-
-
-def _expanded(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The flat values of a list column (null: none) and the row of each."""
-    column = batch.column(name)
-    lengths = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(batch.num_rows), lengths)
-
-
-def single_windows(met: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, s, late) of each window in met (doc_id, text, v_s, v_n)."""
+WINDOWS = "fp long, g long, doc_id long, s int, at array<int>, h array<long>, late int"
+
+
+def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """Entries with shared fingerprints: hashes h of their windows s + at. Windows that a group has earlier are rows with late = how many from s on."""
+
+    def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts = own_texts(left, right)
+        lists = right.column("keys").drop_null()
+        known = np.unique(np.concatenate([c.flatten().to_numpy() for c in lists.chunks])) if len(lists) else np.zeros(0, np.int64)
+        parts = []
+        for first, h, offsets, fp, s, n in entries(texts) if len(known) else ():
+            key = bucket_keys(fp, n_buckets).astype(np.int64)
+            hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            fp, s, n = fp[hit], s[hit], n[hit]
+            doc = np.searchsorted(offsets, s, side="right") - 1
+            own = np.repeat(np.arange(len(s)), n)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            w = s[own] + at
+            parts.append((fp[own], ids[first + doc][own], w - offsets[doc][own], (s - offsets[doc])[own], at, Ranges(h).of(w, np.full(len(w), WINDOW))))
+        kinds = ("fp", "g", "doc_id", "s", "at", "h", "late")
+        fp, doc, place, s, at, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+        order = np.lexsort((place, doc))
+        fp, doc, place, s, at, h = (x[order] for x in (fp, doc, place, s, at, h))
+        new = np.zeros(len(h), bool)
+        new[np.unique(mixed(fp) ^ h, return_index=True)[1]] = True
+        # a row for each entry's windows that are new here, and one for each run of late ones
+        entry = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])])[: len(h)]
+        begins = np.flatnonzero(new & (entry | np.concatenate([[True], ~new[:-1]])[: len(h)]))
+        ends = np.flatnonzero(new & np.concatenate([entry[1:] | ~new[1:], [True]])[: len(h)]) + 1
+        size = ends - begins
+        l_begins = np.flatnonzero(~new & np.concatenate([[True], new[:-1] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])[: len(h)])
+        l_ends = np.flatnonzero(~new & np.concatenate([new[1:] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1), [True]])[: len(h)]) + 1
+        take = lambda x, y: np.concatenate([x[begins], y])
+        bounds = np.concatenate([np.cumsum(size) - size, np.full(len(l_begins) + 1, size.sum())]).astype(np.int32)
+        flat = np.flatnonzero(new)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x))
+        inside = place[flat] - np.repeat(place[begins], size)
+        return pa.Table.from_arrays(
+            [
+                pa.array(take(fp, mixed(l_begins.astype(np.uint64) + np.uint64(g & 0xFFFF))).view(np.int64)), pa.array(np.full(len(begins) + len(l_begins), g, np.int64)), pa.array(take(doc, doc[l_begins])),
+                pa.array(take(place, place[l_begins]).astype(np.int32)), lists(inside.astype(np.int32)), lists(h[flat].view(np.int64)), pa.array(np.concatenate([np.zeros(len(begins)), l_ends - l_begins]).astype(np.int32)),
+            ],
+            kinds,
+        )
+
+    right = shared.select("g", "keys", F.lit(None).cast("long").alias("copy")).unionByName(groups.copies.select("g", F.lit(None).cast("array<bigint>").alias("keys"), "copy"))
+    return groups.join(right, step, WINDOWS)
+
+
+SPANS = "g long, doc_id long, s int, n int"
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(g, doc_id, s, n): runs of windows that are there before, by doc_id and start. A task holds a batch and the windows of one fingerprint."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words, offsets = words_of(batch.column("text"))
-            (s, row), (n, _) = _lists(batch, "v_s"), _lists(batch, "v_n")
-            at = np.unique(_expanded(offsets[row] + s, n))
-            if not len(at):
-                continue
-            size = np.full(len(at), WINDOW)
-            h1, h2 = Ranges(hashes(words)).of(at, size), Ranges(hashes(words, 1)).of(at, size)
-            own = np.searchsorted(offsets, at, side="right") - 1
-            ids, place = batch.column("doc_id").to_numpy()[own], at - offsets[own]
-            new = firsts(mixed(h1 ^ mixed(h2)), ids, place)
-            h1 = np.where(new, h1, mixed(mixed(ids.view(np.uint64)) + place.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2.view(np.int64), ids, place.astype(np.int32), ~new)], ["h1", "h2", "doc_id", "s", "late"])
-
-    return met.mapInArrow(task, "h1 long, h2 long, doc_id long, s int, late boolean")
-
-
-def repeated_spans(docs: DataFrame, batches: int = 3) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) dealt by doc_id, and (__id, r_s, r_n): the spans of repeated windows of each document."""
-    spark, place = docs.sparkSession, workspace(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted({int(x) for x in source.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)})
-    index, repeats, check = FingerprintIndex(spark, place), [], []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = source if low is None else source.filter(F.col("doc_id") > low)
-        r, c = index.add(part if high is None else part.filter(F.col("doc_id") <= high))
-        repeats.append(r), check.append(c)
-    index.close()
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    # one exchange of the texts serves the verification and what follows it
-    dealt = source.repartition(partitions(spark), "doc_id")
-    verify = _by_doc(union(check).distinct(), "v")
-    single = single_windows(dealt.join(verify, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "v_s", "v_n")).repartition(partitions(spark), "h1")
-    first = single.filter("not late").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("c")).filter("c > 1")
-    later = single.filter("not late").join(first, ["h1", "h2"]).filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("s") != F.col("f.s")))
-    one = lambda df: df.select("doc_id", "s", F.lit(1).alias("n"))
-    return dealt, _by_doc(union([*repeats, one(single.filter("late")), one(later)]), "r")
+        last, seen = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            h = batch.column("h")
+            n = h.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(fp)), n)
+            key = mixed(fp[row]) ^ h.flatten().to_numpy().view(np.uint64)
+            late = np.ones(len(key), bool)
+            late[np.unique(key, return_index=True)[1]] = False
+            if len(fp) and last is not None and fp[0] == last:
+                late |= np.isin(key, seen)
+            if len(fp):
+                tail = key[fp[row] == fp[-1]]
+                seen = np.union1d(seen, tail) if fp[-1] == last else np.unique(tail)
+                last = fp[-1]
+            place = batch.column("s").to_numpy()[row] + batch.column("at").flatten().to_numpy()
+            joined = np.concatenate([[False], (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1) & late[1:] & late[:-1]])[: len(row)]
+            begins = np.flatnonzero(late & ~joined)
+            size = np.diff(np.append(np.flatnonzero(late & ~joined), len(late))) if len(begins) else np.zeros(0, np.int64)
+            run = np.cumsum(late & ~joined)[late] - 1
+            size = np.bincount(run, minlength=len(begins)) if len(begins) else size
+            r = row[begins]
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(r)), batch.column("doc_id").take(pa.array(r)), pa.array(place[begins].astype(np.int32)), pa.array(size.astype(np.int32))], ["g", "doc_id", "s", "n"])
+
+    dealt = found.filter("late = 0").repartition(partitions(found.sparkSession), "fp").sortWithinPartitions("fp", "doc_id", "s")
+    return found.filter("late > 0").select("g", "doc_id", "s", F.col("late").alias("n")).unionByName(dealt.select("fp", "g", "doc_id", "s", "at", "h").mapInArrow(task, SPANS))
 
 
 def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (texts: and text, with the repeated words and the space after them cut out)."""
-
-    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(parts):
-            words, offsets = words_of(batch.column("text"))
-            (s, row), (n, _) = _lists(batch, "r_s"), _lists(batch, "r_n")
-            edge = np.zeros(len(words) + 1, np.int64)
-            if len(s):
-                np.add.at(edge, offsets[row] + s, 1)
-                np.add.at(edge, offsets[row] + s + n + WINDOW - 1, -1)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = sorted({int(x) for x in source.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)})
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + F.when(F.col("doc_id") > cut, 1).otherwise(0)
+    groups = Groups(source.withColumn("batch", F.coalesce(batch, F.lit(0))))
+    index = FingerprintIndex(groups)
+    shared = [found for k in range(len(cuts) + 1) for found in index.add(k)]
+    index.close()
+    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
+    found = materialise(windows(groups, union(shared), index.buckets), groups.place, "windows")
+    spans = materialise(repeats(found), groups.place, "spans").withColumn("copy", F.lit(None).cast("long"))
+    right = spans.unionByName(groups.copies.select("g", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("s", "int"), ("n", "int"))], "copy"))
+
+    def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
+        copies = right.column("copy").drop_null()
+        right = right.filter(pa.compute.is_valid(right.column("doc_id")))
+        ids = left.column("doc_id")
+        known = ids.to_numpy(zero_copy_only=False)
+        sort = np.argsort(known, kind="stable")
+        parts, row = [], 0
+        doc, s, n = (right.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "s", "n"))
+        at = sort[np.searchsorted(known[sort], doc)] if len(doc) else doc
+        copy = pa.compute.is_in(ids, value_set=copies).to_numpy(zero_copy_only=False) if len(copies) else np.zeros(len(ids), bool)
+        for part in slices(left.select(["doc_id", "text"]).combine_chunks().to_batches()):
+            words, offsets = words_of(part.column("text"))
+            rows = slice(row, row + part.num_rows)
+            mine = (at >= rows.start) & (at < rows.stop)
+            first, size = offsets[at[mine] - row] + s[mine], n[mine] + WINDOW - 1
+            all_gone = copy[rows] & (np.diff(offsets) >= WINDOW)
+            first, size = np.concatenate([first, offsets[:-1][all_gone]]), np.concatenate([size, np.diff(offsets)[all_gone]])
+            edge = np.bincount(first, minlength=len(words) + 1) - np.bincount(first + size, minlength=len(words) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             before = np.concatenate([[0], np.cumsum(gone)])
             removed = before[offsets[1:]] - before[offsets[:-1]]
-            kept = words.filter(pa.array(~gone)).to_pylist()
-            at = offsets - before[offsets]
-            own = [" ".join(kept[a:b]) for a, b in zip(at, at[1:])]
-            out = {"doc_id": batch.column("doc_id"), "n_words": np.diff(offsets), "n_removed": removed, "kept_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in own]}
+            kept = words.filter(pa.array(~gone))
+            bounds = offsets - before[offsets]
+            joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), kept), " ")
+            out = {"doc_id": part.column("doc_id"), "n_words": np.diff(offsets), "n_removed": removed, "kept_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]}
             if texts:
-                cut = batch.column("text").to_pylist()
+                cut = pa.compute.fill_null(part.column("text"), "").to_pylist()
                 for i in np.flatnonzero(removed):
                     found = list(WORD.finditer(cut[i]))
                     ends = [*(m.start() for m in found[1:]), len(cut[i])]
-                    cut[i] = "".join(cut[i][m.start() : e] for m, e, g in zip(found, ends, gone[offsets[i] : offsets[i + 1]]) if not g)
+                    cut[i] = "".join(cut[i][m.start() : e] for m, e, x in zip(found, ends, gone[offsets[i] : offsets[i + 1]]) if not x)
                 out["text"] = pa.array(cut, pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            parts.append(pa.table(out))
+            row = rows.stop
+        return pa.concat_tables(parts)
 
-    dealt, spans = repeated_spans(docs, batches)
-    met = dealt.join(spans, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "r_s", "r_n")
-    return met.mapInArrow(task, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
+    return groups.join(right, step, schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
