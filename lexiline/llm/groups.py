@@ -62,9 +62,10 @@ def list_column(own: np.ndarray, key: np.ndarray) -> pa.Table:
 
 
 def own_texts(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """doc_id and text of a group's documents that aren't copies."""
+    """doc_id and text of a group's documents that have an id and aren't copies."""
     copies = right.column("copy").drop_null()
-    rows = left.filter(pa.compute.invert(pa.compute.is_in(left.column("doc_id"), value_set=copies))) if len(copies) else left
+    rows = left.filter(pa.compute.is_valid(left.column("doc_id")))
+    rows = rows.filter(pa.compute.invert(pa.compute.is_in(rows.column("doc_id"), value_set=copies))) if len(copies) else rows
     return rows.column("doc_id").to_numpy(), rows.column("text")
 
 

@@ -279,7 +279,7 @@ def spans_from_blocks(groups: Groups, wanted: DataFrame, total: int) -> DataFram
 
 def strip(docs: DataFrame, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (kept: and the bytes that stay)."""
-    groups = Groups(docs)
+    groups = Groups(docs.select("doc_id", "text"))
     shared, n_buckets = shared_anchors(groups)
     found = entries(groups, shared, n_buckets)
     by, by_ctx = Window.partitionBy("fp"), Window.partitionBy("fp", "ctx")

@@ -12,7 +12,7 @@ that was there before (64 bits of its own besides the 64 of its fingerprint) is
 windows. Batches are ranges of doc_id, oldest first.
 
 Null text has no words and documents of fewer words than a window keep them all; a null doc_id is kept whole and never compared; rows with
-equal doc_id are taken for one document; an empty table gives no rows; other columns are ignored (strip() keeps them).
+equal doc_id are taken for one document, whose repeats are cut from one of them; an empty table gives no rows; other columns are ignored (strip() keeps them).
 """
 
 from __future__ import annotations
@@ -141,8 +141,8 @@ def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
         fp, doc, place, s, at, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
         order = np.lexsort((place, doc))
         fp, doc, place, s, at, h = (x[order] for x in (fp, doc, place, s, at, h))
-        new = np.zeros(len(h), bool)
-        new[np.unique(mixed(fp) ^ h, return_index=True)[1]] = True
+        _, at_first, same = np.unique(mixed(fp) ^ h, return_index=True, return_inverse=True)
+        new = (doc == doc[at_first][same]) & (place == place[at_first][same]) if len(h) else np.zeros(0, bool)
         # a row for each entry's windows that are new here, and one for each run of late ones
         entry = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])])[: len(h)]
         begins = np.flatnonzero(new & (entry | np.concatenate([[True], ~new[:-1]])[: len(h)]))
@@ -181,15 +181,17 @@ def repeats(found: DataFrame) -> DataFrame:
             n = h.value_lengths().to_numpy()
             row = np.repeat(np.arange(len(fp)), n)
             key = mixed(fp[row]) ^ h.flatten().to_numpy().view(np.uint64)
-            late = np.ones(len(key), bool)
-            late[np.unique(key, return_index=True)[1]] = False
+            place = batch.column("s").to_numpy()[row] + batch.column("at").flatten().to_numpy()
+            doc = batch.column("doc_id").to_numpy()[row]
+            _, first, same = np.unique(key, return_index=True, return_inverse=True)
+            # the same place again is a repeated row, not a repeat
+            late = (doc != doc[first][same]) | (place != place[first][same]) if len(key) else np.zeros(0, bool)
             if len(fp) and last is not None and fp[0] == last:
                 late |= np.isin(key, seen)
             if len(fp):
                 tail = key[fp[row] == fp[-1]]
                 seen = np.union1d(seen, tail) if fp[-1] == last else np.unique(tail)
                 last = fp[-1]
-            place = batch.column("s").to_numpy()[row] + batch.column("at").flatten().to_numpy()
             joined = np.concatenate([[False], (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1) & late[1:] & late[:-1]])[: len(row)]
             begins = np.flatnonzero(late & ~joined)
             size = np.diff(np.append(np.flatnonzero(late & ~joined), len(late))) if len(begins) else np.zeros(0, np.int64)
@@ -222,7 +224,7 @@ def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
         copies = right.column("copy").drop_null()
         right = right.filter(pa.compute.is_valid(right.column("doc_id")))
         ids = left.column("doc_id")
-        known = ids.to_numpy(zero_copy_only=False)
+        known = pa.compute.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
         sort = np.argsort(known, kind="stable")
         parts, row = [], 0
         doc, s, n = (right.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "s", "n"))
