@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash.
 
 A document's set are the hashes of its five-word shingles. PERMUTATIONS minima of it are taken: hashes of ROWS of the first ones
-each are the bands (a pair at similarity 0.75 misses all BANDS of them with a probability of 5e-6), and the low two bits of each minimum are packed
+each are the bands (a pair at similarity 0.75 misses all BANDS of them with a probability of 5e-6), and two bits of each minimum, mixed, are packed
 into 64-bit planes. Two documents of one band bucket are compared by the number of equal two-bit minima, corrected for chance collisions;
 those that may reach the threshold (all but 1e-6 of the pairs that do) are confirmed on their full sets.
 
@@ -74,7 +74,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 band = mixed(band + least[:, r : ROWS * BANDS : ROWS] + np.uint64(1))
             band = mixed(band ^ BAND_SALTS)
-            bits = np.stack([least & 1, (least >> 1) & 1], axis=1).astype(np.uint8)
+            # all bits of a minimum are mixed first: the low ones of FACTORS * x + SHIFTS depend on the low ones of x alone
+            kept = np.stack([mixed(m.astype(np.uint64)).astype(np.uint8) for m in least])
+            bits = np.stack([kept & 1, (kept >> 1) & 1], axis=1)
             planes = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little").view("<i8")
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(

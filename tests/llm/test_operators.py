@@ -134,6 +134,25 @@ def test_rounds_of_near_duplicates(spark):
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_short_near_duplicates(spark):
+    """Pairs of 6 to 15 words at exactly the threshold are linked, whatever their hashes."""
+    rng = random.Random(10)
+    shapes = [(a, t, b) for a in range(2, 12) for b in range(2, 12) for t in range(a) if 4 * (min(a, t + b) - t) == 3 * max(a, t + b)]
+    assert (3, 0, 4) in shapes and (7, 1, 7) in shapes and (6, 0, 8) in shapes
+    rows, want = [], {}
+    for i in range(900):
+        a, t, b = shapes[i % len(shapes)]
+        words = [f"w{rng.randrange(10**9)}" for _ in range(max(a, t + b) + 4)]
+        rows += [(2 * i, " ".join(words[: a + 4])), (2 * i + 1, " ".join(words[t : t + b + 4]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    for i in range(900, 950):  # 2 of 3
+        words = [f"w{rng.randrange(10**9)}" for _ in range(7)]
+        rows += [(2 * i, " ".join(words[:6])), (2 * i + 1, " ".join(words))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + 1}
+    got = {r["doc_id"]: r["component_id"] for r in op2_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_substrings(docs, texts, odd, none):
     seen, want = set(), {}
     for d in sorted(texts):
