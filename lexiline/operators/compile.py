@@ -106,19 +106,22 @@ def _shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiline-"))
 
 
-def components_of(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components of (a, b) by contraction: every vertex points to its least neighbour, edges move to what their ends point to,
-    loops go. Lineage is cut by checkpoint() each round, in the folder of spark.checkpoint.dir."""
+def components_of(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b) by contraction: every vertex points to the one of itself and its neighbours with the least hash, other
+    hashes each round; edges move to what their ends point to, loops go. A constant share of the vertices is expected to go each round, chains too,
+    and rounds end when no edge is left. Lineage is cut by checkpoint() each round, in the folder of spark.checkpoint.dir."""
     _shared_folder(edges.sparkSession)
     current = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().select("a", F.col("a").alias("root")).checkpoint()
-    for _ in range(rounds):
-        if current.isEmpty():
-            break
-        to = current.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")).checkpoint()
+    k = 0
+    while not current.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c), c)  # noqa: B023, E731
+        best = current.groupBy("a").agg(F.min_by("b", rank(F.col("b"))).alias("b"))
+        to = best.select("a", F.when(rank(F.col("a")) < rank(F.col("b")), F.col("a")).otherwise(F.col("b")).alias("to")).checkpoint()
         labels = labels.join(to.select(F.col("a").alias("root"), "to"), "root", "left").select("a", F.coalesce("to", "root").alias("root")).checkpoint()
         moved = current.join(to, "a").select(F.col("to").alias("x"), "b").join(to.select(F.col("a").alias("b"), "to"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
         current = moved.filter("a <> b").distinct().checkpoint()
+        k += 1
     least = labels.groupBy("root").agg(F.min("a").alias("component"))
     return labels.join(least, "root").select(F.col("a").alias("node"), "component")
 
@@ -235,8 +238,16 @@ _R = "rg AS (SELECT c.source_id, candidate_id AS rid, a.start_ms AS s, z.end_ms
 _T = "tq AS (SELECT *, sum(opens_turn::INT) OVER (PARTITION BY source_id ORDER BY sentence_id) AS turn FROM grid), tt AS (SELECT source_id, turn, min(start_ms) AS ts, max(end_ms) AS te, arg_min(speaker, sentence_id) AS sp, arg_max(is_question, sentence_id) AS asks FROM tq GROUP BY ALL), tl AS (SELECT *, lag(ts) OVER w AS p_s, lag(te) OVER w AS p_e, lag(sp) OVER w AS p_sp, lag(asks) OVER w AS p_a, lag(ts, 2) OVER w AS pp_s, lag(te, 2) OVER w AS pp_e FROM tt WINDOW w AS (PARTITION BY source_id ORDER BY turn))"
 
 
-def _edges(s, d):
-    return table(s, d, "lineitem").filter("l_orderkey % 40 = 3").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100_000_000).alias("b"))
+def _edges(s, d, which="true"):
+    return table(s, d, "lineitem").filter(which).select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100_000_000).alias("b"))
+
+
+def _repairs(s, d, which="true"):
+    return components_of(_edges(s, d, which)).groupBy("component").agg(F.count("*").alias("size")).select("component", "size", F.expr("(size + 11) div 12").alias("calls"))
+
+
+#: the edges of h10 and h11, as in their SQL, whose recursion is too slow for all; h10_components_all and h11_repair_plan_all take every row
+_SAMPLE = "l_orderkey % 40 = 3"
 
 
 def _dag(s, d):
@@ -289,8 +300,10 @@ QUERIES = {
     "h7_inventory_plan": lambda s, d: inventory_plan(sentence_grid(words(s, d)).select("source_id", F.expr("sentence_id div 12").alias("section")).distinct()),
     "h8_author_plan": lambda s, d: candidates(s, d).select("source_id", "candidate_id", F.expr(f"(row_number() over (partition by source_id order by candidate_id) - 1) div {BATCH}").alias("batch")),
     "h9_review_plan": lambda s, d: review_plan(candidates(s, d)),
-    "h10_components": lambda s, d: components_of(_edges(s, d)),
-    "h11_repair_plan": lambda s, d: components_of(_edges(s, d)).groupBy("component").agg(F.count("*").alias("size")).select("component", "size", F.expr("(size + 11) div 12").alias("calls")),
+    "h10_components": lambda s, d: components_of(_edges(s, d, _SAMPLE)),
+    "h10_components_all": lambda s, d: components_of(_edges(s, d)),
+    "h11_repair_plan": lambda s, d: _repairs(s, d, _SAMPLE),
+    "h11_repair_plan_all": _repairs,
     "h12_assembly": _assembled,
     "h13_assessment": lambda s, d: (lambda e: e.select("event_id", F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), c.alias("passed")) for n, c in (("value", F.col("value") > 5), ("type", F.col("event_type") != "error"), ("user", F.col("user_id") % 4 != 0))])).alias("x")).filter("not x.passed").groupBy("x.criterion").agg(F.count("*").alias("findings")))(table(s, d, "events")),
     "h14_renderable_selection": _renderable,

@@ -58,6 +58,35 @@ def test_shortest_paths(spark):
         assert [r["layer"] for r in got] == [-1]
 
 
+def least_of_component(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in root}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 - i, 999 - i) for i in range(300) if i != 150] + [(2000 + rng.randrange(90), 2000 + rng.randrange(90)) for _ in range(60)] + [(5000, 5000)]
+    got = {r["node"]: r["component"] for r in plans.components_of(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least_of_component(edges)
+
+
+def test_components_of_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    want = least_of_component([(r[0], r[1] + 100_000_000) for r in rows])
+    assert {r["node"]: r["component"] for r in plans.QUERIES["h10_components_all"](spark, sf).collect()} == want
+    assert sum(r["size"] for r in plans.QUERIES["h11_repair_plan_all"](spark, sf).collect()) == len(want)
+
+
 def test_lookups_and_joins(spark):
     rng = random.Random(5)
     left = [(rng.randrange(3), i, rng.randrange(60)) for i in range(40)]
