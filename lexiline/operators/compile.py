@@ -126,15 +126,16 @@ def components_of(edges: DataFrame) -> DataFrame:
     return labels.join(least, "root").select(F.col("a").alias("node"), "component")
 
 
-def closure(edges: DataFrame, starts: DataFrame, levels: int = 10) -> DataFrame:
-    """All that starts (node) reach over (a, b), a directed graph of bounded depth; frontiers only hold new nodes."""
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """All that starts (node) reach over (a, b), a directed graph; frontiers only hold new nodes, so they end, after cycles too."""
     _shared_folder(edges.sparkSession)
     seen = frontier = starts.select("root", "node").distinct().checkpoint()
-    for _ in range(levels):
+    k = 0
+    while not frontier.isEmpty():
         frontier = frontier.join(edges, frontier["node"] == edges["a"]).select("root", F.col("b").alias("node")).distinct().join(seen, ["root", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        seen, k = seen.unionByName(frontier), k + 1
+        if k % 8 == 0:  # the union stays short
+            seen = seen.checkpoint()
     return seen
 
 
@@ -250,11 +251,17 @@ def _repairs(s, d, which="true"):
 _SAMPLE = "l_orderkey % 40 = 3"
 
 
-def _dag(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k")).filter("k < 4000")
+def _dag(s, d, which="true"):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k")).filter(which)
     return o.select(F.col("k").alias("a"), F.explode(F.array(F.expr("k div 2"), F.expr("k div 3"))).alias("b")).filter("b > 0")
 
 
+def _ancestors(s, d, which="true"):
+    """What every order divisible by 50, of those that which takes, reaches among these."""
+    roots = table(s, d, "orders").select(F.col("o_orderkey").alias("k")).filter(which).filter("k % 50 = 0")
+    return closure(_dag(s, d, which), roots.select(F.col("k").alias("root"), F.col("k").alias("node")))
+
+
 def _patched(s, d):
     r = table(s, d, "events").filter("event_id % 4 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("event_type").alias("title"))
     op = F.expr("case when event_id % 20 = 0 then 'drop' when event_id % 28 = 4 then 'retitle' when event_id % 33 = 1 and event_id % 4 <> 0 then 'add' end")
@@ -310,7 +317,8 @@ QUERIES = {
     "h15_h16_patched": _patched,
     "h17_review_commands": lambda s, d: candidates(s, d).withColumn("cmd", F.expr("element_at(array('accept', 'reject', 'nudge', 'restore'), cast(candidate_id % 4 + 1 as int))")).select("source_id", "candidate_id", F.when(F.col("cmd") == "reject", "rejected").when(F.col("cmd") == "accept", "accepted").otherwise("open").alias("status"), F.when(F.col("cmd") == "nudge", F.least("top", F.col("last") + 1)).otherwise(F.col("last")).alias("last")),
     "h18_corrections": lambda s, d: corrected(words(s, d)),
-    "j4_closure": lambda s, d: closure(_dag(s, d), table(s, d, "orders").filter("o_orderkey < 4000 and o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("root"), F.col("o_orderkey").alias("node")), 12),
+    "j4_closure": lambda s, d: _ancestors(s, d, "k < 4000"),
+    "j4_closure_all": _ancestors,
     "j5_semantic_keys": _semantic,
     "r1_r2_lead_in": lambda s, d: lead_in(_ranges(s, d), sentence_grid(words(s, d))),
     "r3_r4_r5_range_ends": lambda s, d: stale_open(_ranges(s, d), sentence_grid(words(s, d))),
@@ -334,6 +342,7 @@ ORACLES = {
     "h17_review_commands": f"WITH {GRID_SQL}, {CANDIDATES_SQL} SELECT source_id, candidate_id, CASE candidate_id % 4 WHEN 1 THEN 'rejected' WHEN 0 THEN 'accepted' ELSE 'open' END AS status, CASE WHEN candidate_id % 4 = 2 THEN least(top, last + 1) ELSE last END AS last FROM cand",
     "h18_corrections": f"WITH {WORDS_SQL}, k AS (SELECT *, CASE WHEN ord % 23 = 7 THEN 'delete' WHEN ord % 31 = 4 THEN 'split' WHEN ord % 19 = 2 THEN 'replace' ELSE 'keep' END AS op, start_ms + (end_ms - start_ms) // 2 AS mid FROM words), u AS (SELECT source_id, ord AS parent, 0 AS part, CASE op WHEN 'split' THEN substr(text, 1, 2) WHEN 'replace' THEN text || '+' ELSE text END AS text, start_ms, CASE WHEN op = 'split' THEN mid ELSE end_ms END AS end_ms FROM k WHERE op <> 'delete' UNION ALL SELECT source_id, ord, 1, substr(text, 3), mid, end_ms FROM k WHERE op = 'split') SELECT source_id, parent, row_number() OVER (PARTITION BY source_id ORDER BY parent, part) - 1 AS ord, text, start_ms, end_ms FROM u",
     "j4_closure": "WITH RECURSIVE e AS (SELECT a, b FROM (SELECT o_orderkey AS a, unnest([o_orderkey // 2, o_orderkey // 3]) AS b FROM orders WHERE o_orderkey < 4000) WHERE b > 0), r AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 50 = 0 UNION SELECT root, b FROM r JOIN e ON e.a = r.node) SELECT * FROM r",
+    "j4_closure_all": "WITH RECURSIVE e AS (SELECT a, b FROM (SELECT o_orderkey AS a, unnest([o_orderkey // 2, o_orderkey // 3]) AS b FROM orders) WHERE b > 0), r AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT root, b FROM r JOIN e ON e.a = r.node) SELECT * FROM r",
     "j5_semantic_keys": f"WITH {GRID_SQL}, {CANDIDATES_SQL} SELECT source_id, min(candidate_id) AS first_id, count(*) AS n FROM cand GROUP BY source_id, last - first, first % 2",
     "r1_r2_lead_in": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, {_R}, {_T}, j AS (SELECT rg.*, tl.* EXCLUDE (source_id) FROM rg ASOF LEFT JOIN tl ON tl.source_id = rg.source_id AND rg.s >= tl.ts), f AS (SELECT *, coalesce(p_sp <> sp AND s - p_e <= {LEAD_GAP_MS} AND p_e - p_s <= {LEAD_TURN_MS}, false) AS one FROM j), h AS (SELECT *, coalesce(one AND p_a AND p_s - pp_e <= {LEAD_GAP_MS} AND pp_e - pp_s <= {SECOND_TURN_MS}, false) AS two FROM f) SELECT source_id, rid, CASE WHEN one THEN p_s ELSE s END AS one, CASE WHEN two THEN pp_s WHEN one THEN p_s ELSE s END AS two FROM h",
     "r3_r4_r5_range_ends": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, {_R}, j AS (SELECT rg.source_id, rid, s, e, coalesce(a.ends_turn AND NOT a.opens_turn AND abs(s - a.start_ms) <= 1, false) AS stale, z.pause_after_ms AS pa, z.opens_turn AS ot, z.is_question AS q, z.start_ms AS zs FROM rg ASOF LEFT JOIN grid a ON a.source_id = rg.source_id AND rg.s >= a.start_ms ASOF LEFT JOIN grid z ON z.source_id = rg.source_id AND rg.e >= z.start_ms) SELECT source_id, rid, stale, e + least(coalesce(pa, 0), {AIR_MS}) AS extended, CASE WHEN ot AND q AND zs > s THEN zs ELSE e END AS trimmed FROM j",

@@ -87,6 +87,12 @@ def test_components_of_all_rows(spark):
     assert sum(r["size"] for r in plans.QUERIES["h11_repair_plan_all"](spark, sf).collect()) == len(want)
 
 
+def test_closure_of_deep_graphs(spark):
+    edges = [(i, i - 1) for i in range(1, 31)] + [(0, 30)]
+    got = plans.closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(7, 30), (8, 99)], "root long, node long")).collect()
+    assert sorted(map(tuple, got)) == [(7, x) for x in range(31)] + [(8, 99)]
+
+
 def test_lookups_and_joins(spark):
     rng = random.Random(5)
     left = [(rng.randrange(3), i, rng.randrange(60)) for i in range(40)]
