@@ -26,9 +26,19 @@ from lexiline.llm.tokens import word_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _where(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids (doc_id of ids, each once), null ids too."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame, *order) -> DataFrame:
+    """The documents with a number for each row, which stands for doc_id in a stage: rows of one doc_id, or of none, stay apart. In this order, if one is given."""
+    docs = docs.select(*COLUMNS)
+    return materialise((docs.orderBy(*order) if order else docs).withColumn("row", F.monotonically_increasing_id()), workspace(docs.sparkSession), "numbered")
+
+
+def _as_ids(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("row").alias("doc_id"), "text")
+
+
+def _where(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents with these numbers (doc_id of rows, each once)."""
+    return numbered.join(rows.select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +47,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = _where(docs, near_duplicates(docs).filter("kept"))
-    # repeated rows of a document are copies too; the join has already dealt them by doc_id
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    numbered = _numbered(docs, "doc_id", F.xxhash64("text"))
+    named = numbered.filter("doc_id is not null")
+    kept = _where(named, near_duplicates(_as_ids(named)).filter("kept"))
+    # repeated rows of a document are copies too, also those without words
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(numbered.filter("doc_id is null").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = strip(docs, texts=True).filter("n_removed < n_words or n_words = 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    rest = docs.select("doc_id", "lang", "source")
-    met = rest.join(done, F.col("doc_id").eqNullSafe(F.col("__id")))
+    numbered = _numbered(docs, "doc_id", F.xxhash64("text"))
+    named = numbered.filter("doc_id is not null")
+    done = strip(_as_ids(named), texts=True).filter("n_removed < n_words or n_words = 0").select(F.col("doc_id").alias("row"), F.col("text").alias("__text"))
+    met = named.join(done, "row").unionByName(numbered.filter("doc_id is null").withColumn("__text", F.coalesce("text", F.lit(""))))
     return met.select("doc_id", F.col("__text").alias("text"), "lang", "source", F.char_length("__text").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"))
+    numbered = _numbered(docs)
+    return _where(numbered, decontaminate(_as_ids(numbered), table(spark, sf_dir, "benchmark")).filter("not contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

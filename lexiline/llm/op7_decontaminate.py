@@ -85,29 +85,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = [of(WINDOW).select(F.explode(fingerprints(F.col("w"), [])).alias("fp")), *[of(m).select(F.explode(gram_hashes(word_hashes(F.col("w")), m)).alias("fp")) for m in short]]
     test_fps = materialise(union(prints).distinct().withColumn("found", F.lit(1)), place, "test-fps")
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    counted = own.select("doc_id", "row", let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), fingerprints(w, short).alias("fps"))).alias("r"))
-    prints = counted.select("doc_id", "row", F.col("r.n").alias("n_words"), F.explode_outer("r.fps").alias("fp")).join(small(test_fps, test_fps.count()), "fp", "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nameless = own.filter("doc_id is null")
+    own = own.withColumn("nth", F.lit(None).cast("long"))
+    if not nameless.isEmpty():  # numbered once, as numbers are made anew with each reading
+        own = own.filter("doc_id is not null").unionByName(materialise(nameless.withColumn("nth", F.monotonically_increasing_id()), place, "nameless"))
+    own = own.withColumn("row", F.monotonically_increasing_id())
+    same = lambda a: F.col("doc_id").eqNullSafe(F.col(f"{a}id")) & F.col("nth").eqNullSafe(F.col(f"{a}nth"))
+    counted = own.select("doc_id", "nth", "row", let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), fingerprints(w, short).alias("fps"))).alias("r"))
+    prints = counted.select("doc_id", "nth", "row", F.col("r.n").alias("n_words"), F.explode_outer("r.fps").alias("fp")).join(small(test_fps, test_fps.count()), "fp", "left")
     # the prints of a row are in one task, which sums them before the shuffle
-    base = materialise(prints.groupBy("row", "doc_id", "n_words").agg(F.max("found").alias("found")), place, "base")
+    base = materialise(prints.groupBy("row", "doc_id", "nth", "n_words").agg(F.max("found").alias("found")), place, "base")
 
-    hit_ids = base.filter("found = 1").select(F.col("doc_id").alias("__id")).distinct()
+    hit_ids = base.filter("found = 1").select(F.col("doc_id").alias("__id"), F.col("nth").alias("__nth")).distinct()
     hit_ids = small(hit_ids, hit_ids.count(), BROADCAST_IDS)
-    hit_docs = own.select("doc_id", "text").join(hit_ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    hit_docs = own.select("doc_id", "nth", "text").join(hit_ids, same("__"), "left_semi")
     runs = lambda m: let(words(F.col("text")), lambda w: windows(w, m))
-    found = union([hit_docs.select("doc_id", F.explode(runs(m)).alias("x")).select("doc_id", "x.i", F.lit(m).alias("m"), "x.window") for m in lengths])
+    found = union([hit_docs.select("doc_id", "nth", F.explode(runs(m)).alias("x")).select("doc_id", "nth", "x.i", F.lit(m).alias("m"), "x.window") for m in lengths])
     known = test_windows.select("window").distinct()
     hits = materialise(found.join(small(known, test_windows.count()), "window", "left_semi"), place, "hits")
     # covered words: spans in order, each from where the last one ended
     spans = F.array_sort(F.collect_set(F.struct("i", (F.col("i") + F.col("m")).alias("e"))))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     join = lambda a, s: F.struct(F.greatest(a["end"], s["e"]).alias("end"), (a["total"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["end"], s["i"]))).alias("total"))
-    covered = hits.groupBy("doc_id").agg(spans.alias("spans")).select("doc_id", F.aggregate("spans", start, join, lambda a: a["total"]).cast("long").alias("n_hit"))
-    pairs = hits.select("doc_id", "window").distinct().join(small(test_windows, test_windows.count()), "window").filter("item_id is not null").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hit = covered.join(listed.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(F.col("doc_id").alias("hit_id"), "n_hit", "items")
+    covered = hits.groupBy("doc_id", "nth").agg(spans.alias("spans")).select("doc_id", "nth", F.aggregate("spans", start, join, lambda a: a["total"]).cast("long").alias("n_hit"))
+    pairs = hits.select("doc_id", "nth", "window").distinct().join(small(test_windows, test_windows.count()), "window").filter("item_id is not null").select("doc_id", "nth", F.col("item_id").cast("string").alias("item")).distinct()
+    listed = pairs.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = covered.join(listed.withColumnsRenamed({"doc_id": "__id", "nth": "__nth"}), same("__"), "left").select(F.col("doc_id").alias("hit_id"), F.col("nth").alias("hit_nth"), "n_hit", "items")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return base.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
+    return base.join(hit, same("hit_"), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

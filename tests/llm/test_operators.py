@@ -351,3 +351,24 @@ def test_pipeline(spark, tmp_path):
         docs = out
         kept = after
     assert kept and corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(kept)
+
+
+def test_rows_without_ids(spark, tmp_path):
+    """Rows of no doc_id, or of one doc_id with different texts, are documents of their own in every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    leak = noise(14)
+    rows = [(None, noise(30), "en", "a", 0), (None, f"{noise(9)} {leak}", "de", "b", 0), (None, noise(40), "fr", "c", 0), (1, noise(30), "en", "a", 0), (1, f"{leak} {noise(9)}", "de", "b", 0), (1, noise(35), "fr", "c", 0), (2, noise(5), "en", "a", 0)]
+    rows = [(*r[:4], len(r[1])) for r in rows]
+    docs = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda x: sorted(map(tuple, x), key=str)
+    marked = op7_decontaminate.decontaminate(docs.filter("doc_id is null"), bench).collect()
+    assert sorted((r["n_words"], r["n_hit"], r["contaminated"]) for r in marked) == [(23, 14, True), (30, 0, False), (40, 0, False)]
+    assert order(corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == order(rows)
+    once = spark.createDataFrame([r for r in rows if r[0] is None or r[2] != "de"], docs.schema)
+    assert order(corpus_pipeline.substrings(spark, once, str(tmp_path)).collect()) == order(once.collect())
+    assert order(corpus_pipeline.decontamination(spark, docs, str(tmp_path)).distinct().collect()) == order(r for r in rows if leak not in r[1])
