@@ -225,7 +225,7 @@ QUERIES = {
     "e15_admission": lambda s, d: admission(ledger(s, d), 12_000_000, 4),
     "e16_staircase": _staircase,
     "e17_run_projection": _projection,
-    "e18_bootstrap_interval": lambda s, d: bootstrap_interval(table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(F.col("lang").alias("key"), F.col("doc_id").alias("pair"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta")), 400),
+    "e18_bootstrap_interval": lambda s, d: bootstrap_interval(table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(F.col("lang").alias("key"), F.col("doc_id").alias("pair"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))),
     "e19_technical_delivery": _delivery,
 }
 ORACLES = {

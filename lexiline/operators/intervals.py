@@ -213,15 +213,15 @@ def regions(g: DataFrame, size: int = 12) -> DataFrame:
 REGIONS_SQL = "reg AS (SELECT source_id, sentence_id // 12 AS r_id, min(sentence_id) AS r_first, max(sentence_id) + 1 AS r_end FROM grid GROUP BY ALL)"
 
 
-def points(s: SparkSession, d: str) -> DataFrame:
-    return spans(s, d).filter("id % 3 = 0").select("key", "id", (F.col("start_ms") + 45_000).alias("t"))
+def points(s: SparkSession, d: str, which: str = "id % 3 = 0") -> DataFrame:
+    return spans(s, d).filter(which).select("key", "id", (F.col("start_ms") + 45_000).alias("t"))
 
 
 POINTS_SQL = "pts AS (SELECT key, id, start_ms + 45000 AS t FROM spans WHERE id % 3 = 0)"
 
 
-def word_points(s: SparkSession, d: str) -> DataFrame:
-    return words(s, d).filter("ord % 5 = 2").select("source_id", "ord", (F.col("start_ms") - 777).alias("t"))
+def word_points(s: SparkSession, d: str, which: str = "ord % 5 = 2") -> DataFrame:
+    return words(s, d).filter(which).select("source_id", "ord", (F.col("start_ms") - 777).alias("t"))
 
 
 _WP = "wp AS (SELECT source_id, ord, start_ms - 777 AS t FROM words WHERE ord % 5 = 2)"
@@ -242,10 +242,10 @@ def _cand(f):
     return lambda s, d: f(candidates(s, d))
 
 
-def _paras(s, d):
+def _paras(s, d, which="ord % 5 = 2"):
     from lexiline.operators.segment import display_paragraphs
 
-    return paragraph_of_word(words(s, d).filter("ord % 5 = 2").select("source_id", (F.col("ord") + 40).alias("t")), display_paragraphs(words(s, d)))
+    return paragraph_of_word(words(s, d).filter(which).select("source_id", (F.col("ord") + 40).alias("t")), display_paragraphs(words(s, d)))
 
 
 def _fragments(s, d):
@@ -263,10 +263,15 @@ QUERIES = {
     "c3_interval_totals": lambda s, d: interval_totals(subtracted(*_two(s, d), ["key"]), ["key"]),
     "c4_coverage_assessment": lambda s, d: coverage_assessment(*_two(s, d), ["key"]),
     "c5_inside_test": lambda s, d: inside_test(points(s, d), spans(s, d).filter("kind = 'view'"), ["key"]),
+    "c5_inside_test_all": lambda s, d: inside_test(points(s, d, "true"), spans(s, d).filter("kind = 'view'"), ["key"]),
     "c6_clearance": lambda s, d: clearance(points(s, d), spans(s, d).filter("kind = 'view'"), ["key"]),
+    "c6_clearance_all": lambda s, d: clearance(points(s, d, "true"), spans(s, d).filter("kind = 'view'"), ["key"]),
     "c7_sentence_at": lambda s, d: sentence_at(word_points(s, d), sentence_grid(words(s, d))),
+    "c7_sentence_at_all": lambda s, d: sentence_at(word_points(s, d, "true"), sentence_grid(words(s, d))),
     "c7_word_at": lambda s, d: word_at(word_points(s, d).drop("ord"), words(s, d)),
+    "c7_word_at_all": lambda s, d: word_at(word_points(s, d, "true").drop("ord"), words(s, d)),
     "c8_paragraph_of_word": _paras,
+    "c8_paragraph_of_word_all": lambda s, d: _paras(s, d, "true"),
     "c9_resolve_span": lambda s, d: resolve_span(candidates(s, d).select("source_id", (F.col("first") - 2).alias("first"), (F.col("last") + 4).alias("last")), sentence_grid(words(s, d))),
     "c10_temporal_iou": lambda s, d: spans(s, d).withColumn("n", F.lead("start_ms").over(Window.partitionBy("key").orderBy("start_ms", "id"))).withColumn("m", F.lead("end_ms").over(Window.partitionBy("key").orderBy("start_ms", "id"))).filter("n is not null").select("key", "id", F.round(temporal_iou(F.col("start_ms"), F.col("end_ms"), F.col("n"), F.col("m")), 6).alias("iou")),
     "c11_overlap_pairs": _cand(overlap_pairs),
@@ -314,3 +319,5 @@ ORACLES = {
     "c22_fragment_coverage": f"WITH {GRID_SQL}, f AS (SELECT source_id, sentence_id, length(text) AS n, unnest(range(0, length(text), 30)) AS a FROM grid), k AS (SELECT *, least(n, a + 30) AS z FROM f WHERE (source_id + sentence_id + a) % 37 <> 4), g AS (SELECT *, a > coalesce(max(z) OVER (PARTITION BY source_id, sentence_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM k) SELECT source_id, sentence_id, NOT bool_or(gap) AND max(z) = max(n) AS complete, count(*) AS fragments FROM g GROUP BY ALL",
     "x1_reused_length": f"WITH {SPANS_SQL}, clip AS (SELECT a.key, a.id, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms FROM spans a JOIN spans b ON a.key = b.key AND a.id <> b.id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms), {_MERGED('clip', 'm', 'key, id')}, u AS (SELECT key, id, sum(end_ms - start_ms)::BIGINT AS r FROM m GROUP BY ALL) SELECT s.key, s.id, coalesce(r, 0)::BIGINT AS reused_ms FROM spans s LEFT JOIN u ON u.key = s.key AND u.id = s.id",
 }
+# the lookups of every event and every word
+ORACLES |= {f"{n}_all": ORACLES[n].replace(" WHERE id % 3 = 0", "").replace(" WHERE ord % 5 = 2", "") for n in ("c5_inside_test", "c6_clearance", "c7_sentence_at", "c7_word_at", "c8_paragraph_of_word") if n in ORACLES}

@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexiline.operators import aggregate
 from lexiline.operators import compile as plans
 from lexiline.operators import metrics
 from lexiline.plans.ordered import as_of, merged, range_join
@@ -93,6 +94,14 @@ def test_closure_of_deep_graphs(spark):
     assert sorted(map(tuple, got)) == [(7, x) for x in range(31)] + [(8, 99)]
 
 
+def test_bootstrap_of_2000_resamples(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    deltas = labels.join(docs, "doc_id").select(F.col("lang").alias("key"), F.col("doc_id").alias("pair"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
+    got = aggregate.QUERIES["e18_bootstrap_interval"](spark, sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, aggregate.bootstrap_interval(deltas, 2000).collect()))
+
+
 def test_lookups_and_joins(spark):
     rng = random.Random(5)
     left = [(rng.randrange(3), i, rng.randrange(60)) for i in range(40)]
