@@ -35,6 +35,13 @@ def materialise(df: DataFrame, place: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{place}/{name}")
 
 
+def drop(place: str, spark: SparkSession, *names: str) -> None:
+    """Deletes materialised steps that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value. Plain columns that a lambda uses get inlined, and then computed anew for each element,
     wherever the optimizer pushes a filter below their projection; a bound one is computed once."""

@@ -5,13 +5,15 @@ each are the bands (a pair at similarity 0.75 misses all BANDS of them with a pr
 into 64-bit planes. Two documents of one band bucket are compared by the number of equal two-bit minima, corrected for chance collisions;
 those that may reach the threshold (all but 1e-6 of the pairs that do) are confirmed on their full sets.
 
-Documents with equal sets are one class from the start. A bucket isn't expanded into pairs: in each round every
-bucket whose members aren't yet in one component compares them with one member, its pivot, and what is confirmed is
-merged. After ROUNDS rounds the pairs of different components that remain in a bucket, and that no round compared, are compared too,
-so no link between components is lost. Texts move once, for documents that pass the bit estimate with any pivot.
-
-Empty texts and null ones have no set and stand alone. A null doc_id is not linked (component null, kept). Rows with equal doc_id are
-one node, each row is returned; an empty table gives no rows; other columns are ignored.
+Documents with equal sets are one node from the start. A bucket isn't expanded into pairs. First every node meets one other: of the hubs
+of its buckets (a bucket's hub is the member that shares most buckets with others) the greatest; what is confirmed is merged. Then a bucket
+whose members aren't yet in one component takes PIVOTS pivots outside its largest component, and compares them with its members of other
+components. Where components are still left in one bucket after that, all outside the largest one meet the others: in blocks of bounded size, by bit counts, and only
+pairs that pass become rows, each in the first bucket that both have. So no link between components is lost, and pairs within a component aren't looked at. In a comparison
+the pivot's signature or text goes ahead of those of the others, once for at most HEADED of them; buckets and pivots with many members are dealt by salts.
+
+Empty texts and null ones have no set and stand alone. A null doc_id is not linked (component null, kept). Rows of one doc_id with different
+sets are nodes of their own under one name; each row is returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import grams, hashes, materialise, mixed, slices, table, words_of, workspace
-from lexiline.llm.components import components
+from lexiline.llm.common import grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
+from lexiline.llm.components import components, merged
 
 SHINGLE, PERMUTATIONS, ROWS, BANDS = 5, 1024, 4, 32
 PLANES = 2 * PERMUTATIONS // 64
 #: equal two-bit minima from which a pair is confirmed: at 0.75, 832 of 1024 are expected, and this is 4.8 deviations of 12.5 less
 LEAST_EQUAL = 772
-ROUNDS = 2
+#: members that one copy of a pivot is sent ahead of; salts of a bucket that holds more than a HEAVY-th of all entries; pivots of the first round
+HEADED, SALTS, HEAVY, PIVOTS = 512, 64, 20_000, 4
+#: sketches that a task holds, and members that it compares them with, in what the rounds leave
+BLOCK, PART = 1024, 4096
+#: rows (id, digest, pair) that may be broadcast, by count
+BROADCAST_ROLES = 200_000
 _RNG = np.random.Generator(np.random.PCG64(2))
 FACTORS = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -60,7 +67,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least
 
 
-SKETCH = f"doc_id long, n_shingles long, set_key binary, planes array<long>, bands array<long>"
+def set_key(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+SKETCH = "doc_id long, n_shingles long, set_key binary, planes binary, bands array<long>"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -77,110 +88,200 @@ def sketch(docs: DataFrame) -> DataFrame:
             # all bits of a minimum are mixed first: the low ones of FACTORS * x + SHIFTS depend on the low ones of x alone
             kept = np.stack([mixed(m.astype(np.uint64)).astype(np.uint8) for m in least])
             bits = np.stack([kept & 1, (kept >> 1) & 1], axis=1)
-            planes = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little").view("<i8")
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1).astype(np.int64)))
+            planes = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS), pa.int32()), pa.array(band.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), lists(planes), lists(band.view(np.int64))],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([*map(set_key, own)], pa.binary()), pa.array([p.tobytes() for p in planes], pa.binary()), bands],
                 ["doc_id", "n_shingles", "set_key", "planes", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, SKETCH)
 
 
-def may_link(a: str, b: str) -> Column:
-    """The bit count of equal two-bit minima reaches LEAST_EQUAL."""
-    at = lambda c, i: F.get(F.col(c), F.lit(i))
-    half, differ = PLANES // 2, F.lit(0)
-    for i in range(half):
-        differ = differ + F.bit_count(at(a, i).bitwiseXOR(at(b, i)).bitwiseOR(at(a, i + half).bitwiseXOR(at(b, i + half))))
-    return F.lit(PERMUTATIONS) - differ >= LEAST_EQUAL
+class Buckets:
+    """Rows of buckets joined with a few rows of each bucket; those of heavy buckets are dealt by salts.
+
+    At most HEAVY buckets can hold more than a HEAVY-th of all entries, so the broadcast list of them is bounded."""
+
+    def __init__(self, sizes: DataFrame, entries: int, place: str):
+        heavy = sizes.filter(F.col("n") > max(1000, entries // HEAVY)).select("bucket", F.lit(True).alias("heavy"))
+        self.heavy = materialise(heavy, place, "heavy")
+
+    def join(self, rows: DataFrame, few: DataFrame) -> DataFrame:
+        marked = lambda df: df.join(F.broadcast(self.heavy), "bucket", "left")
+        left = marked(rows).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)).drop("heavy")
+        salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        return left.join(marked(few).withColumn("salt", F.explode(salts)).drop("heavy"), ["bucket", "salt"]).drop("salt")
+
+
+def headed(pairs: DataFrame, place: str, name: str) -> DataFrame:
+    """What a comparison needs, by node: (node, a, salt, b), where b is null for the copies of a that go ahead."""
+    pairs = materialise(pairs, place, name)
+    # fewer than HEAVY of them can have more than a HEAVY-th of all pairs
+    most = max(HEADED, pairs.count() // HEAVY)
+    heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("a", F.ceil(F.col("n") / HEADED).alias("salts"))
+    dealt = materialise(pairs.join(F.broadcast(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt")), place, f"{name}-dealt")
+    return dealt.select(F.col("b").alias("node"), "a", "salt", "b").unionByName(dealt.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct())
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a < b) whose full sets have 100 * intersection >= threshold * union."""
+def compared(rows: DataFrame, columns: list[str], of, near) -> DataFrame:
+    """The pairs (a, b) for which near(head, others) holds: rows of headed() with their node's columns, whose batches of() turns into values."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, np.ndarray] = (None, np.zeros(0))  # rows of one a follow each other
-        for batch in batches:
-            for part in slices(slices(iter([batch]), "text_a"), "text_b"):
-                right, found = sets(part.column("text_b")), []
-                for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), right)):
-                    if last[0] != a:
-                        last = (a, sets(part.column("text_a").slice(i, 1))[0])
-                    both = len(np.intersect1d(last[1], b, assume_unique=True))
-                    found.append(100 * both >= threshold * (len(last[1]) + len(b) - both))
-                yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+        head = None
+        for batch in slices(batches, columns[0]):
+            values, ahead = of(batch), pc.is_null(batch.column("b")).to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(ahead).tolist(), batch.num_rows]
+            found = np.zeros(batch.num_rows, bool)
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and ahead[a]:
+                    head, a = values[a] if values[a] is not None else head, a + 1
+                if a < b:
+                    found[a:b] = near(head, values[a:b])
+            yield batch.select(["a", "b"]).filter(pa.array(found))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.select("a", "b", *columns).mapInArrow(task, "a long, b long")
+
+
+def estimated(pairs: DataFrame, planes: DataFrame, place: str, name: str) -> DataFrame:
+    """The pairs whose bit count of equal two-bit minima reaches LEAST_EQUAL."""
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("planes").to_pylist()), np.uint64).reshape(-1, 2, PLANES // 2)
+
+    def near(head: np.ndarray, others: np.ndarray) -> np.ndarray:
+        differ = head ^ others
+        return PERMUTATIONS - np.bitwise_count(differ[:, 0] | differ[:, 1]).sum(axis=1, dtype=np.int64) >= LEAST_EQUAL
+
+    return compared(headed(pairs, place, name).join(planes, "node"), ["planes"], of, near)
+
 
-    met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, place: str, name: str) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= threshold * union; nodes: node, id, set_key; docs: id, text."""
+
+    def of(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+        # of several texts under one doc_id the one that the node was made of
+        return [s if set_key(s) == k else None for s, k in zip(sets(batch.column("text")), batch.column("set_key").to_pylist())]
+
+    def near(head: np.ndarray, others: list[np.ndarray | None]) -> list[bool]:
+        both = [-1 if x is None else len(np.intersect1d(head, x, assume_unique=True)) for x in others]
+        return [k >= 0 and 100 * k >= threshold * (len(head) + len(x) - k) for k, x in zip(both, others)]
+
+    roles = materialise(headed(pairs, place, name).join(nodes, "node").select("id", "set_key", "a", "salt", "b"), place, f"{name}-roles")
+    met = docs.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles, "id")
+    return compared(met.select("text", "set_key", "a", "salt", "b"), ["text", "set_key"], of, near).distinct()
+
+
+def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    turned = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
+
+
+def in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components in a bucket that reach LEAST_EQUAL, each once: rows (bucket, node, c, main, m, n).
+
+    Those outside a bucket's largest component are dealt into blocks of about BLOCK, and all members into parts of about PART; a task
+    holds the sketches of one block and streams the members of a part past them. Only pairs that pass are rows."""
+    outside = F.col("n") - F.col("m")
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    blocks, parts = F.ceil(outside / BLOCK), F.ceil(F.col("n") / PART)
+    where = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "node"), k)
+    columns = ["bucket", "node", "c", (F.col("c") == F.col("main")).alias("inside")]
+    heads = rows.filter("c <> main").select(*columns, where(1, blocks).alias("block"), F.explode(upto(parts)).alias("part"), F.lit(True).alias("head"))
+    members = rows.select(*columns, F.explode(upto(blocks)).alias("block"), where(2, parts).alias("part"), F.lit(False).alias("head"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+
+        def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            planes = np.frombuffer(b"".join(batch.column("planes").to_pylist()), np.uint64).reshape(-1, 2, PLANES // 2)
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            return batch.column("node").to_numpy(), batch.column("c").to_numpy(), planes, bands
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "block", "part")])
+            head = batch.column("head").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (head[1:] != head[:-1])) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                own, part = tuple(keys[:, x].tolist()), arrays(batch.slice(x, y - x))
+                if own != key:
+                    key, held, block = own, [], None
+                if head[x]:
+                    held.append(part)
+                    continue
+                block = block or tuple(np.concatenate(z) for z in zip(*held))
+                inside = batch.column("inside").slice(x, y - x).to_numpy(zero_copy_only=False)
+                for i in range(0, y - x, 32):  # what is compared at once is bounded
+                    node, c, planes, bands = (z[i : i + 32] for z in part)
+                    differ = planes[:, None] ^ block[2][None]
+                    near = PERMUTATIONS - np.bitwise_count(differ[:, :, 0] | differ[:, :, 1]).sum(axis=2, dtype=np.int64) >= LEAST_EQUAL
+                    near &= (c[:, None] != block[1][None]) & (inside[i : i + 32, None] | (node[:, None] < block[0][None]))
+                    m, h = np.nonzero(near)
+                    same = bands[m] == block[3][h]
+                    once = bands[m, same.argmax(axis=1)] == own[0] if len(m) else np.zeros(0, bool)  # the first bucket that both have
+                    if once.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(block[0][h[once]]), pa.array(node[m[once]])], ["a", "b"])
+
+    dealt = heads.unionByName(members).join(sketches, "node").repartition(partitions(rows.sparkSession), "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", F.desc("head"))
+    return dealt.select("bucket", "block", "part", "head", "node", "c", "inside", "planes", "bands").mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     place = workspace(docs.sparkSession)
     sketched = materialise(sketch(docs), place, "sketch")
-    # equal sets are linked: their class is named by its smallest doc_id
-    full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("id")), place, "classes")
-    first = full.join(classes.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("id"))).select("id", "planes", "bands").dropDuplicates(["id"])
-    first = materialise(first, place, "first")
-    banded = first.select("id", F.explode("bands").alias("bucket"))
-    # buckets of one class are nothing to look at again
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    banded = materialise(banded.join(shared, "bucket"), place, "banded")
-    planes = first.select("id", "planes")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(planes.select(F.col("id").alias("a"), F.col("planes").alias("pa")), "a")
-        return left.join(planes.select(F.col("id").alias("b"), F.col("planes").alias("pb")), "b").filter(may_link("pa", "pb")).select("a", "b")
-
-    def pairs_of(met: DataFrame) -> DataFrame:
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-
-    def through(pivots: DataFrame) -> DataFrame:
-        return pairs_of(banded.join(pivots, "bucket").select(F.col("id").alias("x"), F.col("pivot").alias("y")))
-
-    stars = banded.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    tried = materialise(estimated(through(stars)), place, "tried0")
-    wanted = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = materialise(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]), place, "texts")
-    links = materialise(confirm(tried, texts, threshold), place, "links0")
-    found = components(links, place, "round0")
-    for k in range(1, ROUNDS + 2):
-        labelled = banded.join(found.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
-        split = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.xxhash64(F.lit(k), F.col("id"))).alias("pivot")).filter("lo < hi")
-        split = split.select("bucket", "pivot")
-        open_ = materialise(labelled.join(split, "bucket"), place, f"open{k}")
-        if open_.isEmpty():
-            break
-        if k <= ROUNDS:
-            own = open_.filter("id = pivot").select("bucket", F.col("c").alias("pc"))
-            met = open_.join(own, "bucket").filter("c <> pc").select(F.col("id").alias("x"), F.col("pivot").alias("y"))
-            candidates = estimated(pairs_of(met))
-        else:  # all that is left, filtered by the bit estimate inside the join
-            side = lambda x: open_.select("bucket", F.col("id").alias(x), F.col("c").alias(f"c{x}")).join(first.select(F.col("id").alias(x), F.col("planes").alias(f"p{x}"), F.col("bands").alias(f"b{x}")), x)  # noqa: B023, E731
-            left, right = side("a"), side("b")
-            once = F.array_min(F.array_intersect("ba", "bb")) == left["bucket"]  # a pair is taken in one of its buckets
-            met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("pa", "pb") & once)
-            candidates = met.select("a", "b").distinct()
-        fresh = materialise(candidates.join(tried, ["a", "b"], "left_anti"), place, f"fresh{k}")
-        if fresh.isEmpty():
-            continue
-        tried = materialise(tried.unionByName(fresh), place, f"tried{k}")
-        missing = fresh.select(F.col("a").alias("id")).unionByName(fresh.select(F.col("b").alias("id"))).distinct().join(texts, "id", "left_anti")
-        missing = materialise(missing, place, f"missing{k}")
-        n = missing.count()
-        if n:  # the few texts that no earlier pair needed
-            more = source.join(F.broadcast(missing) if n <= 50_000 else missing, "id", "left_semi").dropDuplicates(["id"])
-            texts = texts.unionByName(materialise(more, place, f"texts{k}"))
-        more = materialise(confirm(fresh, texts, threshold), place, f"links{k}")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, place, f"round{k}")
-    named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    # equal sets are linked: they are one node, named by its smallest doc_id
+    full = sketched.filter("n_shingles > 0 and doc_id is not null")
+    nodes = full.groupBy("set_key").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, place, "nodes")
+    first = full.join(nodes.withColumnsRenamed({"id": "doc_id"}), ["set_key", "doc_id"]).select("node", "planes", "bands")
+    first = materialise(first.dropDuplicates(["node"]), place, "first")
+    planes, banded = first.select("node", "planes"), first.select("node", F.explode("bands").alias("bucket"))
+    # buckets of one node are nothing to look at again
+    sizes = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), place, "sizes")
+    buckets = Buckets(sizes, BANDS * nodes.count(), place)
+    shared = materialise(buckets.join(banded, sizes), place, "shared")
+
+    weight = materialise(shared.groupBy("node").agg(F.sum("n").alias("weight")), place, "weight")
+    rank = F.struct("weight", "node").alias("hub")
+    hubs = shared.join(weight, "node").groupBy("bucket").agg(F.max(rank).alias("hub"))
+    stars = buckets.join(shared.select("bucket", "node"), hubs).filter("hub.node <> node").groupBy("node").agg(F.max("hub").alias("hub"))
+    tried = materialise(estimated(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), planes, place, "stars"), place, "tried0")
+    links = materialise(confirmed(tried, source, nodes, threshold, place, "met0"), place, "links0")
+    # links lead from greater hubs to lesser ones, so what they lead to has no cycles
+    found = components(links, place, "round0", led=True)
+
+    def open_buckets(name: str) -> DataFrame:
+        """(bucket, node, c, main, m, n) of buckets with several components: their largest one, its members and all."""
+        labelled = shared.select("bucket", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+        state = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
+        return materialise(buckets.join(labelled, materialise(state.filter("m < n"), place, f"{name}-left")), place, name)
+
+    def met(fresh: DataFrame, name: str) -> DataFrame:
+        """The components after those of the candidate pairs that are links."""
+        return found if fresh.isEmpty() else merged(found, materialise(confirmed(fresh, source, nodes, threshold, place, f"{name}-met"), place, f"{name}-links"), place, f"{name}-round")
+
+    some = open_buckets("open1")
+    if not some.isEmpty():
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        pivots = some.filter("c <> main").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PIVOTS).select("bucket", F.col("node").alias("pivot"), F.col("c").alias("pc"))
+        pairs = buckets.join(some.select("bucket", "node", "c"), pivots).filter("c <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        fresh = materialise(estimated(untried(pairs, tried), planes, place, "some"), place, "tried1")
+        tried, found = tried.unionByName(fresh), met(fresh, "some")
+        rest = open_buckets("open2")
+        if not rest.isEmpty():
+            found = met(materialise(untried(in_blocks(rest, first), tried), place, "tried2"), "rest")
+    least = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("set_key", "id", F.coalesce("component", "node").alias("root"))
+    names = materialise(least.groupBy("root").agg(F.min("id").alias("component_id")), place, "names")
+    named = materialise(least.join(names, "root").select("set_key", "component_id"), place, "named")
+    # rows without a set have a key of their own, by which they are dealt
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).otherwise(F.unhex(F.sha1(F.coalesce(F.col("doc_id"), F.rand() * (1 << 52)).cast("string"))))
+    out = sketched.select("doc_id", "n_shingles", own.alias("set_key")).join(named, "set_key", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
