@@ -42,6 +42,26 @@ def drop(place: str, spark: SparkSession, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Heavy:
+    """Rows joined with a few rows of each key, where a key may hold a third of all rows: those of heavy keys are dealt by salts.
+
+    At most HEAVY keys can hold more than a HEAVY-th of all entries, so the broadcast list of them is bounded."""
+
+    HEAVY, SALTS, LEAST = 20_000, 64, 1000
+
+    def __init__(self, sizes: DataFrame, key: str, entries: int, place: str):
+        """sizes: (key, n)."""
+        self.key = key
+        self.keys = materialise(sizes.filter(F.col("n") > max(self.LEAST, entries // self.HEAVY)).select(key, F.lit(True).alias("heavy")), place, "heavy")
+
+    def join(self, rows: DataFrame, few: DataFrame, deal: str) -> DataFrame:
+        """rows joined with few by the key; column `deal` of rows is what salts are made of."""
+        marked = lambda df: df.join(F.broadcast(self.keys), self.key, "left")
+        left = marked(rows).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(deal), F.lit(self.SALTS))).otherwise(0)).drop("heavy")
+        salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(self.SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        return left.join(marked(few).withColumn("salt", F.explode(salts)).drop("heavy"), [self.key, "salt"]).drop("salt")
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value. Plain columns that a lambda uses get inlined, and then computed anew for each element,
     wherever the optimizer pushes a filter below their projection; a bound one is computed once."""

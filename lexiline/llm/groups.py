@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from lexiline.llm.common import materialise, mixed, partitions, workspace
+from lexiline.llm.common import Heavy, drop, materialise, mixed, partitions, workspace
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 
 
 def bucket_keys(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,36 +61,50 @@ def list_column(own: np.ndarray, key: np.ndarray) -> pa.Table:
     return pa.table({"g": pa.array(own[cut]), "keys": pa.ListArray.from_arrays(pa.array(np.append(cut, len(own)).astype(np.int32)), pa.array(key))})
 
 
-def own_texts(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """doc_id and text of a group's documents that have an id and aren't copies."""
+def own_texts(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """doc_id, row and text of a group's documents that have an id and aren't copies."""
     copies = right.column("copy").drop_null()
     rows = left.filter(pa.compute.is_valid(left.column("doc_id")))
-    rows = rows.filter(pa.compute.invert(pa.compute.is_in(rows.column("doc_id"), value_set=copies))) if len(copies) else rows
-    return rows.column("doc_id").to_numpy(), rows.column("text")
+    rows = rows.filter(pa.compute.invert(pa.compute.is_in(rows.column("row"), value_set=copies))) if len(copies) else rows
+    return rows.column("doc_id").to_numpy(), rows.column("row").to_numpy(), rows.column("text")
 
 
 class Groups:
-    """The documents as a table bucketed by group, and joins of its groups with other rows of theirs."""
+    """The documents as a table bucketed by group, and joins of its groups with other rows of theirs. Each row has a number of its own: rows of one doc_id stay apart.
+
+    Texts of about one length make a group, so that it never holds more than GROUP_BYTES, or one text."""
 
     def __init__(self, docs: DataFrame):
         self.spark, self.place = docs.sparkSession, workspace(docs.sparkSession)
-        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[c for c in ("batch",) if c in docs.columns])
+        extra = [c for c in ("batch",) if c in docs.columns]
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
         size = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
         self.bytes = size["b"] or 0
-        rows = max(1, min(4096, GROUP_BYTES * size["n"] // max(1, self.bytes)))
-        group = F.expr(f"monotonically_increasing_id() div {rows}")
+        mean = max(1, self.bytes // max(1, size["n"]))
+        numbered = source.withColumn("row", F.monotonically_increasing_id())
+        # class k: texts of up to 4^(k+1) times the mean length, fewer to a group
+        k = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.octet_length("text") / F.lit(float(mean)))) / 2) - 1).cast("int")
+        rows = F.greatest(F.lit(1.0), F.least(F.lit(4096.0), F.floor(F.lit(GROUP_BYTES / mean) / F.pow(F.lit(4.0), k + 1)))).cast("long")
+        group = F.floor(F.col("row") / rows)
         self.name = f"lexiline_groups_{uuid.uuid4().hex}"
-        marks = {"g": F.pmod(F.xxhash64(group, *[c for c in ("batch",) if c in docs.columns]), F.lit(1 << 48)), "key": F.unhex(F.md5("text"))}
-        table = source.withColumns(marks)
-        table.write.bucketBy(partitions(self.spark), "g").sortBy("g").option("compression", "zstd").format("parquet").saveAsTable(self.name)
+        marks = {"g": F.pmod(F.xxhash64(group, k, *extra), F.lit(1 << 48)), "key": F.unhex(F.md5("text"))}
+        numbered.withColumns(marks).write.bucketBy(partitions(self.spark), "g").sortBy("g").option("compression", "zstd").format("parquet").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
-        known = self.table.filter("doc_id is not null").select("g", "doc_id", "key")
-        first = known.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
-        self.copies = materialise(known.join(first, "key").filter("doc_id > first").select("g", F.col("doc_id").alias("copy")), self.place, "copies")
+        known = self.table.filter("doc_id is not null").select("g", "row", "doc_id", "key")
+        first = materialise(known.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last"), self.place, "first")
+        heavy = Heavy(first.select("key", "n"), "key", size["n"], self.place)
+        self.copies = materialise(heavy.join(known, first.select("key", "first"), "row").filter("doc_id > first").select("g", F.col("row").alias("copy")), self.place, "copies")
 
     def join(self, right: DataFrame, step, schema: str, where: Column | None = None) -> DataFrame:
         """step(g, documents, rows) on each group with the rows of its g in right."""
         rows = self.table if where is None else self.table.filter(where)
         none = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
         run = lambda key, a, b: step(key[0].as_py(), a, b) if len(a) else none
-        return rows.select("g", "doc_id", "text").groupBy("g").cogroup(right.groupBy("g")).applyInArrow(run, schema)
+        return rows.select("g", "doc_id", "row", "text").groupBy("g").cogroup(right.groupBy("g")).applyInArrow(run, schema)
+
+    def finished(self, result: DataFrame) -> DataFrame:
+        """The result, written, after which the table and all steps go."""
+        out = materialise(result, workspace(self.spark), "stripped")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop(self.place, self.spark, "")
+        return out

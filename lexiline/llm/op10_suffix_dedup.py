@@ -11,8 +11,8 @@ with c has one byte more in common than the least of those between the two occur
 pairs that are still open share a string, and each such interval's smallest doc_id keeps it. An anchor of more than HOT contexts is
 dealt further, by its single windows. Exact copies of a document are taken out at the start: all their bytes are repeats.
 
-Null text is empty, a null doc_id is kept whole and never compared, rows with equal doc_id are taken for one document, an empty table gives no rows,
-other columns are ignored.
+Null text is empty, a null doc_id is kept whole and never compared, rows with equal doc_id are each compared with documents of smaller ones and not with each other, an
+empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def shared_anchors(groups: Groups) -> DataFrame:
     n_buckets = max(1, math.ceil(groups.bytes / 16 / BUCKET_ANCHORS))
 
     def send(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = own_texts(left, right)
+        ids, _, texts = own_texts(left, right)
         keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for first, data, offsets in buffers(texts):
             h, s, _ = anchors(data, offsets)
@@ -127,10 +127,10 @@ def shared_anchors(groups: Groups) -> DataFrame:
 
 
 def entries(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """(fp, ctx, doc_id, s, n, g, late) of the entries with shared anchors; what has an earlier document in its own group is late already."""
+    """(fp, ctx, doc_id, row, s, n, g, late) of the entries with shared anchors; what has an earlier document in its own group is late already."""
 
     def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = own_texts(left, right)
+        ids, rows, texts = own_texts(left, right)
         lists = right.column("keys").drop_null()
         known = np.unique(np.concatenate([c.flatten().to_numpy() for c in lists.chunks])) if lists.num_chunks else np.zeros(0, np.int64)
         parts = []
@@ -142,19 +142,19 @@ def entries(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
             h, s, n = h[hit], s[hit], n[hit]
             doc = np.searchsorted(offsets, s, side="right") - 1
             ctx = Ranges(data.astype(np.uint64) + np.uint64(1)).of(s, n + LENGTH - 1)
-            parts.append((h, ctx, ids[first + doc], s - offsets[doc], n))
-        fp, ctx, doc, s, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+            parts.append((h, ctx, ids[first + doc], rows[first + doc], s - offsets[doc], n))
+        fp, ctx, doc, row, s, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
         order = np.lexsort((doc, ctx, fp))
-        fp, ctx, doc, s, n = (x[order] for x in (fp, ctx, doc, s, n))
+        fp, ctx, doc, row, s, n = (x[order] for x in (fp, ctx, doc, row, s, n))
         late = np.zeros(len(fp), bool)
         if len(fp):
             new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])
             late = doc > doc[new][np.cumsum(new) - 1]
-        fp = np.where(late, mixed(mixed(doc.view(np.uint64)) + s.astype(np.uint64)), fp)  # dealt anywhere
-        return pa.table({"fp": fp.view(np.int64), "ctx": ctx.view(np.int64), "doc_id": doc, "s": s.astype(np.int32), "n": n.astype(np.int32), "g": np.full(len(fp), g, np.int64), "late": late})
+        fp = np.where(late, mixed(mixed(row.view(np.uint64)) + s.astype(np.uint64)), fp)  # dealt anywhere
+        return pa.table({"fp": fp.view(np.int64), "ctx": ctx.view(np.int64), "doc_id": doc, "row": row, "s": s.astype(np.int32), "n": n.astype(np.int32), "g": np.full(len(fp), g, np.int64), "late": late})
 
     right = shared.select("g", "keys", F.lit(None).cast("long").alias("copy")).unionByName(groups.copies.select("g", F.lit(None).cast("array<bigint>").alias("keys"), "copy"))
-    return groups.join(right, step, "fp long, ctx long, doc_id long, s int, n int, g long, late boolean")
+    return groups.join(right, step, "fp long, ctx long, doc_id long, row long, s int, n int, g long, late boolean")
 
 
 def bounded_suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -227,28 +227,27 @@ def late_windows(contexts: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
 
 
 def spans_from_blocks(groups: Groups, wanted: DataFrame, total: int) -> DataFrame:
-    """(g, doc_id, s, n): late windows among the contexts wanted (g, fp, doc_id, s, n, hot)."""
+    """(g, row, s, n): late windows among the contexts wanted (g, fp, doc_id, row, s, n, hot)."""
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
 
     def cut(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"block": [], "doc_id": [], "s": [], "context": []}
+        out = {"block": [], "doc_id": [], "row": [], "s": [], "context": []}
         if right.num_rows:
-            ids = left.column("doc_id").to_pylist()
-            texts = dict(zip(ids, left.column("text").cast(pa.large_binary()).to_pylist()))
-            for fp, doc, s, n, hot in zip(*(right.column(c).to_pylist() for c in ("fp", "doc_id", "s", "n", "hot"))):
-                whole = texts[doc][s : s + n + LENGTH - 1]
+            texts = dict(zip(left.column("row").to_pylist(), left.column("text").cast(pa.large_binary()).to_pylist()))
+            for fp, doc, row, s, n, hot in zip(*(right.column(c).to_pylist() for c in ("fp", "doc_id", "row", "s", "n", "hot"))):
+                whole = texts[row][s : s + n + LENGTH - 1]
                 for a, b in ((i, i + LENGTH) for i in range(n)) if hot else ((0, len(whole)),):
                     own = whole[a:b]
                     out["block"].append((int.from_bytes(hashlib.blake2b(own, digest_size=7).digest(), "little") if hot else fp) % n_blocks)
-                    out["doc_id"].append(doc), out["s"].append(s + a), out["context"].append(own)
-        kinds = {"block": pa.int64(), "g": pa.int64(), "doc_id": pa.int64(), "s": pa.int32(), "context": pa.binary()}
+                    out["doc_id"].append(doc), out["row"].append(row), out["s"].append(s + a), out["context"].append(own)
+        kinds = {"block": pa.int64(), "g": pa.int64(), "doc_id": pa.int64(), "row": pa.int64(), "s": pa.int32(), "context": pa.binary()}
         out["g"] = [g] * len(out["block"])
         return pa.table({k: pa.array(out[k], v) for k, v in kinds.items()})
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             block = pa.Table.from_batches(rows)
-            doc, s, g = (block.column(c).to_numpy() for c in ("doc_id", "s", "g"))
+            doc, place, s, g = (block.column(c).to_numpy() for c in ("doc_id", "row", "s", "g"))
             contexts = [np.frombuffer(x, np.uint8) for x in block.column("context").to_pylist()]
             late = late_windows(contexts, doc)
             windows = np.fromiter((len(x) - LENGTH + 1 for x in contexts), np.int64, len(contexts))
@@ -257,7 +256,7 @@ def spans_from_blocks(groups: Groups, wanted: DataFrame, total: int) -> DataFram
             begins = np.flatnonzero(late & np.concatenate([[True], ~late[:-1] | (own[1:] != own[:-1])]))
             stops = np.flatnonzero(late & np.concatenate([~late[1:] | (own[1:] != own[:-1]), [True]]))
             row = own[begins]
-            return pa.RecordBatch.from_arrays([pa.array(g[row]), pa.array(doc[row]), pa.array((s[row] + inside[begins]).astype(np.int32)), pa.array((stops - begins + 1).astype(np.int32))], ["g", "doc_id", "s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(g[row]), pa.array(place[row]), pa.array((s[row] + inside[begins]).astype(np.int32)), pa.array((stops - begins + 1).astype(np.int32))], ["g", "row", "s", "n"])
 
         current, rows = None, []
         for batch in batches:
@@ -273,8 +272,8 @@ def spans_from_blocks(groups: Groups, wanted: DataFrame, total: int) -> DataFram
         if rows:
             yield done(rows)
 
-    blocks = groups.join(wanted, cut, "block long, g long, doc_id long, s int, context binary")
-    return blocks.repartition(partitions(groups.spark), "block").sortWithinPartitions("block").mapInArrow(transform, "g long, doc_id long, s int, n int")
+    blocks = groups.join(wanted, cut, "block long, g long, doc_id long, row long, s int, context binary")
+    return blocks.repartition(partitions(groups.spark), "block").sortWithinPartitions("block").mapInArrow(transform, "g long, row long, s int, n int")
 
 
 def strip(docs: DataFrame, kept: bool = False) -> DataFrame:
@@ -285,27 +284,27 @@ def strip(docs: DataFrame, kept: bool = False) -> DataFrame:
     by, by_ctx = Window.partitionBy("fp"), Window.partitionBy("fp", "ctx")
     judged = found.withColumns({"first": F.min("doc_id").over(by_ctx), "lo": F.min("ctx").over(by), "hi": F.max("ctx").over(by), "size": F.count("*").over(by)})
     is_late = F.col("late") | (F.col("doc_id") > F.col("first"))
-    judged = judged.select("g", "doc_id", "s", "n", "fp", is_late.alias("late"), (F.col("size") > HOT).alias("hot"), ((F.col("lo") < F.col("hi")) & ~is_late).alias("open")).filter("late or open")
+    judged = judged.select("g", "doc_id", "row", "s", "n", "fp", is_late.alias("late"), (F.col("size") > HOT).alias("hot"), ((F.col("lo") < F.col("hi")) & ~is_late).alias("open")).filter("late or open")
     judged = materialise(judged, groups.place, "judged")
-    wanted = judged.filter("open").select("g", "fp", "doc_id", "s", "n", "hot")
+    wanted = judged.filter("open").select("g", "fp", "doc_id", "row", "s", "n", "hot")
     total = wanted.agg(F.sum(F.when(F.col("hot"), F.col("n") * LENGTH).otherwise(F.col("n") + LENGTH))).first()[0] or 0
     spans = materialise(spans_from_blocks(groups, wanted, total), groups.place, "spans")
-    everything = judged.filter("late").select("g", "doc_id", "s", "n").unionByName(spans)
-    right = everything.withColumn("copy", F.lit(None).cast("long")).unionByName(groups.copies.select("g", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("n"), "copy"))
+    everything = judged.filter("late").select("g", "row", "s", "n").unionByName(spans)
+    right = everything.withColumn("copy", F.lit(None).cast("long")).unionByName(groups.copies.select("g", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("n"), "copy"))
 
     def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
         copies = set(right.column("copy").drop_null().to_pylist())
-        spans = right.filter(pa.compute.is_valid(right.column("doc_id")))
-        ids = left.column("doc_id").to_pylist()
-        place = {d: i for i, d in enumerate(ids)}
-        row = np.fromiter((place[d] for d in spans.column("doc_id").to_pylist()), np.int64, spans.num_rows)
+        spans = right.filter(pa.compute.is_valid(right.column("row")))
+        ids, numbers = left.column("doc_id").to_pylist(), left.column("row").to_pylist()
+        place = {d: i for i, d in enumerate(numbers)}
+        row = np.fromiter((place[d] for d in spans.column("row").to_pylist()), np.int64, spans.num_rows)
         order = np.argsort(row, kind="stable")
         s, n, row = spans.column("s").to_numpy().astype(np.int64)[order], spans.column("n").to_numpy().astype(np.int64)[order], row[order]
         cuts = np.searchsorted(row, np.arange(len(ids) + 1))
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for i, (doc, text) in enumerate(zip(ids, left.column("text").cast(pa.large_binary()).to_pylist())):
-            a, b, removed, runs, rest = cuts[place.get(doc, i)], cuts[place.get(doc, i) + 1], 0, 0, text
-            if doc in copies:
+        for i, (own, text) in enumerate(zip(numbers, left.column("text").cast(pa.large_binary()).to_pylist())):
+            a, b, removed, runs, rest = cuts[i], cuts[i + 1], 0, 0, text
+            if own in copies:
                 if len(text) >= LENGTH:
                     removed, runs, rest = len(text), 1, b""
             elif b > a:
@@ -318,7 +317,7 @@ def strip(docs: DataFrame, kept: bool = False) -> DataFrame:
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), **({"kept": pa.binary()} if kept else {})}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), **{k: pa.array(out[k], v) for k, v in kinds.items()}})
 
-    return groups.join(right, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+    return groups.finished(groups.join(right, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

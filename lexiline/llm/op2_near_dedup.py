@@ -27,15 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
+from lexiline.llm.common import Heavy, grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
 from lexiline.llm.components import components, merged
 
 SHINGLE, PERMUTATIONS, ROWS, BANDS = 5, 1024, 4, 32
 PLANES = 2 * PERMUTATIONS // 64
 #: equal two-bit minima from which a pair is confirmed: at 0.75, 832 of 1024 are expected, and this is 4.8 deviations of 12.5 less
 LEAST_EQUAL = 772
-#: members that one copy of a pivot is sent ahead of; salts of a bucket that holds more than a HEAVY-th of all entries; pivots of the first round
-HEADED, SALTS, HEAVY, PIVOTS = 512, 64, 20_000, 4
+#: members that one copy of a pivot is sent ahead of; pivots of a bucket
+HEADED, PIVOTS = 512, 4
 #: sketches that a task holds, and members that it compares them with, in what the rounds leave
 BLOCK, PART = 1024, 4096
 #: rows (id, digest, pair) that may be broadcast, by count
@@ -98,27 +98,11 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, SKETCH)
 
 
-class Buckets:
-    """Rows of buckets joined with a few rows of each bucket; those of heavy buckets are dealt by salts.
-
-    At most HEAVY buckets can hold more than a HEAVY-th of all entries, so the broadcast list of them is bounded."""
-
-    def __init__(self, sizes: DataFrame, entries: int, place: str):
-        heavy = sizes.filter(F.col("n") > max(1000, entries // HEAVY)).select("bucket", F.lit(True).alias("heavy"))
-        self.heavy = materialise(heavy, place, "heavy")
-
-    def join(self, rows: DataFrame, few: DataFrame) -> DataFrame:
-        marked = lambda df: df.join(F.broadcast(self.heavy), "bucket", "left")
-        left = marked(rows).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)).drop("heavy")
-        salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-        return left.join(marked(few).withColumn("salt", F.explode(salts)).drop("heavy"), ["bucket", "salt"]).drop("salt")
-
-
 def headed(pairs: DataFrame, place: str, name: str) -> DataFrame:
     """What a comparison needs, by node: (node, a, salt, b), where b is null for the copies of a that go ahead."""
     pairs = materialise(pairs, place, name)
     # fewer than HEAVY of them can have more than a HEAVY-th of all pairs
-    most = max(HEADED, pairs.count() // HEAVY)
+    most = max(HEADED, pairs.count() // Heavy.HEAVY)
     heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("a", F.ceil(F.col("n") / HEADED).alias("salts"))
     dealt = materialise(pairs.join(F.broadcast(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt")), place, f"{name}-dealt")
     return dealt.select(F.col("b").alias("node"), "a", "salt", "b").unionByName(dealt.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct())
@@ -243,13 +227,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     planes, banded = first.select("node", "planes"), first.select("node", F.explode("bands").alias("bucket"))
     # buckets of one node are nothing to look at again
     sizes = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), place, "sizes")
-    buckets = Buckets(sizes, BANDS * nodes.count(), place)
-    shared = materialise(buckets.join(banded, sizes), place, "shared")
+    buckets = Heavy(sizes, "bucket", BANDS * nodes.count(), place)
+    shared = materialise(buckets.join(banded, sizes, "node"), place, "shared")
 
     weight = materialise(shared.groupBy("node").agg(F.sum("n").alias("weight")), place, "weight")
     rank = F.struct("weight", "node").alias("hub")
     hubs = shared.join(weight, "node").groupBy("bucket").agg(F.max(rank).alias("hub"))
-    stars = buckets.join(shared.select("bucket", "node"), hubs).filter("hub.node <> node").groupBy("node").agg(F.max("hub").alias("hub"))
+    stars = buckets.join(shared.select("bucket", "node"), hubs, "node").filter("hub.node <> node").groupBy("node").agg(F.max("hub").alias("hub"))
     tried = materialise(estimated(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), planes, place, "stars"), place, "tried0")
     links = materialise(confirmed(tried, source, nodes, threshold, place, "met0"), place, "links0")
     # links lead from greater hubs to lesser ones, so what they lead to has no cycles
@@ -259,7 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         """(bucket, node, c, main, m, n) of buckets with several components: their largest one, its members and all."""
         labelled = shared.select("bucket", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
         state = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
-        return materialise(buckets.join(labelled, materialise(state.filter("m < n"), place, f"{name}-left")), place, name)
+        return materialise(buckets.join(labelled, materialise(state.filter("m < n"), place, f"{name}-left"), "node"), place, name)
 
     def met(fresh: DataFrame, name: str) -> DataFrame:
         """The components after those of the candidate pairs that are links."""
@@ -269,7 +253,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     if not some.isEmpty():
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
         pivots = some.filter("c <> main").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PIVOTS).select("bucket", F.col("node").alias("pivot"), F.col("c").alias("pc"))
-        pairs = buckets.join(some.select("bucket", "node", "c"), pivots).filter("c <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        pairs = buckets.join(some.select("bucket", "node", "c"), pivots, "node").filter("c <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         fresh = materialise(estimated(untried(pairs, tried), planes, place, "some"), place, "tried1")
         tried, found = tried.unionByName(fresh), met(fresh, "some")
         rest = open_buckets("open2")

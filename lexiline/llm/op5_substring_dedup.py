@@ -12,7 +12,7 @@ that was there before (64 bits of its own besides the 64 of its fingerprint) is
 windows. Batches are ranges of doc_id, oldest first.
 
 Null text has no words and documents of fewer words than a window keep them all; a null doc_id is kept whole and never compared; rows with
-equal doc_id are taken for one document, whose repeats are cut from one of them; an empty table gives no rows; other columns are ignored (strip() keeps them).
+equal doc_id are taken for versions of one document, where a window at the same place is no repeat; an empty table gives no rows; other columns are ignored (strip() keeps them).
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ class FingerprintIndex:
         n_buckets = self.buckets
 
         def send(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
-            _, texts = own_texts(left, right)
+            _, _, texts = own_texts(left, right)
             keys = [bucket_keys(fp, n_buckets) for _, _, _, fp, _, _ in entries(texts)]
             key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return packed(g, key, count > 1)
@@ -117,14 +117,14 @@ class FingerprintIndex:
         self.runs = []
 
 
-WINDOWS = "fp long, g long, doc_id long, s int, at array<int>, h array<long>, late int"
+WINDOWS = "fp long, g long, doc_id long, row long, s int, at array<int>, h array<long>, late int"
 
 
 def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
     """Entries with shared fingerprints: hashes h of their windows s + at. Windows that a group has earlier are rows with late = how many from s on."""
 
     def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = own_texts(left, right)
+        ids, rows, texts = own_texts(left, right)
         lists = right.column("keys").drop_null()
         known = np.unique(np.concatenate([c.flatten().to_numpy() for c in lists.chunks])) if len(lists) else np.zeros(0, np.int64)
         parts = []
@@ -136,20 +136,20 @@ def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
             own = np.repeat(np.arange(len(s)), n)
             at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             w = s[own] + at
-            parts.append((fp[own], ids[first + doc][own], w - offsets[doc][own], (s - offsets[doc])[own], at, Ranges(h).of(w, np.full(len(w), WINDOW))))
-        kinds = ("fp", "g", "doc_id", "s", "at", "h", "late")
-        fp, doc, place, s, at, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
-        order = np.lexsort((place, doc))
-        fp, doc, place, s, at, h = (x[order] for x in (fp, doc, place, s, at, h))
+            parts.append((fp[own], ids[first + doc][own], rows[first + doc][own], w - offsets[doc][own], (s - offsets[doc])[own], at, Ranges(h).of(w, np.full(len(w), WINDOW))))
+        kinds = ("fp", "g", "doc_id", "row", "s", "at", "h", "late")
+        fp, doc, number, place, s, at, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5, np.zeros(0, np.uint64))
+        order = np.lexsort((place, number, doc))
+        fp, doc, number, place, s, at, h = (x[order] for x in (fp, doc, number, place, s, at, h))
         _, at_first, same = np.unique(mixed(fp) ^ h, return_index=True, return_inverse=True)
         new = (doc == doc[at_first][same]) & (place == place[at_first][same]) if len(h) else np.zeros(0, bool)
         # a row for each entry's windows that are new here, and one for each run of late ones
-        entry = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])])[: len(h)]
+        entry = np.concatenate([[True], (number[1:] != number[:-1]) | (s[1:] != s[:-1])])[: len(h)]
         begins = np.flatnonzero(new & (entry | np.concatenate([[True], ~new[:-1]])[: len(h)]))
         ends = np.flatnonzero(new & np.concatenate([entry[1:] | ~new[1:], [True]])[: len(h)]) + 1
         size = ends - begins
-        l_begins = np.flatnonzero(~new & np.concatenate([[True], new[:-1] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])[: len(h)])
-        l_ends = np.flatnonzero(~new & np.concatenate([new[1:] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1), [True]])[: len(h)]) + 1
+        l_begins = np.flatnonzero(~new & np.concatenate([[True], new[:-1] | (number[1:] != number[:-1]) | (place[1:] != place[:-1] + 1)])[: len(h)])
+        l_ends = np.flatnonzero(~new & np.concatenate([new[1:] | (number[1:] != number[:-1]) | (place[1:] != place[:-1] + 1), [True]])[: len(h)]) + 1
         take = lambda x, y: np.concatenate([x[begins], y])
         bounds = np.concatenate([np.cumsum(size) - size, np.full(len(l_begins) + 1, size.sum())]).astype(np.int32)
         flat = np.flatnonzero(new)
@@ -157,7 +157,7 @@ def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
         inside = place[flat] - np.repeat(place[begins], size)
         return pa.Table.from_arrays(
             [
-                pa.array(take(fp, mixed(l_begins.astype(np.uint64) + np.uint64(g & 0xFFFF))).view(np.int64)), pa.array(np.full(len(begins) + len(l_begins), g, np.int64)), pa.array(take(doc, doc[l_begins])),
+                pa.array(take(fp, mixed(l_begins.astype(np.uint64) + np.uint64(g & 0xFFFF))).view(np.int64)), pa.array(np.full(len(begins) + len(l_begins), g, np.int64)), pa.array(take(doc, doc[l_begins])), pa.array(take(number, number[l_begins])),
                 pa.array(take(place, place[l_begins]).astype(np.int32)), lists(inside.astype(np.int32)), lists(h[flat].view(np.int64)), pa.array(np.concatenate([np.zeros(len(begins)), l_ends - l_begins]).astype(np.int32)),
             ],
             kinds,
@@ -167,11 +167,11 @@ def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
     return groups.join(right, step, WINDOWS)
 
 
-SPANS = "g long, doc_id long, s int, n int"
+SPANS = "g long, row long, s int, n int"
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(g, doc_id, s, n): runs of windows that are there before, by doc_id and start. A task holds a batch and the windows of one fingerprint."""
+    """(g, row, s, n): runs of windows that are there before, by doc_id and start. A task holds a batch and the windows of one fingerprint."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, np.zeros(0, np.uint64)
@@ -198,10 +198,10 @@ def repeats(found: DataFrame) -> DataFrame:
             run = np.cumsum(late & ~joined)[late] - 1
             size = np.bincount(run, minlength=len(begins)) if len(begins) else size
             r = row[begins]
-            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(r)), batch.column("doc_id").take(pa.array(r)), pa.array(place[begins].astype(np.int32)), pa.array(size.astype(np.int32))], ["g", "doc_id", "s", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(r)), batch.column("row").take(pa.array(r)), pa.array(place[begins].astype(np.int32)), pa.array(size.astype(np.int32))], ["g", "row", "s", "n"])
 
-    dealt = found.filter("late = 0").repartition(partitions(found.sparkSession), "fp").sortWithinPartitions("fp", "doc_id", "s")
-    return found.filter("late > 0").select("g", "doc_id", "s", F.col("late").alias("n")).unionByName(dealt.select("fp", "g", "doc_id", "s", "at", "h").mapInArrow(task, SPANS))
+    dealt = found.filter("late = 0").repartition(partitions(found.sparkSession), "fp").sortWithinPartitions("fp", "doc_id", "s", "row")
+    return found.filter("late > 0").select("g", "row", "s", F.col("late").alias("n")).unionByName(dealt.select("fp", "g", "doc_id", "row", "s", "at", "h").mapInArrow(task, SPANS))
 
 
 def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
@@ -218,18 +218,18 @@ def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     found = materialise(windows(groups, union(shared), index.buckets), groups.place, "windows")
     spans = materialise(repeats(found), groups.place, "spans").withColumn("copy", F.lit(None).cast("long"))
-    right = spans.unionByName(groups.copies.select("g", *[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("s", "int"), ("n", "int"))], "copy"))
+    right = spans.unionByName(groups.copies.select("g", *[F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("s", "int"), ("n", "int"))], "copy"))
 
     def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
         copies = right.column("copy").drop_null()
-        right = right.filter(pa.compute.is_valid(right.column("doc_id")))
-        ids = left.column("doc_id")
-        known = pa.compute.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
+        right = right.filter(pa.compute.is_valid(right.column("row")))
+        numbers = left.column("row")
+        known = numbers.to_numpy()
         sort = np.argsort(known, kind="stable")
         parts, row = [], 0
-        doc, s, n = (right.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "s", "n"))
-        at = sort[np.searchsorted(known[sort], doc)] if len(doc) else doc
-        copy = pa.compute.is_in(ids, value_set=copies).to_numpy(zero_copy_only=False) if len(copies) else np.zeros(len(ids), bool)
+        number, s, n = (right.column(c).to_numpy().astype(np.int64) for c in ("row", "s", "n"))
+        at = sort[np.searchsorted(known[sort], number)] if len(number) else number
+        copy = pa.compute.is_in(numbers, value_set=copies).to_numpy(zero_copy_only=False) if len(copies) else np.zeros(len(numbers), bool)
         for part in slices(left.select(["doc_id", "text"]).combine_chunks().to_batches()):
             words, offsets = words_of(part.column("text"))
             rows = slice(row, row + part.num_rows)
@@ -257,7 +257,7 @@ def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
         return pa.concat_tables(parts)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
-    return groups.join(right, step, schema)
+    return groups.finished(groups.join(right, step, schema))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
