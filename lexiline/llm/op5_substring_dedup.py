@@ -60,7 +60,7 @@ def entries(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 class FingerprintIndex:
     """Runs of (bucket, g, once, often): the fingerprints that a group has once, and more than once, sorted."""
 
-    def __init__(self, groups: Groups, fanout: int = 2):
+    def __init__(self, groups: Groups, fanout: int = 1):
         self.groups, self.spark, self.fanout = groups, groups.spark, fanout
         self.tables, self.runs, self.batches = partitions(groups.spark), [], 0
         self.buckets = max(1, math.ceil(groups.bytes / 50 / BUCKET_PRINTS))

@@ -41,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        # control strings in a text get their own ids, as the file's tokenizer gives them; words that would be one in lower case keep theirs
+        self.control = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.model, self.alphabet = self.tokenizer.model, {b: c for b, c in enumerate(byte_alphabet())}
         self.most_words = most_words
         self.clear()
@@ -76,7 +77,8 @@ class Encoder:
             coded = coded.combine_chunks()
         # words with other letters keep their case: composing marks with capitals differs
         latin = LATIN.fullmatch
-        different = [w.lower() if w.isascii() or latin(w) else w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        control = self.control.search
+        different = [w.lower() if latin(w) or w.isascii() and not ("<" in w and control(w)) else w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         if len(self.place) + len(different) > self.most_words:
             self.clear()
         at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
