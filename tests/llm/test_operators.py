@@ -290,7 +290,7 @@ def test_archives(spark, tmp_path):
     big, other = "é" * 700, "z\r\n\r\nWARC/1.1\r\n" * 100
     rows = [(1, "http://a/ b", big, 1), (2, None, big, 1), (3, "http://c", "small", 1), (4, "http://d", "small", 1), (5, "http://e", other, 1), (None, "u", None, 1), (7, "u", other, 1), (7, "u", other, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, row int").repartition(2)
-    op4_warc.write_archives(op4_warc.resolve(pages), f"{tmp_path}/a", records_per_file=2)
+    op4_warc.write_archives(op4_warc.resolve(pages), f"{tmp_path}/a", sizes=((1300, 2), (None, 1)))
     records = op4_warc.read_archives(spark, f"{tmp_path}/a")
     got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in op4_warc.resolved_records(records).collect()), key=str)
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
