@@ -190,6 +190,53 @@ def test_suffixes(docs, texts, odd, none):
     assert op10_suffix_dedup.strip(odd).count() == odd.count() and op10_suffix_dedup.strip(none).count() == 0
 
 
+def test_rows_of_one_doc_id(spark):
+    """Two texts of one doc_id and three null ids: each row is judged by itself, and null ids are left alone."""
+    rng = random.Random(15)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = noise(30)
+    rows = [(1, f"{shared} {noise(10)}"), (2, f"{noise(5)} {shared} {noise(9)}"), (2, noise(25)), (2, noise(25)), (3, f"{shared}"), (None, shared), (None, shared), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in op5_substring_dedup.strip(docs).collect())
+    assert got == [(0, 0, 0), (0, 30, 0), (0, 30, 0), (1, 40, 0), (2, 25, 0), (2, 25, 0), (2, 44, 30), (3, 30, 30)]
+    size = lambda t: len((t or "").encode())
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in op10_suffix_dedup.strip(docs).collect())
+    n = size(shared)
+    assert [x[:2] for x in got] == sorted((d or 0, size(t)) for d, t in rows) and {x[2] for x in got if x[0] in (0, 1)} == {0}
+    assert [x[2] for x in got if x[0] == 3] == [n] and sorted(x[2] > 0 for x in got if x[0] == 2) == [False, False, True]
+    got = sorted(map(tuple, op2_near_dedup.near_duplicates(docs).select(F.coalesce("doc_id", F.lit(0)), "n_shingles", F.coalesce("component_id", F.lit(0)), "kept").collect()))
+    assert got == [(0, 0, 0, True), (0, 26, 0, True), (0, 26, 0, True), (1, 36, 1, True), (2, 21, 2, True), (2, 21, 2, True), (2, 40, 2, True), (3, 26, 3, True)]
+
+
+def test_many_near_misses(spark):
+    """Families whose members are near a hub, near each other or near none: blocks and pivots lose no link."""
+    rng = random.Random(16)
+    rows, i = [], 0
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                own[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+            rows.append((i, " ".join(own)))
+            i += 1
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(56)} for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in op2_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: find(d) for d in sets} and len(set(got.values())) > 12
+
+
 def test_hot_contexts(docs, texts, monkeypatch):
     monkeypatch.setattr(op10_suffix_dedup, "HOT", 1)
     plain = {r["doc_id"]: r["kept_sha256"] for r in op10_suffix_dedup.strip(docs).collect()}
@@ -249,6 +296,32 @@ def test_token_files(docs, texts, odd, none, tmp_path):
     assert op8_token_output.read(op8_token_output.write(none, f"file://{tmp_path}/c", word_path())).count() == 0
 
 
+def test_control_strings():
+    import pyarrow as pa
+
+    from lexiline.llm.tokens import Encoder
+
+    said = ["hi <|startoftext|> there<|startoftext|>", "a<|endoftext|>b, c. <|ENDOFTEXT|> X<|EndOfText|>y", "<|endoftext|>", "é<|endoftext|>É! <|startoftext |>", "W<|endoftext|>. ok?"]
+    ids, offsets = Encoder(word_path()).ids(pa.array(said))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [ids_of(t) for t in said]
+
+
+def test_crossover_beats_best_fit():
+    """Pieces of a third to a half of a sequence, where best fit misses the bound: generations come nearer to it and no piece is lost."""
+    rng, better = random.Random(3), 0
+    for seed in range(4):
+        sizes = []
+        for _ in range(60):
+            a, b = rng.randrange(300, 380), rng.randrange(300, 380)
+            sizes += [a, b, 1000 - a - b]
+        start = op1_packing.refit([], list(range(len(sizes))), sizes, 1000)
+        best = op1_packing.evolve(sizes, 1000, seed, 8, 25)[0]
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 1000 for b in best)
+        assert len(best) <= len(start)
+        better += len(best) < len(start)
+    assert better
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 70_000, 2**32 - 1])
 def test_blocks_round_trip(top):
     rng = np.random.default_rng(top % 97)
@@ -268,6 +341,27 @@ def test_quality(docs, texts, odd, none):
     assert op9_quality.judge(op9_quality.measure(odd)).count() == odd.count() and op9_quality.judge(op9_quality.measure(none)).count() == 0
 
 
+def test_thresholds_follow_their_group(spark):
+    """A source of long words judges by long words; a document that is fine in one source is not in the other."""
+    rng = random.Random(4)
+    text = lambda n, k=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, n + rng.randrange(-1, 2)))) for _ in range(k)) + "."
+    rows = [(i, text(4), "en", "short") for i in range(1000)] + [(2000 + i, text(14), "en", "long") for i in range(1000)] + [(5000, text(14), "en", "short"), (5001, text(4), "en", "long"), (5002, text(4), "en", "short"), (5003, text(14), "en", "long")]
+    judged = op9_quality.judge(op9_quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    got = {r["doc_id"]: r["kept"] for r in judged.collect()}
+    assert [got[k] for k in (5000, 5001, 5002, 5003)] == [False, False, True, True] and sum(got.values()) == 2002
+    limits = op9_quality.thresholds(judged).collect()
+    assert len({r["most_word_length"] for r in limits}) == 2
+
+
+def test_measuring_one_text_is_quick(spark):
+    import time
+
+    one = spark.createDataFrame([(1, "some words of a text that goes on and on " * 40, "en", "a", 7)], "doc_id long, text string, lang string, source string, n_words int")
+    began = time.perf_counter()
+    assert [r["n_words"] for r in op9_quality.judge(op9_quality.measure(one)).collect()] == [400]
+    assert time.perf_counter() - began < 30
+
+
 def test_sketches_merge(docs):
     m = op9_quality.measure(docs)
     halves = op9_quality.sketches(m.filter("doc_id % 2 = 0")).unionByName(op9_quality.sketches(m.filter("doc_id % 2 = 1")))
@@ -282,7 +376,12 @@ def test_licenses(spark, none, odd):
     rows = [(i, f"{noise(rng.randrange(60))}\n{t}\n{noise(rng.randrange(60))}") for i, t in enumerate([*notices.values()] * 5)] + [(100, noise(200)), (101, None), (102, "")]
     templates = spark.createDataFrame([*notices.items()], "license_id string, text string")
     got = {(r["doc_id"], r["license_id"]) for r in op6_license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
-    assert got == {(i, n) for i, n in enumerate([*notices] * 5)}
+    # the header's first line is the notice too
+    assert got == {(i, n) for i, n in enumerate([*notices] * 5)} | {(i, "apache-2.0") for i, n in enumerate([*notices] * 5) if n == "apache-2.0-header"}
+    many = [(f"l{i}", noise(400)) for i in range(70)]  # some 28,000 shingles
+    cut = [(i, " ".join(t.split()[40:380]) if i % 2 else " ".join(t.split()[200:])) for i, (_, t) in enumerate(many[:20])]
+    found = op6_license_scan.license_scan(spark.createDataFrame(cut, "doc_id long, text string"), spark.createDataFrame(many, "license_id string, text string"))
+    assert sorted((r["doc_id"], r["license_id"]) for r in found.collect()) == [(i, f"l{i}") for i in range(1, 20, 2)]
     assert op6_license_scan.license_scan(none, templates).count() == 0 and op6_license_scan.license_scan(odd, templates.limit(0)).count() == 0
 
 
