@@ -26,10 +26,13 @@ from lexiline.llm.tokens import word_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _numbered(docs: DataFrame, *order) -> DataFrame:
-    """The documents with a number for each row, which stands for doc_id in a stage: rows of one doc_id, or of none, stay apart. In this order, if one is given."""
+def _numbered(docs: DataFrame, *order) -> tuple[DataFrame, bool]:
+    """The documents with a number for each row, which stands for doc_id in a stage: rows of one doc_id, or of none, stay apart. In this order, if one is given.
+    Where doc_id tells all rows apart it is the number, and nothing is sorted or written; also whether it does."""
     docs = docs.select(*COLUMNS)
-    return materialise((docs.orderBy(*order) if order else docs).withColumn("row", F.monotonically_increasing_id()), workspace(docs.sparkSession), "numbered")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long")), True
+    return materialise((docs.orderBy(*order) if order else docs).withColumn("row", F.monotonically_increasing_id()), workspace(docs.sparkSession), "numbered"), False
 
 
 def _as_ids(numbered: DataFrame) -> DataFrame:
@@ -47,23 +50,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs, "doc_id", F.xxhash64("text"))
+    numbered, apart = _numbered(docs, "doc_id", F.xxhash64("text"))
     named = numbered.filter("doc_id is not null")
     kept = _where(named, near_duplicates(_as_ids(named)).filter("kept"))
     # repeated rows of a document are copies too, also those without words
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(numbered.filter("doc_id is null").select(*COLUMNS))
+    return kept if apart else kept.dropDuplicates(["doc_id", "text"]).unionByName(numbered.filter("doc_id is null").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs, "doc_id", F.xxhash64("text"))
+    numbered, apart = _numbered(docs, "doc_id", F.xxhash64("text"))
     named = numbered.filter("doc_id is not null")
     done = strip(_as_ids(named), texts=True).filter("n_removed < n_words or n_words = 0").select(F.col("doc_id").alias("row"), F.col("text").alias("__text"))
-    met = named.join(done, "row").unionByName(numbered.filter("doc_id is null").withColumn("__text", F.coalesce("text", F.lit(""))))
+    met = named.drop("text").join(done, "row")
+    if not apart:
+        met = met.unionByName(numbered.filter("doc_id is null").withColumn("__text", F.coalesce("text", F.lit(""))).drop("text"))
     return met.select("doc_id", F.col("__text").alias("text"), "lang", "source", F.char_length("__text").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs)
+    numbered, _ = _numbered(docs)
     return _where(numbered, decontaminate(_as_ids(numbered), table(spark, sf_dir, "benchmark")).filter("not contaminated"))
 
 

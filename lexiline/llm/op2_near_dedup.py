@@ -8,8 +8,8 @@ those that may reach the threshold (all but 1e-6 of the pairs that do) are confi
 Documents with equal sets are one node from the start. A bucket isn't expanded into pairs. First every node meets one other: of the hubs
 of its buckets (a bucket's hub is the member that shares most buckets with others) the greatest; what is confirmed is merged. Then a bucket
 whose members aren't yet in one component takes PIVOTS pivots outside its largest component, and compares them with its members of other
-components. Where components are still left in one bucket after that, all outside the largest one meet the others: in blocks of bounded size, by bit counts, and only
-pairs that pass become rows, each in the first bucket that both have. So no link between components is lost, and pairs within a component aren't looked at. In a comparison
+components. Where components are still left in one bucket after that, all outside the largest one meet the others. Both go in blocks of bounded size, by bit counts, and only
+pairs that pass become rows. So no link between components is lost, and pairs within a component aren't looked at. In a comparison
 the pivot's signature or text goes ahead of those of the others, once for at most HEADED of them; buckets and pivots with many members are dealt by salts.
 
 Empty texts and null ones have no set and stand alone. A null doc_id is not linked (component null, kept). Rows of one doc_id with different
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import Heavy, grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
+from lexiline.llm.common import Heavy, drop, grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
 from lexiline.llm.components import components, merged
 
 SHINGLE, PERMUTATIONS, ROWS, BANDS = 5, 1024, 4, 32
@@ -162,17 +162,21 @@ def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
 
 
-def in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, sketches: DataFrame, pivots: int | None = None) -> DataFrame:
     """The pairs (a, b) of different components in a bucket that reach LEAST_EQUAL, each once: rows (bucket, node, c, main, m, n).
 
-    Those outside a bucket's largest component are dealt into blocks of about BLOCK, and all members into parts of about PART; a task
-    holds the sketches of one block and streams the members of a part past them. Only pairs that pass are rows."""
-    outside = F.col("n") - F.col("m")
+    Those outside a bucket's largest component (or as many of them as pivots says) are dealt into blocks of about BLOCK, and all members into parts of about
+    PART; a task holds the sketches of one block and streams the members of a part past them. Only pairs that pass are rows."""
+    outside = F.least(F.col("n") - F.col("m"), F.lit(pivots)) if pivots else F.col("n") - F.col("m")
+    ahead = rows.filter("c <> main")
+    if pivots:
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        ahead = ahead.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots)
     upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
     blocks, parts = F.ceil(outside / BLOCK), F.ceil(F.col("n") / PART)
     where = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "node"), k)
     columns = ["bucket", "node", "c", (F.col("c") == F.col("main")).alias("inside")]
-    heads = rows.filter("c <> main").select(*columns, where(1, blocks).alias("block"), F.explode(upto(parts)).alias("part"), F.lit(True).alias("head"))
+    heads = ahead.select(*columns, where(1, blocks).alias("block"), F.explode(upto(parts)).alias("part"), F.lit(True).alias("head"))
     members = rows.select(*columns, F.explode(upto(blocks)).alias("block"), where(2, parts).alias("part"), F.lit(False).alias("head"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +206,19 @@ def in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
                     node, c, planes, bands = (z[i : i + 32] for z in part)
                     differ = planes[:, None] ^ block[2][None]
                     near = PERMUTATIONS - np.bitwise_count(differ[:, :, 0] | differ[:, :, 1]).sum(axis=2, dtype=np.int64) >= LEAST_EQUAL
-                    near &= (c[:, None] != block[1][None]) & (inside[i : i + 32, None] | (node[:, None] < block[0][None]))
+                    near &= c[:, None] != block[1][None]
+                    if not pivots:
+                        near &= inside[i : i + 32, None] | (node[:, None] < block[0][None])
                     m, h = np.nonzero(near)
                     same = bands[m] == block[3][h]
-                    once = bands[m, same.argmax(axis=1)] == own[0] if len(m) else np.zeros(0, bool)  # the first bucket that both have
+                    # where all meet, a pair is taken in the first bucket that both have
+                    once = (bands[m, same.argmax(axis=1)] == own[0]) | bool(pivots) if len(m) else np.zeros(0, bool)
                     if once.any():
                         yield pa.RecordBatch.from_arrays([pa.array(block[0][h[once]]), pa.array(node[m[once]])], ["a", "b"])
 
     dealt = heads.unionByName(members).join(sketches, "node").repartition(partitions(rows.sparkSession), "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", F.desc("head"))
-    return dealt.select("bucket", "block", "part", "head", "node", "c", "inside", "planes", "bands").mapInArrow(task, "a long, b long")
+    found = dealt.select("bucket", "block", "part", "head", "node", "c", "inside", "planes", "bands").mapInArrow(task, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if pivots else found
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -251,10 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     some = open_buckets("open1")
     if not some.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        pivots = some.filter("c <> main").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PIVOTS).select("bucket", F.col("node").alias("pivot"), F.col("c").alias("pc"))
-        pairs = buckets.join(some.select("bucket", "node", "c"), pivots, "node").filter("c <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        fresh = materialise(estimated(untried(pairs, tried), planes, place, "some"), place, "tried1")
+        fresh = materialise(untried(in_blocks(some, first, PIVOTS), tried), place, "tried1")
         tried, found = tried.unionByName(fresh), met(fresh, "some")
         rest = open_buckets("open2")
         if not rest.isEmpty():
@@ -266,7 +271,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).otherwise(F.unhex(F.sha1(F.coalesce(F.col("doc_id"), F.rand() * (1 << 52)).cast("string"))))
     out = sketched.select("doc_id", "n_shingles", own.alias("set_key")).join(named, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialise(out, workspace(docs.sparkSession), "groups")
+    drop(place, docs.sparkSession, "")
+    return out
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import let, materialise, table, workspace
+from lexiline.llm.common import drop, let, materialise, table, workspace
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS, BROADCAST_IDS = 200_000, 1_000_000
@@ -113,10 +113,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = pairs.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = covered.join(listed.withColumnsRenamed({"doc_id": "__id", "nth": "__nth"}), same("__"), "left").select(F.col("doc_id").alias("hit_id"), F.col("nth").alias("hit_nth"), "n_hit", "items")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return base.join(hit, same("hit_"), "left").select(
+    out = base.join(hit, same("hit_"), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+    out = materialise(out, workspace(docs.sparkSession), "contamination")
+    drop(place, docs.sparkSession, "")
+    return out
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
