@@ -44,9 +44,10 @@ def evidence_violations(w: DataFrame, sentences: DataFrame, durations: DataFrame
     owned = sentences.filter("last >= first").select("source_id", "sentence_id", F.explode(F.sequence("first", "last")).alias("ord"))
     met = owned.join(w, ["source_id", "ord"], "left")
     said = met.groupBy("source_id", "sentence_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("said"), F.min_by("start_ms", "ord").alias("begins"), F.max("end_ms").alias("ends"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("words"), F.count("text").alias("known"), F.min_by("start_ms", F.when(F.col("word_id").isNotNull(), F.col("ord"))).alias("begins"), F.max("end_ms").alias("ends"),
         F.count_if(F.col("word_id").isNull()).alias("lost"),
     )
+    said = said.withColumn("said", F.when(F.col("known") > 0, F.col("words"))).drop("words", "known")
     s = sentences.join(said, ["source_id", "sentence_id"], "left")
     empty = F.col("lost").isNull()
     of_sentences = _rules({"reference": empty | (F.col("lost") > 0), "text": ~empty & (F.col("text") != F.col("said")), "span": ~empty & ((F.col("start_ms") != F.col("begins")) | (F.col("end_ms") != F.col("ends")))})
@@ -247,7 +248,7 @@ def speech_intervals(frames: DataFrame, durations: DataFrame) -> DataFrame:
     ms = lambda c: F.bround(F.col(c) * 1000 / RATE).cast("long")
     own = cut.withColumn("ix", F.explode(F.sequence(F.expr(f"b div {FRAME}"), F.expr(f"(e + {FRAME - 1}) div {FRAME} - 1"))))
     met = own.join(frames, ["source_id", "ix"], "left").groupBy("source_id", "samples", "b", "e").agg(F.min("p").alias("lo"), F.avg("p").alias("mean"), F.max("p").alias("hi"))
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return met.select("source_id", ms("b").alias("start_ms"), F.least(ms("e"), ms("samples")).alias("end_ms"), zero("lo"), zero("mean"), zero("hi"))
 
 
@@ -367,7 +368,8 @@ def x13_page(s: SparkSession, d: str) -> DataFrame:
 def b18_intervals(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     f = e.select(F.col("user_id").alias("source_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("ix"), (F.expr("(event_id div 2 * 37 + event_id % 7 * 5) % 100") / 100).alias("p"))
-    return speech_intervals(f, f.groupBy("source_id").agg((F.count("*") * FRAME - 100).alias("samples")))
+    found = speech_intervals(f, f.groupBy("source_id").agg((F.count("*") * FRAME - 100).alias("samples")))
+    return found.select("source_id", "start_ms", "end_ms", "lo", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "hi")
 
 
 QUERIES = {
@@ -436,5 +438,5 @@ st AS (SELECT s, -1::BIGINT AS ix, false AS on_, 0::BIGINT AS b, NULL::BIGINT AS
     CASE WHEN f.p >= 0.5 THEN NULL WHEN st.on_ AND f.p < 0.35 THEN coalesce(st.q, f.ix) ELSE st.q END AS q FROM st JOIN f ON f.s = st.s AND f.ix = st.ix + 1))),
 rw AS (SELECT s, ob * 512 AS b, oe * 512 AS e FROM st WHERE ob IS NOT NULL UNION ALL SELECT st.s, b * 512, d FROM st JOIN n ON n.s = st.s WHERE on_ AND ix = (d + 100) // 512 - 1),
 pd AS (SELECT rw.s, d, greatest(0, b - 480) AS l, least(d, e + 480) AS r FROM rw JOIN n ON n.s = rw.s WHERE e - b >= 4000), ct AS (SELECT s, d, CASE WHEN l < lag(r) OVER w THEN (lag(r) OVER w + l) // 2 ELSE l END AS b, CASE WHEN lead(l) OVER w < r THEN (r + lead(l) OVER w) // 2 ELSE r END AS e FROM pd WINDOW w AS (PARTITION BY s ORDER BY l))
-SELECT ct.s AS source_id, round_even(b / 16, 0)::BIGINT AS start_ms, least(round_even(e / 16, 0), round_even(d / 16, 0))::BIGINT AS end_ms, round(coalesce(min(p), 0), 6) AS lo, round(coalesce(avg(p), 0), 6) AS mean, round(coalesce(max(p), 0), 6) AS hi FROM ct LEFT JOIN f ON f.s = ct.s AND f.ix >= b // 512 AND f.ix < (e + 511) // 512 GROUP BY ct.s, d, b, e""",
+SELECT ct.s AS source_id, round_even(b / 16, 0)::BIGINT AS start_ms, least(round_even(e / 16, 0), round_even(d / 16, 0))::BIGINT AS end_ms, coalesce(min(p), 0)::DOUBLE AS lo, round(coalesce(avg(p), 0) + 1e-9, 6)::DOUBLE AS mean, coalesce(max(p), 0)::DOUBLE AS hi FROM ct LEFT JOIN f ON f.s = ct.s AND f.ix >= b // 512 AND f.ix < (e + 511) // 512 GROUP BY ct.s, d, b, e""",
 }
