@@ -74,9 +74,20 @@ def peaks(samples: DataFrame, per_pixel: int) -> DataFrame:
 
 
 def admission(a: DataFrame, budget: int, calls: int) -> DataFrame:
-    """Attempts in order, admitted while what is spent and the number of calls stay within bounds; what is refused isn't counted against the key's total of requests."""
-    w = Window.partitionBy("run").orderBy("attempt", "cost").rowsBetween(Window.unboundedPreceding, 0)
-    return a.withColumns({"running": F.sum("cost").over(w), "n": F.count("*").over(w)}).select("run", "attempt", "cost", "running", ((F.col("running") <= budget) & (F.col("n") <= calls)).alias("admitted"))
+    """Attempts (run, attempt, cost) in order, with what is reserved after each: one is admitted while its cost fits into the budget beside what was admitted before, and fewer than `calls` were.
+    A refused attempt reserves nothing. A run's attempts are folded as one array."""
+    listed = a.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "cost"))).alias("attempts"))
+    none = F.array().cast("array<struct<attempt:bigint,cost:bigint,running:bigint,admitted:boolean>>")
+    zero = F.lit(0).cast("long")
+
+    def step(state, x):
+        fits = (state["spent"] + x["cost"] <= budget) & (state["n"] < calls)
+        spent = state["spent"] + F.when(fits, x["cost"]).otherwise(zero)
+        row = F.struct(x["attempt"].alias("attempt"), x["cost"].alias("cost"), spent.alias("running"), fits.alias("admitted"))
+        return F.struct(spent.alias("spent"), (state["n"] + F.when(fits, 1).otherwise(0)).cast("long").alias("n"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    done = F.aggregate("attempts", F.struct(zero.alias("spent"), zero.alias("n"), none.alias("out")), step, lambda s: s["out"])
+    return listed.select("run", F.explode(done).alias("x")).select("run", "x.*")
 
 
 def staircase(v: DataFrame) -> DataFrame:
@@ -245,7 +256,9 @@ ORACLES = {
     "e12_usage_rollup": "SELECT user_id, k, sum(v)::BIGINT AS total FROM (SELECT user_id, 'input' AS k, floor(value)::BIGINT AS v FROM events UNION ALL SELECT user_id, 'output', event_id % 50 FROM events UNION ALL SELECT user_id, event_type, 1 FROM events) GROUP BY ALL",
     "e13_macro_average": f"WITH {_JUDGE}, c AS (SELECT quality, count(*) FILTER (quality = said) AS correct, count(*) AS total FROM jd WHERE quality IS NOT NULL AND said IS NOT NULL GROUP BY 1) SELECT round(avg(correct / total), 6) AS macro_accuracy, count(*) AS classes, sum(correct)::BIGINT AS correct, sum(total)::BIGINT AS total FROM c",
     "e14_storage_delta": "SELECT l_suppkey AS supp, (sum(l_quantity::BIGINT) - coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'R'), 0))::BIGINT AS delta FROM lineitem GROUP BY 1",
-    "e15_admission": f"WITH {LEDGER_SQL}, r AS (SELECT run, attempt, cost, sum(cost) OVER w::BIGINT AS running, count(*) OVER w AS n FROM led WINDOW w AS (PARTITION BY run ORDER BY attempt, cost ROWS UNBOUNDED PRECEDING)) SELECT run, attempt, cost, running, running <= 12000000 AND n <= 4 AS admitted FROM r",
+    "e15_admission": f"""WITH RECURSIVE {LEDGER_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attempt, cost) AS i FROM led), r AS (SELECT DISTINCT run, 0::BIGINT AS i, 0::BIGINT AS attempt, 0::BIGINT AS cost, 0::BIGINT AS running, 0::BIGINT AS n, false AS admitted FROM o
+        UNION ALL SELECT run, i, attempt, cost, running + CASE WHEN ok THEN cost ELSE 0 END, n + ok::BIGINT, ok FROM (SELECT o.run, o.i, o.attempt, o.cost, r.running, r.n, r.running + o.cost <= 12000000 AND r.n < 4 AS ok FROM r JOIN o ON o.run = r.run AND o.i = r.i + 1))
+        SELECT run, attempt, cost, running, admitted FROM r WHERE i > 0""",
     "e16_staircase": "WITH v AS (SELECT user_id AS block, event_type AS variant, count(*) AS value, min(event_id) % 5 = 0 AS bad FROM events GROUP BY ALL), l AS (SELECT *, lag(value) OVER w AS p, bad OR coalesce(lag(bad) OVER w, false) AS b FROM v WINDOW w AS (PARTITION BY block ORDER BY variant)) SELECT block, variant, value, CASE WHEN NOT b THEN value - p END AS delta, round(CASE WHEN NOT b AND p <> 0 THEN 100 * (value - p) / p END, 4) AS percent FROM l",
     "e17_run_projection": f"WITH {GRID_SQL}, g AS (SELECT source_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM grid GROUP BY 1) SELECT source_id, (n + 11) // 12 AS sections, (n + 79) // 80 AS windows, 2 + 3 * ((n + 11) // 12) + (n + 79) // 80 AS calls, (chars + 3) // 4 * 3 + 1000 AS cost_micros FROM g",
     "e19_technical_delivery": "SELECT l_orderkey AS run, bool_and(l_linestatus = 'F') AND count(*) FILTER (l_linenumber <= 2) = 2 AND count(DISTINCT l_linenumber) FILTER (l_linenumber <= 2) = 2 AS delivered FROM lineitem GROUP BY 1",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +10,12 @@ from lexiline.operators.aggregate import BOUNDARIES_SQL, boundaries
 from lexiline.operators.intervals import CANDIDATES_SQL, candidates
 from lexiline.operators.segment import GRID_SQL, sentence_grid
 from lexiline.plans.ordered import as_of
+from lexiline.plans.shared import shared_folder
 from lexiline.sources.timeline import WORDS_SQL, by_source, table, words
 
 # fixed values: cost weights, search radius and caps, limits of the backstops in milliseconds
 COST_MS, COST_CLEARANCE, COST_REVIEW, COST_WIDENED, CLEARANCE_MS = 100, 20, 1_000_000, 10_000, 250
-KIND_BONUS = {"edge": -50, "pause": -40, "turn": -30, "shot": -20, "sentence": 0}
+KIND_BONUS = {"edge": 0, "pause": -100, "turn": -50, "shot": -25, "sentence": 0}
 RADIUS_MS, LAYER_CAP = 1500, 64
 LEAD_GAP_MS, LEAD_TURN_MS, SECOND_TURN_MS, AIR_MS, SNAP_MS, CUTTER_MS = 3000, 20_000, 6000, 700, 500, 90_000
 BATCH = 12
@@ -25,20 +24,23 @@ BATCH = 12
 def candidate_cost(c: DataFrame) -> DataFrame:
     """Whole-number cost of a boundary for a wanted time: distance, lack of clearance, review, widening, kind and score."""
     bonus = F.element_at(F.create_map(*[F.lit(x) for i in KIND_BONUS.items() for x in i]), F.col("kind"))
-    score = F.floor(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    score = (100 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))).cast("long")
     cost = COST_MS * F.abs(F.col("ms") - F.col("wanted")) + COST_CLEARANCE * F.greatest(F.lit(0), CLEARANCE_MS - F.col("clearance")) + F.when(F.col("review"), COST_REVIEW).otherwise(0) + F.when(F.col("widened"), COST_WIDENED).otherwise(0) + bonus - score
     return c.withColumn("cost", cost.cast("long"))
 
 
 def layer_choices(wanted: DataFrame, b: DataFrame, radius: int = RADIUS_MS, cap: int = LAYER_CAP) -> DataFrame:
-    """For each wanted time the boundaries within the radius; where none of them is safe, also those outward up to the first safe one. Capped by cost."""
+    """For each wanted time the boundaries within the radius; where none of them is safe, also those outward up to the first safe one. Where there are more than cap, the nearest safe
+    one of each kind but edges stays, then the nearest ones do."""
     met = wanted.join(b, "source_id").withColumn("far", F.abs(F.col("ms") - F.col("wanted")))
     w = Window.partitionBy("source_id", "layer")
     near = F.col("far") <= radius
     first_safe = F.min(F.when(~F.col("review"), F.col("far"))).over(w)
     reach = F.greatest(F.lit(radius), F.coalesce(first_safe, F.lit(radius)))
     c = candidate_cost(met.withColumn("reach", reach).filter("far <= reach").withColumn("widened", ~near))
-    return c.withColumn("rank", F.row_number().over(w.orderBy("cost", "ms", "bid")).cast("long")).filter(F.col("rank") <= cap).select("source_id", "layer", "bid", "ms", "cost", "rank")
+    safest = F.row_number().over(Window.partitionBy("source_id", "layer", "kind", "review").orderBy("far", "ms", "bid")) == 1
+    c = c.withColumn("stays", safest & ~F.col("review") & (F.col("kind") != "edge"))
+    return c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("stays"), "far", "ms", "bid")).cast("long")).filter(F.col("rank") <= cap).select("source_id", "layer", "bid", "ms", "cost", "rank")
 
 
 def shortest_paths(layers: DataFrame) -> DataFrame:
@@ -101,9 +103,9 @@ def assembled(planned: DataFrame, shards: DataFrame, gaps: DataFrame) -> DataFra
 
 
 def _shared_folder(spark: SparkSession) -> None:
-    """checkpoint() needs spark.checkpoint.dir; only where that is absent, as in tests, a temporary folder is set."""
+    """checkpoint() needs the shared folder; spark.checkpoint.dir is one from the start."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiline-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def components_of(edges: DataFrame) -> DataFrame:
@@ -149,14 +151,13 @@ def patched(rows: DataFrame, ops: DataFrame) -> DataFrame:
     return all_.withColumn("position", F.row_number().over(Window.partitionBy("key").orderBy("place", "id")).cast("long")).drop("place")
 
 
-def corrected(w: DataFrame) -> DataFrame:
-    """Word corrections: some words deleted, some split in two with their time shared, some renamed; ordinals made anew and parents kept."""
-    kind = F.expr("case when ord % 23 = 7 then 'delete' when ord % 31 = 4 then 'split' when ord % 19 = 2 then 'replace' else 'keep' end")
-    k = w.withColumn("op", kind).filter("op <> 'delete'")
+def corrected(w: DataFrame, edits: DataFrame) -> DataFrame:
+    """Words after edits (source_id, ord, op, at, new), one to a word: delete; split at a character, the time shared; replace by new text. Ordinals are made anew and parents kept."""
+    k = w.join(edits, ["source_id", "ord"], "left").withColumn("op", F.coalesce("op", F.lit("keep"))).filter("op <> 'delete'")
     mid = F.expr("start_ms + (end_ms - start_ms) div 2")
-    parts = F.when(F.col("op") == "split", F.array(F.struct(F.substring("text", 1, 2).alias("t"), F.col("start_ms").alias("s"), mid.alias("e")), F.struct(F.expr("substring(text, 3)").alias("t"), mid.alias("s"), F.col("end_ms").alias("e")))).otherwise(
-        F.array(F.struct(F.when(F.col("op") == "replace", F.concat("text", F.lit("+"))).otherwise(F.col("text")).alias("t"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
-    )
+    one = lambda t, s, e: F.struct(t.alias("t"), s.alias("s"), e.alias("e"))
+    halves = F.array(one(F.expr("substring(text, 1, at)"), F.col("start_ms"), mid), one(F.expr("substring(text, at + 1)"), mid, F.col("end_ms")))
+    parts = F.when(F.col("op") == "split", halves).otherwise(F.array(one(F.when(F.col("op") == "replace", F.col("new")).otherwise(F.col("text")), F.col("start_ms"), F.col("end_ms"))))
     x = k.select("source_id", F.col("ord").alias("parent"), F.posexplode(parts).alias("part", "p"))
     return x.select("source_id", "parent", (F.row_number().over(by_source("parent", "part")) - 1).cast("long").alias("ord"), F.col("p.t").alias("text"), F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"))
 
@@ -227,8 +228,8 @@ def _wanted(s, d):
 
 
 _W = "wd AS (SELECT source_id, sentence_id // 9 AS layer, start_ms + 130 AS wanted FROM grid WHERE sentence_id % 9 = 4)"
-_COST = f"100 * abs(ms - wanted) + 20 * greatest(0, 250 - clearance) + CASE WHEN review THEN 1000000 ELSE 0 END + CASE WHEN far > 1500 THEN 10000 ELSE 0 END + CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in KIND_BONUS.items())} END - floor(100 * greatest(0, least(1, score)))::BIGINT"
-_LAYERS = f"{BOUNDARIES_SQL}, {_B}, {_W}, jn AS (SELECT wd.source_id, layer, wanted, bid, ms, kind, score, clearance, review, abs(ms - wanted) AS far FROM wd JOIN cb ON cb.source_id = wd.source_id), rc AS (SELECT *, greatest(1500, coalesce(min(far) FILTER (NOT review) OVER (PARTITION BY source_id, layer), 1500)) AS reach FROM jn), co AS (SELECT *, ({_COST})::BIGINT AS cost FROM rc WHERE far <= reach), ly AS (SELECT source_id, layer, bid, ms, cost, row_number() OVER (PARTITION BY source_id, layer ORDER BY cost, ms, bid) AS rank FROM co QUALIFY rank <= 64)"
+_COST = f"100 * abs(ms - wanted) + 20 * greatest(0, 250 - clearance) + CASE WHEN review THEN 1000000 ELSE 0 END + CASE WHEN far > 1500 THEN 10000 ELSE 0 END + CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in KIND_BONUS.items())} END - trunc(100 * greatest(-1, least(1, score)))::BIGINT"
+_LAYERS = f"{BOUNDARIES_SQL}, {_B}, {_W}, jn AS (SELECT wd.source_id, layer, wanted, bid, ms, kind, score, clearance, review, abs(ms - wanted) AS far FROM wd JOIN cb ON cb.source_id = wd.source_id), rc AS (SELECT *, greatest(1500, coalesce(min(far) FILTER (NOT review) OVER (PARTITION BY source_id, layer), 1500)) AS reach FROM jn), co AS (SELECT *, ({_COST})::BIGINT AS cost FROM rc WHERE far <= reach), sf AS (SELECT *, NOT review AND kind <> 'edge' AND row_number() OVER (PARTITION BY source_id, layer, kind, review ORDER BY far, ms, bid) = 1 AS stays FROM co), ly AS (SELECT source_id, layer, bid, ms, cost, row_number() OVER (PARTITION BY source_id, layer ORDER BY stays DESC, far, ms, bid) AS rank FROM sf QUALIFY rank <= 64)"
 
 
 def _ranges(s, d):
@@ -269,6 +270,12 @@ def _patched(s, d):
     return patched(r, ops)
 
 
+def _corrected(s, d):
+    w = words(s, d)
+    op = F.expr("case when ord % 23 = 7 then 'delete' when ord % 31 = 4 then 'split' when ord % 19 = 2 then 'replace' end")
+    return corrected(w, w.select("source_id", "ord", op.alias("op"), F.lit(2).alias("at"), F.concat("text", F.lit("+")).alias("new")).filter("op is not null"))
+
+
 def _assembled(s, d):
     o = table(s, d, "orders")
     item = F.col("o_orderkey").alias("item")
@@ -316,7 +323,7 @@ QUERIES = {
     "h14_renderable_selection": _renderable,
     "h15_h16_patched": _patched,
     "h17_review_commands": lambda s, d: candidates(s, d).withColumn("cmd", F.expr("element_at(array('accept', 'reject', 'nudge', 'restore'), cast(candidate_id % 4 + 1 as int))")).select("source_id", "candidate_id", F.when(F.col("cmd") == "reject", "rejected").when(F.col("cmd") == "accept", "accepted").otherwise("open").alias("status"), F.when(F.col("cmd") == "nudge", F.least("top", F.col("last") + 1)).otherwise(F.col("last")).alias("last")),
-    "h18_corrections": lambda s, d: corrected(words(s, d)),
+    "h18_corrections": _corrected,
     "j4_closure": lambda s, d: _ancestors(s, d, "k < 4000"),
     "j4_closure_all": _ancestors,
     "j5_semantic_keys": _semantic,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,17 +76,14 @@ def ghd(bits: DataFrame, ref: str, hyp: str) -> DataFrame:
 
 
 def matched(ref: list[int], hyp: list[int], tolerance: int) -> int:
-    """The most pairs of points within the tolerance: each hypothesis takes the open reference that closes first."""
-    todo, heap, n = sorted(ref), [], 0
-    for h in sorted(hyp):
-        while todo and todo[0] - tolerance <= h:
-            r = todo.pop(0)
-            heapq.heappush(heap, r + tolerance)
-        while heap and heap[0] < h:
-            heapq.heappop(heap)
-        if heap:
-            heapq.heappop(heap)
-            n += 1
+    """The most pairs of points within the tolerance. In order, the earliest points of both sides are a pair, or the earlier of them is too early for all that is left."""
+    ref, hyp = sorted(ref), sorted(hyp)
+    i = j = n = 0
+    while i < len(ref) and j < len(hyp):
+        apart = hyp[j] - ref[i]
+        n += abs(apart) <= tolerance
+        i += apart >= -tolerance
+        j += apart <= tolerance
     return n
 
 

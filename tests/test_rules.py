@@ -135,3 +135,48 @@ def test_entry_without_the_corpus_operators(spark, monkeypatch):
     assert "sentence_grid" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     assert entry.entry(spark).limit(1).collect()
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_admission_counts_what_is_admitted(spark):
+    rows = [(1, 1, 4), (1, 2, 9), (1, 3, 5), (1, 4, 1), (1, 5, 1), (2, 1, 11)]
+    got = aggregate.admission(spark.createDataFrame(rows, "run long, attempt long, cost long"), 10, 3).collect()
+    assert sorted((r["run"], r["attempt"], r["running"], r["admitted"]) for r in got) == [(1, 1, 4, True), (1, 2, 4, False), (1, 3, 9, True), (1, 4, 10, True), (1, 5, 10, False), (2, 1, 0, False)]
+
+
+def test_capped_layers_keep_the_nearest_safe_of_each_kind(spark):
+    b = [(1, f"s{i}", 1000 + i, "sentence", 0.5, 0, True) for i in range(6)] + [(1, "p", 1400, "pause", 0.5, 300, False), (1, "q", 1450, "pause", 0.5, 300, False), (1, "t", 1500, "turn", 0.5, 300, False)]
+    wanted = spark.createDataFrame([(1, 0, 1000)], "source_id long, layer long, wanted long")
+    got = plans.layer_choices(wanted, spark.createDataFrame(b, "source_id long, bid string, ms long, kind string, score double, clearance long, review boolean"), cap=4).collect()
+    assert {r["bid"] for r in got} == {"p", "t", "s0", "s1"}
+
+
+def test_stream_of_sessions_is_the_batch(spark, tmp_path):
+    """What a stream has closed by its watermark equals the batch's rows, and a batch that runs twice is there once."""
+    from lexiline.streaming import events
+
+    rows = [(u, 1_700_000_000 + u * 7 + k * (600 if k % 4 else 9000), float(k)) for u in range(3) for k in range(12)]
+    e = spark.createDataFrame(rows, "user_id long, t long, value double").select("user_id", F.timestamp_seconds("t").alias("ts"), "value")
+    e.repartition(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(9, 1_800_000_000, 0.0)], "user_id long, t long, value double").select("user_id", F.timestamp_seconds("t").alias("ts"), "value").write.parquet(f"{tmp_path}/late")
+    put = events.append_once(f"{tmp_path}/out")
+    run = lambda src: events.sessions(spark.readStream.schema(e.schema).parquet(src), "user_id", "ts", "30 minutes").writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    run(f"{tmp_path}/in")
+    spark.read.parquet(f"{tmp_path}/late").write.mode("append").parquet(f"{tmp_path}/in")
+    run(f"{tmp_path}/in")
+    want = sorted(map(tuple, events.sessions(e, "user_id", "ts", "30 minutes").collect()))
+    out = spark.read.parquet(f"{tmp_path}/out").drop("batch")
+    assert sorted(map(tuple, out.collect())) == want
+    put(out.limit(0), 0)
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 37
+
+
+def test_files_refuse_what_does_not_fit(spark, tmp_path):
+    import pytest
+
+    from lexiline.sources import files
+
+    (tmp_path / "bad.json").write_text('{"source_id": 1, "segments": {"unexpected": 123}}\n')
+    with pytest.raises(Exception):
+        files.asr_words(files.read_asr(spark, f"file://{tmp_path}/bad.json")).collect()
+    with pytest.raises(Exception):
+        files.artifacts(spark.createDataFrame([(float("nan"),)], "x double"), ["x"]).collect()
