@@ -6,7 +6,7 @@ folds come last and only over islands that stateless breaks have cut.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -76,20 +76,24 @@ def sweep(sets: dict[str, DataFrame], keys: list[str], start: str = "start_ms",
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, name: str = "group") -> DataFrame:
     """df with a group number decided row after row: step(state, row) -> (state, opens), state None at the start of a key.
 
-    For rules whose state depends on their own last decision, which no window expresses.
+    For rules whose state depends on their own last decision, which no window expresses. Rows are dealt by key and sorted, and a task streams its keys one after
+    the other with the state of one of them, so neither the number of keys nor the length of one counts.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in order])
-        state, group, out = None, -1, []
-        for row in zip(*(rows.column(c).to_pylist() for c in columns)):
-            state, opens = step(state, row)
-            group += opens
-            out.append(group)
-        return rows.append_column(name, pa.array(out, pa.int64()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, group = None, None, -1
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(c).to_pylist() for c in columns))):
+                if key != last:
+                    last, state, group = key, None, -1
+                state, opens = step(state, row)
+                group += opens
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` long"
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def page(df: DataFrame, keys: list[str], order: list[Column | str], cursor: int, limit: int) -> DataFrame:
