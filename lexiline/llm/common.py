@@ -20,10 +20,13 @@ BATCH_BYTES = 4 << 20
 def workspace(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share: under spark.checkpoint.dir.
 
-    Only where that setting is absent (a single machine, as in tests) is a temporary folder taken.
+    Where that setting is absent, a temporary folder on a single machine, as in tests, and an error on a cluster.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.lexiline.dir", None)
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.lexiline.dir", None)
     if base is None:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="lexiline-")
         spark.conf.set("spark.lexiline.dir", base)
     return f"{base.rstrip('/')}/lexiline-{uuid.uuid4().hex}"
