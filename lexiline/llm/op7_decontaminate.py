@@ -3,7 +3,8 @@
 Words are lower-cased runs of letters and digits. Of each window of ten words the least hash of its five-word
 grams is kept, on both sides, so every span of ten words that a document shares with an item leaves an equal fingerprint in
 both. Fingerprints are joined (the benchmark's are broadcast only while their counted number is at most BROADCAST_ROWS, as are the ids of
-documents with hits while there are at most BROADCAST_IDS; beyond, joins shuffle), and the hits are extended on the documents that have any: all their ten-word windows are joined, as strings, with the item's. Items of
+documents with hits while there are at most BROADCAST_IDS; beyond, joins shuffle). In documents that have hits, the places of the fingerprints found are extended to the ten-word windows
+around them whose least gram they are, and these windows alone are compared, word for word, with the items' windows of that fingerprint. Items of
 fewer words are one window, and documents get fingerprints of those lengths too.
 
 Null text has no words; a null doc_id is kept as a document of its own; rows with equal doc_id are one row each and share
@@ -63,10 +64,21 @@ def fingerprints(w: Column, lengths: list[int]) -> Column:
     return let(word_hashes(w), of)
 
 
-def windows(w: Column, length: int) -> Column:
-    """Structs (i, window) of each run of `length` words."""
-    each = F.transform(F.sequence(F.lit(0), F.size(w) - length), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(w, i + 1, length), " ").alias("window")))
-    return F.when(F.size(w) >= length, each)
+def places(w: Column, length: int) -> Column:
+    """Structs (i, fp) of each run of `length` words: its place and its fingerprint, which is the least hash of its grams, or below WINDOW words its own hash."""
+
+    def of(g: Column) -> Column:
+        span = WINDOW - GRAM + 1 if length == WINDOW else 1
+        each = F.transform(F.sequence(F.lit(0), F.size(g) - span), lambda i: F.struct(i.alias("i"), F.array_min(F.slice(g, i + 1, span)).alias("fp")))
+        return F.when(F.size(g) >= span, each)
+
+    return let(let(word_hashes(w), lambda h: gram_hashes(h, GRAM if length == WINDOW else length)), of)
+
+
+def extended(w: Column, found: Column, length: int | Column) -> Column:
+    """Structs (i, fp, window) of the runs of `length` words at the places found."""
+    inside = F.filter(found, lambda x: x["i"] + length <= F.size(w))
+    return F.transform(inside, lambda x: F.struct(x["i"].alias("i"), x["fp"].alias("fp"), F.array_join(F.slice(w, x["i"] + 1, length), " ").alias("window")))
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -81,9 +93,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = [*short, WINDOW]
     of = lambda m: items.filter((F.col("n") == m) if m < WINDOW else (F.col("n") >= m))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    test_windows = materialise(union([of(m).select("item_id", F.explode(windows(F.col("w"), m)["window"]).alias("window")) for m in lengths]).distinct(), place, "test-windows")
-    prints = [of(WINDOW).select(F.explode(fingerprints(F.col("w"), [])).alias("fp")), *[of(m).select(F.explode(gram_hashes(word_hashes(F.col("w")), m)).alias("fp")) for m in short]]
-    test_fps = materialise(union(prints).distinct().withColumn("found", F.lit(1)), place, "test-fps")
+    whole = lambda m: let(places(F.col("w"), m), lambda p: extended(F.col("w"), p, m))
+    each = [of(m).select("item_id", F.explode(whole(m)).alias("x")).select("item_id", F.lit(m).alias("m"), "x.fp", "x.window") for m in lengths]
+    test_windows = materialise(union(each).distinct(), place, "test-windows")
+    test_fps = materialise(test_windows.select("fp").distinct().withColumn("found", F.lit(1)), place, "test-fps")
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nameless = own.filter("doc_id is null")
@@ -93,23 +106,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = own.withColumn("row", F.monotonically_increasing_id())
     same = lambda a: F.col("doc_id").eqNullSafe(F.col(f"{a}id")) & F.col("nth").eqNullSafe(F.col(f"{a}nth"))
     counted = own.select("doc_id", "nth", "row", let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), fingerprints(w, short).alias("fps"))).alias("r"))
-    prints = counted.select("doc_id", "nth", "row", F.col("r.n").alias("n_words"), F.explode_outer("r.fps").alias("fp")).join(small(test_fps, test_fps.count()), "fp", "left")
+    test_fps = small(test_fps, test_fps.count())
+    prints = counted.select("doc_id", "nth", "row", F.col("r.n").alias("n_words"), F.explode_outer("r.fps").alias("fp")).join(test_fps, "fp", "left")
     # the prints of a row are in one task, which sums them before the shuffle
     base = materialise(prints.groupBy("row", "doc_id", "nth", "n_words").agg(F.max("found").alias("found")), place, "base")
 
     hit_ids = base.filter("found = 1").select(F.col("doc_id").alias("__id"), F.col("nth").alias("__nth")).distinct()
     hit_ids = small(hit_ids, hit_ids.count(), BROADCAST_IDS)
     hit_docs = own.select("doc_id", "nth", "text").join(hit_ids, same("__"), "left_semi")
-    runs = lambda m: let(words(F.col("text")), lambda w: windows(w, m))
-    found = union([hit_docs.select("doc_id", "nth", F.explode(runs(m)).alias("x")).select("doc_id", "nth", "x.i", F.lit(m).alias("m"), "x.window") for m in lengths])
-    known = test_windows.select("window").distinct()
-    hits = materialise(found.join(small(known, test_windows.count()), "window", "left_semi"), place, "hits")
+    # numbered by what is written, so that places and texts stay together
+    hit_docs = materialise(hit_docs.select("doc_id", "nth", words(F.col("text")).alias("w")).withColumn("at", F.monotonically_increasing_id()), place, "hit-docs")
+    near = union([hit_docs.select("at", F.explode(places(F.col("w"), m)).alias("x")).select("at", F.lit(m).alias("m"), "x.i", "x.fp") for m in lengths])
+    near = near.join(test_fps, "fp", "left_semi").groupBy("at", "m").agg(F.collect_list(F.struct("i", "fp")).alias("found"))
+    near = materialise(near, place, "places")
+    found = hit_docs.join(near, "at").select("doc_id", "nth", "m", F.explode(extended(F.col("w"), F.col("found"), F.col("m"))).alias("x")).select("doc_id", "nth", "m", "x.i", "x.fp", "x.window")
+    n_test, same_run = test_windows.count(), ["fp", "m", "window"]
+    hits = materialise(found.join(small(test_windows.select(same_run).distinct(), n_test), same_run, "left_semi"), place, "hits")
     # covered words: spans in order, each from where the last one ended
     spans = F.array_sort(F.collect_set(F.struct("i", (F.col("i") + F.col("m")).alias("e"))))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     join = lambda a, s: F.struct(F.greatest(a["end"], s["e"]).alias("end"), (a["total"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["end"], s["i"]))).alias("total"))
     covered = hits.groupBy("doc_id", "nth").agg(spans.alias("spans")).select("doc_id", "nth", F.aggregate("spans", start, join, lambda a: a["total"]).cast("long").alias("n_hit"))
-    pairs = hits.select("doc_id", "nth", "window").distinct().join(small(test_windows, test_windows.count()), "window").filter("item_id is not null").select("doc_id", "nth", F.col("item_id").cast("string").alias("item")).distinct()
+    pairs = hits.select("doc_id", "nth", *same_run).distinct().join(small(test_windows, n_test), same_run).filter("item_id is not null").select("doc_id", "nth", F.col("item_id").cast("string").alias("item")).distinct()
     listed = pairs.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = covered.join(listed.withColumnsRenamed({"doc_id": "__id", "nth": "__nth"}), same("__"), "left").select(F.col("doc_id").alias("hit_id"), F.col("nth").alias("hit_nth"), "n_hit", "items")
     names = F.coalesce("items", F.array().cast("array<string>"))
