@@ -278,6 +278,16 @@ def test_contamination(spark, docs, texts, odd, none):
     assert not any(r["contaminated"] for r in op7_decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+
+def test_contamination_near_the_window(spark):
+    # nine shared words aren't a hit, though grams of five are shared; repeated words make equal grams; a hit lies at either end
+    item = [f"w{k}" for k in range(14)]
+    rows = [(1, item[:9]), (2, [*"abc", *item[2:12], "z"]), (3, ["x"] * 30), (4, [*item[:9], "q", *item[5:14]]), (5, [*item[4:14], *"de"]), (6, item[:5] * 3), (7, None)]
+    docs = spark.createDataFrame([(d, w and " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(["x"] * 12)), ("c", " ".join(item[3:13]))], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in op7_decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: (0, 0), 2: (10, 1), 3: (30, 1), 4: (0, 0), 5: (10, 1), 6: (0, 0), 7: (0, 0)}
+
 def test_token_files(docs, texts, odd, none, tmp_path):
     manifest = op8_token_output.write(docs, f"file://{tmp_path}/a", word_path())
     want, at = {}, 0
