@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -69,13 +69,32 @@ def own_texts(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return rows.column("doc_id").to_numpy(), rows.column("row").to_numpy(), rows.column("text")
 
 
+def bucketed(df: DataFrame, key: str, n: int, path: str | None = None) -> str:
+    """The name of a new table of df in n buckets by key, sorted by it: in the warehouse, or in the folder `path`, where it outlives the session."""
+    name = f"lexiline_{key}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return name
+
+
+def reopened(spark: SparkSession, path: str, schema: str, key: str, n: int) -> str:
+    """The name of a table over a folder that bucketed() wrote."""
+    name = f"lexiline_{key}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{path}'")
+    return name
+
+
 class Groups:
     """The documents as a table bucketed by group, and joins of its groups with other rows of theirs. Each row has a number of its own: rows of one doc_id stay apart.
 
     Texts of about one length make a group, so that it never holds more than GROUP_BYTES, or one text."""
 
-    def __init__(self, docs: DataFrame):
-        self.spark, self.place = docs.sparkSession, workspace(docs.sparkSession)
+    #: columns of the table of an index that lasts
+    STORED = "doc_id long, text string, batch int, row long, g long, key binary"
+
+    def __init__(self, docs: DataFrame, place: str | None = None):
+        """With a place, the table and the copies are kept there."""
+        self.spark, self.place = docs.sparkSession, place or workspace(docs.sparkSession)
         extra = [c for c in ("batch",) if c in docs.columns]
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
         size = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
@@ -86,15 +105,22 @@ class Groups:
         k = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.octet_length("text") / F.lit(float(mean)))) / 2) - 1).cast("int")
         rows = F.greatest(F.lit(1.0), F.least(F.lit(4096.0), F.floor(F.lit(GROUP_BYTES / mean) / F.pow(F.lit(4.0), k + 1)))).cast("long")
         group = F.floor(F.col("row") / rows)
-        self.name = f"lexiline_groups_{uuid.uuid4().hex}"
         marks = {"g": F.pmod(F.xxhash64(group, k, *extra), F.lit(1 << 48)), "key": F.unhex(F.md5("text"))}
-        numbered.withColumns(marks).write.bucketBy(partitions(self.spark), "g").sortBy("g").option("compression", "zstd").format("parquet").saveAsTable(self.name)
+        self.name = bucketed(numbered.withColumns(marks), "g", partitions(self.spark), place and f"{place}/groups")
         self.table = self.spark.table(self.name)
         known = self.table.filter("doc_id is not null").select("g", "row", "doc_id", "key")
         first = materialise(known.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last"), self.place, "first")
         heavy = Heavy(first.select("key", "n"), "key", size["n"], self.place)
         self.copies = materialise(heavy.join(known, first.select("key", "first"), "row").filter("doc_id > first").select("g", F.col("row").alias("copy")), self.place, "copies")
 
+    @classmethod
+    def stored(cls, spark: SparkSession, place: str, n: int) -> Groups:
+        """Groups that an earlier call kept at a place, in n buckets."""
+        self = cls.__new__(cls)
+        self.spark, self.place, self.name = spark, place, reopened(spark, f"{place}/groups", cls.STORED, "g", n)
+        self.table, self.copies = spark.table(self.name), spark.read.schema("g long, copy long").parquet(f"{place}/copies")
+        return self
+
     def join(self, right: DataFrame, step, schema: str, where: Column | None = None) -> DataFrame:
         """step(g, documents, rows) on each group with the rows of its g in right."""
         rows = self.table if where is None else self.table.filter(where)

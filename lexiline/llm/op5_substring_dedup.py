@@ -6,10 +6,10 @@ written once, in groups of a few MB, as a table bucketed by group that later ste
 
 The index is a log of sorted immutable runs: a run has the different fingerprints of each group of a batch, sorted, in tables bucketed by
 hash. A batch becomes a run of its own, which is merge-joined with the earlier ones, bucket by bucket and without moving them; groups on both
-sides get back the fingerprints that occur again. When there are more than `fanout` runs they are compacted into one. Entries with such
+sides get back the fingerprints that occur again. When there are more than `fanout` runs they are compacted into one, which the next batch is joined with. Entries with such
 fingerprints are then verified: the hashes of their single windows are dealt and sorted by fingerprint and (doc_id, start), and a window
 that was there before (64 bits of its own besides the 64 of its fingerprint) is a repeat. A group sends only the first of its own equal
-windows. Batches are ranges of doc_id, oldest first.
+windows. Batches are ranges of doc_id, oldest first. strip() makes the batches of one call; SubstringIndex keeps the index for later ones.
 
 Null text has no words and documents of fewer words than a window keep them all; a null doc_id is kept whole and never compared; rows with
 equal doc_id are taken for versions of one document, where a window at the same place is no repeat; an empty table gives no rows; other columns are ignored (strip() keeps them).
@@ -22,14 +22,15 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import grams, hashes, materialise, mixed, partitions, slices, table, words_of
-from lexiline.llm.groups import Groups, bucket_keys, by_value, list_column, own_texts, packed
+from lexiline.llm.common import drop, grams, hashes, materialise, mixed, partitions, slices, table, words_of, workspace
+from lexiline.llm.groups import Groups, bucket_keys, bucketed, by_value, list_column, own_texts, packed, reopened
 from lexiline.llm.ranges import Ranges, least_places
 
 WINDOW, GRAM, BUCKET_PRINTS = 20, 5, 400_000
@@ -58,20 +59,23 @@ def entries(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 class FingerprintIndex:
-    """Runs of (bucket, g, once, often): the fingerprints that a group has once, and more than once, sorted."""
+    """Runs of (bucket, g, once, often): the fingerprints that a group has once, and more than once, sorted. A run isn't changed once it is written."""
 
-    def __init__(self, groups: Groups, fanout: int = 1):
-        self.groups, self.spark, self.fanout = groups, groups.spark, fanout
-        self.tables, self.runs, self.batches = partitions(groups.spark), [], 0
-        self.buckets = max(1, math.ceil(groups.bytes / 50 / BUCKET_PRINTS))
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 1, place: str | None = None):
+        """With a place, runs are kept there."""
+        self.spark, self.buckets, self.fanout, self.place = spark, buckets, fanout, place
+        self.tables, self.runs, self.stale, self.batches = partitions(spark), [], [], 0
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"lexiline_run_{uuid.uuid4().hex}"
-        df.repartition(self.tables, "bucket").write.bucketBy(self.tables, "bucket").sortBy("bucket").option("compression", "zstd").format("parquet").saveAsTable(name)
-        return name
+    def _write(self, df: DataFrame) -> dict:
+        path = self.place and f"{self.place}/run-{uuid.uuid4().hex}"
+        return {"table": bucketed(df.repartition(self.tables, "bucket"), "bucket", self.tables, path), "path": path, "n": self.tables}
 
-    def add(self, batch: int) -> list[DataFrame]:
-        """Makes a run of a batch's groups and joins it with the earlier ones: (g, keys) of groups of both sides."""
+    def reopen(self, path: str, n: int) -> None:
+        """Adds a run that an earlier call kept."""
+        self.runs.append({"table": reopened(self.spark, path, RUN, "bucket", n), "path": path, "n": n})
+
+    def add(self, groups: Groups, where: Column | None = None) -> list[DataFrame]:
+        """Makes a run of a batch's groups and joins it with the earlier ones, compacted if there are many: (g, keys) of groups of both sides."""
         n_buckets = self.buckets
 
         def send(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -90,31 +94,34 @@ class FingerprintIndex:
                 value, own = value[keep], own[keep]
             return list_column(own, value.view(np.uint32).astype(np.int64) | (key[0].as_py() << 32))
 
-        sent = self.groups.join(self.groups.copies, send, RUN, where=F.col("batch") == batch)
-        new, empty = self._write(sent), self.spark.createDataFrame([], RUN)
+        if len(self.runs) > self.fanout:
+            self.compact()
+        new, empty = self._write(groups.join(groups.copies, send, RUN, where=where)), self.spark.createDataFrame([], RUN)
         found = []
         for run in self.runs or [None]:
-            old = self.spark.table(run) if run else empty
-            found.append(materialise(self.spark.table(new).groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(merge, "g long, keys array<long>"), self.groups.place, f"found{self.batches}-{len(found)}"))
+            old = self.spark.table(run["table"]) if run else empty
+            met = self.spark.table(new["table"]).groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(merge, "g long, keys array<long>")
+            found.append(materialise(met, groups.place, f"found{self.batches}-{len(found)}"))
         self.batches += 1
         self.runs.append(new)
-        if len(self.runs) > self.fanout:
-            self.compact()
         return found
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        merged = self.spark.table(self.runs[0])
+        """Merges all runs into one, which later batches are joined with in their place."""
+        merged = self.spark.table(self.runs[0]["table"])
         for run in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(run))
-        run = self._write(merged)
-        self.close()
-        self.runs = [run]
+            merged = merged.unionByName(self.spark.table(run["table"]))
+        self.stale, self.runs = self.stale + self.runs, [self._write(merged)]
+
+    def forget(self, runs: list[dict]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run['table']}")
+            if run["path"]:
+                drop(run["path"], self.spark, "")
 
     def close(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+        self.forget(self.stale + self.runs)
+        self.runs, self.stale = [], []
 
 
 WINDOWS = "fp long, g long, doc_id long, row long, s int, at array<int>, h array<long>, late int"
@@ -167,6 +174,10 @@ def windows(groups: Groups, shared: DataFrame, n_buckets: int) -> DataFrame:
     return groups.join(right, step, WINDOWS)
 
 
+def united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 SPANS = "g long, row long, s int, n int"
 
 
@@ -212,13 +223,78 @@ def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
     for cut in cuts:
         batch = batch + F.when(F.col("doc_id") > cut, 1).otherwise(0)
     groups = Groups(source.withColumn("batch", F.coalesce(batch, F.lit(0))))
-    index = FingerprintIndex(groups)
-    shared = [found for k in range(len(cuts) + 1) for found in index.add(k)]
+    index = FingerprintIndex(docs.sparkSession, buckets_for(groups.bytes))
+    shared = [found for k in range(len(cuts) + 1) for found in index.add(groups, F.col("batch") == k)]
     index.close()
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    found = materialise(windows(groups, union(shared), index.buckets), groups.place, "windows")
-    spans = materialise(repeats(found), groups.place, "spans").withColumn("copy", F.lit(None).cast("long"))
-    right = spans.unionByName(groups.copies.select("g", *[F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("s", "int"), ("n", "int"))], "copy"))
+    found = materialise(windows(groups, united(shared), index.buckets), groups.place, "windows")
+    spans = materialise(repeats(found), groups.place, "spans")
+    return groups.finished(without(groups, spans, texts))
+
+
+def buckets_for(size: int) -> int:
+    """Buckets of fingerprints for so many bytes of texts."""
+    return max(1, math.ceil(size / 50 / BUCKET_PRINTS))
+
+
+class SubstringIndex:
+    """An index that lasts: documents added in later calls and sessions are stripped of what earlier batches have.
+
+    Its folder, which all machines share, keeps each batch's documents in groups, the runs, and a manifest for each batch that names those in
+    force. A call that ends early leaves the manifest before it in force, and the batch can be added again. Batches come in order of doc_id: one
+    that begins below what the index holds is refused (ValueError), so all outputs together are those of strip() over all documents. Rows
+    without doc_id are kept whole. An addition joins the new run with the earlier runs; of earlier documents it reads the texts,
+    and handles those of groups that share a fingerprint with the batch. Nothing else is computed anew. One call at a time may add."""
+
+    def __init__(self, spark: SparkSession, path: str, expected_bytes: int = 1 << 40, fanout: int = 4):
+        """Opens the index in a folder, or makes one for about so many bytes of texts in all."""
+        self.spark, self.path = spark, path.rstrip("/")
+        last = spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/*") if self._has("manifests") else spark.createDataFrame([], MANIFEST)
+        state = last.orderBy(F.desc("batches")).first()
+        self.index = FingerprintIndex(spark, state["buckets"] if state else buckets_for(expected_bytes), fanout, self.path)
+        self.top, self.batches = (state["top"], [b.asDict() for b in state["groups"]]) if state else (None, [])
+        for run in state["runs"] if state else ():
+            self.index.reopen(run["path"], run["n"])
+        self.index.batches = len(self.batches)
+
+    def _has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def add(self, docs: DataFrame, texts: bool = False) -> DataFrame:
+        """The columns of strip() for a batch, which is in the index afterwards."""
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        ends = source.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+        if ends["least"] is not None and self.top is not None and ends["least"] <= self.top:
+            raise ValueError(f"the index holds documents up to {self.top}, and the batch begins at {ends['least']}")
+        n = len(self.batches)
+        place = f"{self.path}/batch-{n}-{uuid.uuid4().hex}"
+        groups = Groups(source.withColumn("batch", F.lit(n)), place)
+        shared = united(self.index.add(groups))
+        keys = shared.select("g").distinct()
+        found = [windows(groups, shared, self.index.buckets)]
+        for old in [Groups.stored(self.spark, b["place"], b["n"]) for b in self.batches]:
+            old.table = old.table.join(keys, "g", "left_semi")
+            found.append(windows(old, shared, self.index.buckets))
+        spans = materialise(repeats(materialise(united(found), place, "windows")), place, "spans")
+        out = materialise(without(groups, spans, texts), workspace(self.spark), "stripped")
+        drop(place, self.spark, "windows", "spans", "first", "heavy", *[f"found{self.index.batches - 1}-{k}" for k in range(len(self.index.runs))])
+        self.batches.append({"place": place, "n": self.index.tables})
+        self.top = max((x for x in (self.top, ends["most"]) if x is not None), default=None)
+        runs = [(r["path"], r["n"]) for r in self.index.runs]
+        state = self.spark.createDataFrame([(len(self.batches), self.index.buckets, self.top, runs, [(b["place"], b["n"]) for b in self.batches])], MANIFEST)
+        materialise(state.coalesce(1), f"{self.path}/manifests", f"{n}-{uuid.uuid4().hex}")
+        self.index.forget(self.index.stale)
+        self.index.stale = []
+        return out
+
+
+MANIFEST = "batches int, buckets int, top long, runs array<struct<path:string,n:int>>, groups array<struct<place:string,n:int>>"
+
+
+def without(groups: Groups, spans: DataFrame, texts: bool) -> DataFrame:
+    """The rows of all documents of groups without the words of spans (those of other groups are passed over) and of copies."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("s", "int"), ("n", "int"))]
+    right = spans.withColumn("copy", F.lit(None).cast("long")).unionByName(groups.copies.select("g", *none, "copy"))
 
     def step(g: int, left: pa.Table, right: pa.Table) -> pa.Table:
         copies = right.column("copy").drop_null()
@@ -256,8 +332,7 @@ def strip(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
             row = rows.stop
         return pa.concat_tables(parts)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
-    return groups.finished(groups.join(right, step, schema))
+    return groups.join(right, step, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

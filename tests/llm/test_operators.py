@@ -481,3 +481,19 @@ def test_rows_without_ids(spark, tmp_path):
     once = spark.createDataFrame([r for r in rows if r[0] is None or r[2] != "de"], docs.schema)
     assert order(corpus_pipeline.substrings(spark, once, str(tmp_path)).collect()) == order(once.collect())
     assert order(corpus_pipeline.decontamination(spark, docs, str(tmp_path)).distinct().collect()) == order(r for r in rows if leak not in r[1])
+
+
+def test_substring_index_that_lasts(spark, docs, tmp_path):
+    """Batches added by calls that open the index anew give what one call over all documents gives, across a compaction."""
+    whole = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op5_substring_dedup.strip(docs).collect()}
+    ids, got = sorted(whole), {}
+    cuts = [ids[len(ids) * k // 4] for k in range(4)] + [ids[-1] + 1]
+    for a, b in zip(cuts, cuts[1:]):
+        index = op5_substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index", expected_bytes=1 << 26, fanout=1)
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(docs.filter((docs.doc_id >= a) & (docs.doc_id < b))).collect()}
+    assert got == whole
+    with pytest.raises(ValueError):
+        op5_substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index").add(docs)
+    last = op5_substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index")
+    assert len(last.batches) == 4 and len(last.index.runs) == 2
+    assert last.add(docs.limit(0)).count() == 0
