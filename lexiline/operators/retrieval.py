@@ -11,7 +11,13 @@ from lexiline.sources.timeline import UNITS_SQL, WORDS_SQL, by_source, table, un
 
 # fixed values: ranking constants, and function words that are no keywords
 K1, B, VECTOR_WEIGHT, TEXT_WEIGHT = 1.2, 0.75, 0.65, 0.35
-STOP = ("the", "and", "of", "to", "in", "de", "la", "le", "der", "die", "und", "que", "el", "en")
+STOP = tuple(
+    """
+    a an and are as at be but by for from had has have he her his i if in is it
+    its me my not of on or our she so that the their them then there they this to us was we
+    were what when where which who will with you your
+    """.split()
+)
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"
 PAGE_CHARS, FRAGMENT_CHARS = 16_000, 2000
 KEEP_ROWS, KEEP_CHARS = 320, 4000

@@ -14,8 +14,9 @@ from lexiline.operators.clean import clean_confidence, normalize_speaker, second
 # fixed values: the recognizer's fields, non-speech texts, the least score of a shot, line forms of logs and captions
 ASR_SCHEMA = "source_id long, duration_ms long, language string, segments array<struct<start:double,end:double,speaker:string,text:string,words:array<struct<word:string,start:double,end:double,score:double,speaker:string>>>>"
 NO_SPEECH = r"(?i)\A(?:[♪♫♬♩\s]+|\[(?:music|silence|no speech)\]|\((?:music|silence|no speech)\))\z"
-SHOT_FLOOR = 3.0
+SHOT_FLOOR, SHOT_MOST = 3.0, 100.0
 TIME_LINE, SCORE_LINE = r"pts_time:([0-9]+(?:\.[0-9]+)?)", r"lavfi\.scd\.score=([0-9]+(?:\.[0-9]+)?)"
+STRICT_TIME, STRICT_SCORE = r"\bpts_time:(-?\d+(?:\.\d+)?(?:e[+-]?\d+)?)\b", r"^lavfi\.scd\.score=(-?\d+(?:\.\d+)?)$"
 CUE = r"\A(?:[^\n]*\n)?([0-9]{2,}):([0-9]{2}):([0-9]{2})[.,]([0-9]{3}) --> ([0-9]{2,}):([0-9]{2}):([0-9]{2})[.,]([0-9]{3})\n"
 
 
@@ -58,6 +59,72 @@ def shot_log(spark: SparkSession, path: str, floor: float = SHOT_FLOOR) -> DataF
     return paired.filter(F.col("score") >= floor).select("source_id", F.floor(F.col("before") * 1000 + 0.5).cast("long").alias("time_ms"), "score")
 
 
+SHOT_GRID = "source_id long, decision_threshold double, shots array<struct<t:double,score:double>>"
+
+
+def read_shot_grid(spark: SparkSession, path: str) -> DataFrame:
+    """S3: (source_id, time_ms, score) of shot grids in JSON, one to a line: the shots that reach the threshold of their own file."""
+    g = spark.read.schema(SHOT_GRID).option("mode", "FAILFAST").json(path)
+    x = g.select("source_id", "decision_threshold", F.explode("shots").alias("x")).filter("x.score >= decision_threshold")
+    return x.select("source_id", F.floor(F.col("x.t") * 1000 + 0.5).cast("long").alias("time_ms"), "x.score")
+
+
+def shot_log_violations(spark: SparkSession, path: str, least: float = SHOT_FLOOR, most: float = SHOT_MOST) -> DataFrame:
+    """(source_id, n, rule) of detector logs read strictly: a time without a score or a score without a time (rows of either kind in turn), a score out of range,
+    a time that isn't beyond the one before it (compared exactly, as decimals). A log without rows of either kind has nothing to violate."""
+    o = Window.partitionBy("source_id").orderBy("n")
+    t, score = F.regexp_extract("line", STRICT_TIME, 1), F.regexp_extract(F.trim("line"), STRICT_SCORE, 1)
+    rows = _lines(spark, path).select("source_id", "n", F.when(t != "", t).cast("decimal(28,9)").alias("t"), F.when((t == "") & (score != ""), score).cast("double").alias("score")).filter("t is not null or score is not null")
+    near = rows.withColumns({"before": F.lag("t").over(o), "after": F.lead("score").over(o)})
+    pairs = F.max(F.when(F.col("after").isNotNull(), F.col("t"))).over(o.rowsBetween(Window.unboundedPreceding, -2))
+    near = near.withColumn("earlier", pairs)
+    rules = {
+        "no_score": F.col("t").isNotNull() & F.col("after").isNull(), "no_time": F.col("score").isNotNull() & F.col("before").isNull(),
+        "range": F.col("before").isNotNull() & ~F.col("score").between(least, most), "order": F.col("before").isNotNull() & F.col("score").isNotNull() & (F.col("before") <= F.col("earlier")),
+    }
+    found = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]), lambda x: x.isNotNull())
+    return near.select("source_id", F.col("n").cast("long").alias("n"), F.explode(found).alias("rule"))
+
+
+def playlist_items(lines: DataFrame) -> DataFrame:
+    """(source_id, item, kind, uri, seconds, begin, length) of the lines (source_id, n, line) of media playlists: what each refers to, in order. A range without a start
+    goes on where the one before it ended, if that is of the same object (else begin is null); a reference without a range has neither begin nor length."""
+    o = Window.partitionBy("source_id").orderBy("n")
+    attribute = lambda name: F.regexp_extract("line", rf'(?:[:,]){name}="([^"]+)"', 1)
+    tag = lambda name: F.when(F.col("line").startswith(f"#{name}:"), F.substring_index("line", f"#{name}:", -1))
+    is_map, plain = F.col("line").startswith("#EXT-X-MAP:"), (F.col("line") != "") & ~F.col("line").startswith("#")
+    marked = lines.withColumns({"refers": is_map | plain, "range": F.coalesce(tag("EXT-X-BYTERANGE"), F.when(is_map & (attribute("BYTERANGE") != ""), attribute("BYTERANGE"))), "inf": F.substring_index(tag("EXTINF"), ",", 1)})
+    own = marked.withColumn("item", F.coalesce(F.sum(F.col("refers").cast("long")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kind, uri = F.when(is_map, "map").when(plain, "segment"), F.when(is_map, attribute("URI")).when(plain, F.col("line"))
+    g = own.withColumns({"kind": kind, "uri": uri}).groupBy("source_id", "item").agg(F.max("kind").alias("kind"), F.max("uri").alias("uri"), F.max("inf").cast("decimal(18,6)").alias("seconds"), F.max("range").alias("range")).filter("kind is not null")
+    part = lambda k: F.get(F.split("range", "@"), k).cast("long")
+    i = Window.partitionBy("source_id").orderBy("item")
+    goes_on = F.col("range").isNotNull() & part(1).isNull() & F.col("uri").eqNullSafe(F.lag("uri").over(i)) & F.lag("range").over(i).isNotNull()
+    runs = g.withColumns({"length": part(0), "start": part(1), "run": F.sum((~goes_on).cast("long")).over(i)})
+    r = Window.partitionBy("source_id", "run").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return runs.select("source_id", "item", "kind", "uri", "seconds", (F.first("start").over(r) + F.sum("length").over(r) - F.col("length")).alias("begin"), "length")
+
+
+def playlist_violations(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source_id, item, rule): objects (source_id, uri, size) that are missing or empty, ranges past their object's end or without a start, unsafe names, segments without a
+    duration, and of whole playlists (item -1): no first line, no end, no map, no segment."""
+    j = playlist_items(lines).join(sizes, ["source_id", "uri"], "left")
+    unsafe = F.col("uri").rlike(r"[:?#\\\\%]|^/|(^|/)\.{1,2}(/|$)")
+    item = {
+        "unsafe": unsafe, "missing": F.coalesce("size", F.lit(0)) <= 0, "range": F.col("length").isNotNull() & (F.col("begin").isNull() | (F.col("length") <= 0) | (F.col("begin") + F.col("length") > F.col("size"))),
+        "duration": (F.col("kind") == "segment") & (F.coalesce("seconds", F.lit(0)) <= 0),
+    }
+    whole = lines.groupBy("source_id").agg(F.min_by("line", "n").alias("first"), F.max((F.col("line") == "#EXT-X-ENDLIST").cast("int")).alias("end")).join(j.groupBy("source_id").agg(F.count_if(F.col("kind") == "map").alias("maps"), F.count_if(F.col("kind") == "segment").alias("segments")), "source_id", "left")
+    of_all = {"first_line": F.col("first") != "#EXTM3U", "end": F.col("end") == 0, "map": F.coalesce("maps", F.lit(0)) == 0, "segments": F.coalesce("segments", F.lit(0)) == 0}
+    found = lambda rules: F.explode(F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]), lambda x: x.isNotNull())).alias("rule")
+    return j.select("source_id", "item", found(item)).unionByName(whole.select("source_id", F.lit(-1).cast("long").alias("item"), found(of_all)))
+
+
+def read_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, n, line) of playlists in folders source_id=..."""
+    return _lines(spark, path)
+
+
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, ord, start_ms, end_ms, text, ok) of WebVTT or SRT files in folders source_id=...; ok: positive, and not before the end of the cue before it."""
     whole = spark.read.text(path, wholetext=True)
