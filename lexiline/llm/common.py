@@ -57,12 +57,12 @@ class Heavy:
         self.key = key
         self.keys = materialise(sizes.filter(F.col("n") > max(self.LEAST, entries // self.HEAVY)).select(key, F.lit(True).alias("heavy")), place, "heavy")
 
-    def join(self, rows: DataFrame, few: DataFrame, deal: str) -> DataFrame:
-        """rows joined with few by the key; column `deal` of rows is what salts are made of."""
+    def join(self, rows: DataFrame, few: DataFrame, deal: str, how: str = "inner") -> DataFrame:
+        """rows joined with few by the key (or left joined); column `deal` of rows is what salts are made of."""
         marked = lambda df: df.join(F.broadcast(self.keys), self.key, "left")
         left = marked(rows).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(deal), F.lit(self.SALTS))).otherwise(0)).drop("heavy")
         salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("long"), F.lit(self.SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-        return left.join(marked(few).withColumn("salt", F.explode(salts)).drop("heavy"), [self.key, "salt"]).drop("salt")
+        return left.join(marked(few).withColumn("salt", F.explode(salts)).drop("heavy"), [self.key, "salt"], how).drop("salt")
 
 
 def let(value: Column, body) -> Column:
