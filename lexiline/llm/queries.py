@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("op1_packing", "op10_suffix_dedup", "op11_spelling", "op12_token_counts", "op2_near_dedup", "op3_chat_format", "op4_warc", "op5_substring_dedup", "op6_license_scan", "op7_decontaminate", "op8_token_output", "op9_quality")
+NAMES = ("op1_packing", "op10_suffix_dedup", "op11_spelling", "op12_token_counts", "op13_ball_kmeans", "op2_near_dedup", "op3_chat_format", "op4_warc", "op5_substring_dedup", "op6_license_scan", "op7_decontaminate", "op8_token_output", "op9_quality")
 
 
 def queries() -> dict:
