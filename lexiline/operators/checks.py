@@ -365,9 +365,14 @@ def x13_page(s: SparkSession, d: str) -> DataFrame:
     return character_page(r, ["source"], 2, 40, 8).select("source", "ordinal", "characters", "start_character", "end_character", F.sha2("fragment", 256).alias("fragment_sha256"))
 
 
-def b18_intervals(s: SparkSession, d: str) -> DataFrame:
+def speech_frames(s: SparkSession, d: str) -> DataFrame:
+    """(source_id, ix, p) of the events of each user, in their order."""
     e = table(s, d, "events")
-    f = e.select(F.col("user_id").alias("source_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("ix"), (F.expr("(event_id div 2 * 37 + event_id % 7 * 5) % 100") / 100).alias("p"))
+    return e.select(F.col("user_id").alias("source_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("ix"), (F.expr("(event_id div 2 * 37 + event_id % 7 * 5) % 100") / 100).alias("p"))
+
+
+def b18_intervals(s: SparkSession, d: str) -> DataFrame:
+    f = speech_frames(s, d)
     found = speech_intervals(f, f.groupBy("source_id").agg((F.count("*") * FRAME - 100).alias("samples")))
     return found.select("source_id", "start_ms", "end_ms", "lo", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "hi")
 
