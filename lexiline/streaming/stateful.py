@@ -230,14 +230,14 @@ def stall_stream(beats: DataFrame, key: str, ts: str, done: str | None = None, l
     Beats may be late by as much as said; each is judged when the watermark has passed it, so their order of arrival doesn't matter. The rows are those of `stalls`
     with the watermark as now. Of beats at one time one counts, done if any is; a beat without a time is passed over."""
     with_state(beats.sparkSession)
-    at = F.unix_millis(F.col(ts))
-    rows = beats.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), at.alias("at"), (F.col(done) if done else F.lit(False)).alias("done")).withWatermark("ts", late)
+    at = F.col(ts).cast("timestamp")
+    rows = beats.select(F.col(key).cast("string").alias("key"), at.alias("ts"), F.unix_millis(at).alias("at"), (F.col(done) if done else F.lit(False)).alias("done")).withWatermark("ts", late)
     return rows.groupBy("key").transformWithState(statefulProcessor=StallProcessor(limit_ms), outputStructType="key string, kind string, at_ms long", outputMode="Append", timeMode="EventTime")
 
 
 def stalls(beats: DataFrame, key: str, ts: str, done: str | None = None, limit_ms: int = STALL_MS, now: DataFrame | None = None) -> DataFrame:
     """The same of a whole table at the time `now` (one row, now_ms; by default that of the last beat)."""
-    own = beats.select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(ts)).alias("at"), (F.coalesce(F.col(done), F.lit(False)) if done else F.lit(False)).alias("done")).filter("at is not null")
+    own = beats.select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), (F.coalesce(F.col(done), F.lit(False)) if done else F.lit(False)).alias("done")).filter("at is not null")
     once = own.groupBy("key", "at").agg(F.bool_or("done").alias("done"))
     now = own.agg(F.max("at").alias("now_ms")) if now is None else now
     seen = once.withColumn("after", F.lead("at").over(Window.partitionBy("key").orderBy("at"))).crossJoin(F.broadcast(now))  # one row
@@ -266,7 +266,7 @@ QUERIES = {
 }
 ORACLES = {
     "st_speech_stateful": checks.ORACLES["b18_speech_intervals"],
-    "st_stalls": f"""WITH b AS (SELECT user_id::VARCHAR AS key, epoch_ms(ts) AS t, bool_or(event_id % 7 = 3) AS done FROM events GROUP BY ALL), e AS (SELECT max(t) AS now FROM b),
+    "st_stalls": f"""WITH b AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS t, bool_or(event_id % 7 = 3) AS done FROM events GROUP BY ALL), e AS (SELECT max(t) AS now FROM b),
 n AS (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t) AS nx FROM b), g AS (SELECT * FROM n, e WHERE NOT done AND coalesce(nx, now) - t > {6 * HOURS})
 SELECT key, 'stalled' AS kind, t + {6 * HOURS} AS at_ms FROM g UNION ALL SELECT key, 'resumed', nx FROM g WHERE nx IS NOT NULL""",
 }
