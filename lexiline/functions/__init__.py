@@ -1 +1 @@
-"""Functions on single values live beside the operators that use them: cleaning in operators/clean.py, prices and parsed text in operators/store.py."""
+"""Functions on single values that several operators share; those of one operator are beside it."""

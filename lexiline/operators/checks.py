@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiline.functions.text import blank
 from lexiline.operators.segment import GRID_SQL, sentence_grid
 from lexiline.operators.store import half_up_ms
 from lexiline.sources.timeline import WORDS_SQL, by_source, table, words
@@ -95,7 +96,7 @@ def proposal_violations(topics: DataFrame, spans: DataFrame, sentences: DataFram
     seen = F.count("*").over(Window.partitionBy("source_id", "topic"))
     t = topics.withColumn("same", seen).join(known("first"), ["source_id", "first"], "left").join(known("last"), ["source_id", "last"], "left")
     unknown = F.col("first_known").isNull() | F.col("last_known").isNull()
-    of_topics = t.select("source_id", "topic", F.explode(_rules({"blank": F.trim("title") == "", "duplicate": F.col("same") > 1, "unknown": unknown, "reversed": F.col("last") < F.col("first")})).alias("rule"))
+    of_topics = t.select("source_id", "topic", F.explode(_rules({"blank": blank("title"), "duplicate": F.col("same") > 1, "unknown": unknown, "reversed": F.col("last") < F.col("first")})).alias("rule"))
     core = topics.select("source_id", "topic").distinct().join(spans.filter("field = 'core'").select("source_id", "topic"), ["source_id", "topic"], "left_anti").select("source_id", "topic", F.lit("no_core").alias("rule"))
     inside = spans.join(known("first"), ["source_id", "first"], "left").join(known("last"), ["source_id", "last"], "left").join(topics.select("source_id", "topic", F.col("first").alias("t_first"), F.col("last").alias("t_last")).distinct(), ["source_id", "topic"])
     outside = (F.col("first") < F.col("t_first")) | (F.col("last") > F.col("t_last"))
@@ -114,7 +115,7 @@ def review_violations(criteria: DataFrame, spans: DataFrame) -> DataFrame:
     met = criteria.join(spans, ["review", "criterion"], "left")
     bad = ~((F.col("allowed_first") <= F.col("first")) & (F.col("first") <= F.col("last")) & (F.col("last") <= F.col("allowed_last")))
     g = met.groupBy("review", "criterion", "status", "reason").agg(F.count("first").alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"), F.coalesce(F.bool_or((F.col("first") <= F.col("topic_last")) & (F.col("last") >= F.col("topic_first"))), F.lit(False)).alias("owns"))
-    rules = {"blank": F.trim("reason") == "", "no_evidence": F.col("status").isin("pass", "fail") & (F.col("n") == 0), "unavailable": F.col("bad"), "not_cited": (F.col("status") == "pass") & ~F.col("owns")}
+    rules = {"blank": blank("reason"), "no_evidence": F.col("status").isin("pass", "fail") & (F.col("n") == 0), "unavailable": F.col("bad"), "not_cited": (F.col("status") == "pass") & ~F.col("owns")}
     return g.select("review", "criterion", F.explode(_rules(rules)).alias("rule"))
 
 
@@ -123,10 +124,10 @@ def review_violations(criteria: DataFrame, spans: DataFrame) -> DataFrame:
 def chapter_score(chapters: DataFrame, durations: DataFrame) -> DataFrame:
     """Chapters (source_id, ord, start_ms, end_ms, title) of durations (source_id, duration_ms): score and issues."""
     c = chapters.withColumn("before", F.lag("end_ms").over(by_source("ord")))
-    blank = F.trim("title") == ""
+    untitled = blank("title")
     g = c.groupBy("source_id").agg(
         F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered"), F.coalesce(F.bool_or(F.col("start_ms") < F.col("before")), F.lit(False)).alias("mixed"), F.max_by("end_ms", "ord").alias("last_end"),
-        F.array_sort(F.collect_list(F.when(blank, F.col("ord")))).alias("blanks"),
+        F.array_sort(F.collect_list(F.when(untitled, F.col("ord")))).alias("blanks"),
     )
     j = durations.join(g, "source_id", "left").withColumn("share", F.least(F.col("covered") / F.col("duration_ms"), F.lit(1.0)))
     named = F.array_join(F.transform("blanks", lambda k: F.concat(F.lit("chapter "), k.cast("string"), F.lit(" has an empty title"))), "; ")
@@ -144,7 +145,7 @@ def suggestion_score(suggestions: DataFrame, speakers: DataFrame) -> DataFrame:
     s = suggestions.join(known("speaker"), ["source_id", "speaker"], "left").join(known("merge_with"), ["source_id", "merge_with"], "left")
     texts = F.array(
         F.when(F.col("speaker_known").isNull(), F.concat(F.lit("suggestion for unknown speaker id "), "speaker")), F.when(F.col("merge_with").isNotNull() & F.col("merge_with_known").isNull(), F.concat(F.lit("merge target "), "merge_with", F.lit(" is not a speaker id"))),
-        F.when((F.coalesce("name", F.lit("")) != "") & (F.trim("evidence") == ""), F.concat(F.lit("name for speaker "), "speaker", F.lit(" carries no evidence"))),
+        F.when((F.coalesce("name", F.lit("")) != "") & blank("evidence"), F.concat(F.lit("name for speaker "), "speaker", F.lit(" carries no evidence"))),
     )
     said = s.select("source_id", F.lit(0).alias("part"), "ord", F.posexplode(texts).alias("k", "text")).filter("text is not null")
     silent = speakers.groupBy("source_id", "speaker").agg(F.min("ord").alias("ord")).join(suggestions.select("source_id", "speaker").distinct(), ["source_id", "speaker"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiline.functions.text import strip
 from lexiline.plans.ordered import as_of, range_join
 from lexiline.sources.timeline import WORDS_SQL, by_source, spans, table, words
 
@@ -18,7 +19,7 @@ STALL_MINUTES = 5
 
 def normalize_speaker(c: Column) -> Column:
     """Blank to null, SPEAKER_07 to 7, else trimmed."""
-    t = F.trim(c)
+    t = strip(c)
     digits = F.regexp_extract(t, SPEAKER_LABEL, 1)
     return F.when(t == "", None).when(digits != "", digits).otherwise(t)
 

@@ -99,8 +99,12 @@ def s5_log(s: SparkSession, d: str) -> DataFrame:
     return files.shot_log_violations(s, path)
 
 
+#: lines near the end of some playlists: a key, a range that nothing follows, another playlist
+ODD_LINES = (("#EXT-X-KEY:METHOD=NONE", "#EXT-X-NOTE", "#EXTINF:1.000,"), ("#EXT-X-NOTE", "#EXT-X-BYTERANGE:5@0", "nested.m3u8"))
+
+
 def _playlists(s: SparkSession, d: str) -> DataFrame:
-    """A playlist for each conversation: objects of five sentences; every fifth range has a start, some lack one, a duration or a map."""
+    """A playlist for each conversation: objects of five sentences; every fifth range has a start, some lack one, a duration or a map; some have a key, a range left over or another playlist."""
     g = sentence_grid(words(s, d)).select("source_id", "sentence_id", "word_count", "start_ms", "end_ms")
     k, length = F.col("sentence_id"), F.col("word_count") * 100
     inf = F.when(k % 31 != 17, F.concat(F.lit("#EXTINF:"), F.format_string("%d.%03d", F.expr("(end_ms - start_ms) div 1000"), F.expr("(end_ms - start_ms) % 1000")), F.lit(","))).otherwise(F.lit("#EXT-X-NOTE"))
@@ -109,7 +113,8 @@ def _playlists(s: SparkSession, d: str) -> DataFrame:
     rows = g.select("source_id", F.explode(F.array(line(0, inf), line(1, spans), line(2, F.concat(F.lit("part"), F.expr("sentence_id div 5").cast("string"), F.lit(".m4s"))))).alias("x")).select("source_id", "x.ord", "x.line")
     top = g.groupBy("source_id").agg(F.max("sentence_id").alias("m"))
     ends = F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.lit("#EXTM3U").alias("line")), F.struct(F.lit(1).cast("long").alias("ord"), F.when(F.col("source_id") % 7 != 3, '#EXT-X-MAP:URI="init.mp4",BYTERANGE="800@0"').otherwise("#EXT-X-NOTE").alias("line")),
-                   F.struct((F.col("m") * 3 + 6).alias("ord"), F.when(F.col("source_id") % 11 != 4, "#EXT-X-ENDLIST").otherwise("#EXT-X-NOTE").alias("line")))
+                   *[F.struct((F.col("m") * 3 + 6 + i).alias("ord"), F.when(F.col("source_id") % 13 == 5, odd[0]).when(F.col("source_id") % 13 == 6, odd[1]).when(F.col("source_id") % 13 == 7, odd[2]).otherwise("#EXT-X-NOTE").alias("line")) for i, odd in enumerate(ODD_LINES)],
+                   F.struct((F.col("m") * 3 + 8).alias("ord"), F.when(F.col("source_id") % 11 != 4, "#EXT-X-ENDLIST").otherwise("#EXT-X-NOTE").alias("line")))
     path = f"{shared_folder(s)}/playlists"
     files.write_lines(rows.unionByName(top.select("source_id", F.explode(ends).alias("x")).select("source_id", "x.ord", "x.line")), path)
     return files.read_playlists(s, path)
@@ -155,7 +160,8 @@ QUERIES = {
 
 _ITEMS = f"""{GRID_SQL}, ln AS (SELECT source_id, sentence_id AS k, sentence_id // 5 AS p, word_count * 100 AS len, (end_ms - start_ms) / 1000 AS sec FROM grid), has AS (SELECT DISTINCT source_id, source_id % 7 <> 3 AS m FROM grid),
 it AS (SELECT l.source_id, k + m::INT AS item, 'segment' AS kind, 'part' || p || '.m4s' AS uri, CASE WHEN k % 31 <> 17 THEN sec END AS seconds, CASE WHEN p % 7 <> 4 THEN sum(len) OVER (PARTITION BY l.source_id, p ORDER BY k) - len END AS begin, len AS length, p FROM ln l JOIN has USING (source_id)
-UNION ALL SELECT source_id, 0, 'map', 'init.mp4', NULL, 0, 800, -1 FROM has WHERE m)"""
+UNION ALL SELECT source_id, 0, 'map', 'init.mp4', NULL, 0, 800, -1 FROM has WHERE m
+UNION ALL SELECT source_id, max(k) + 1 + any_value(m)::INT, 'segment', 'nested.m3u8', 1, NULL, NULL, -2 FROM ln JOIN has USING (source_id) WHERE source_id % 13 = 7 GROUP BY source_id)"""
 _P = "rp AS (SELECT p_partkey // 40 AS configuration, p_partkey % 40 AS recording, CASE WHEN p_partkey % 23 = 7 THEN 'e' || p_partkey ELSE 'e' END AS evidence, " + ", ".join(f"CASE WHEN (p_partkey + {i}) % 29 = 3 THEN '' ELSE '{f}' || CASE WHEN p_partkey % 40 = {i} THEN (p_partkey % 3)::VARCHAR ELSE 'x' END END AS {f}" for i, f in enumerate(FACTORS)) + ", CASE WHEN p_partkey % 11 <> 3 THEN p_partkey % 7 / 8 END AS clean_rate, p_partkey % 5 / 4 AS kept_rate FROM part WHERE p_partkey % 97 <> 45)"
 _CHANGED = " ".join(f"UNION ALL SELECT configuration, recording, CASE WHEN {f} = '' OR b_{f} = '' THEN 'unobserved_factor:{f}' ELSE 'changed_fixed_factor:{f}' END FROM pr WHERE {f} = '' OR b_{f} = '' OR {f} <> b_{f} AND {str(f != 'author_identity').lower()}" for f in FACTORS)
 ORACLES = {
@@ -167,8 +173,9 @@ e AS (SELECT *, max(CASE WHEN sa IS NOT NULL THEN t END) OVER (PARTITION BY sour
 SELECT source_id, n, 'no_score' AS rule FROM e WHERE t IS NOT NULL AND sa IS NULL UNION ALL SELECT source_id, n, 'no_time' FROM e WHERE sc IS NOT NULL AND bt IS NULL UNION ALL SELECT source_id, n, 'range' FROM e WHERE bt IS NOT NULL AND NOT sc BETWEEN 3 AND 100 UNION ALL SELECT source_id, n, 'order' FROM e WHERE sc IS NOT NULL AND bt <= te""",
     "s6_playlist_items": f"WITH {_ITEMS} SELECT source_id, item, kind, uri, seconds::DOUBLE AS seconds, begin, length FROM it",
     "v13_playlist_inventory": f"""WITH {_ITEMS}, sz AS (SELECT source_id, p, sum(len) - CASE WHEN p % 6 = 4 THEN 1 ELSE 0 END AS size FROM ln WHERE p % 9 <> 7 GROUP BY source_id, p UNION ALL SELECT source_id, -1, 799 + source_id % 3 FROM has), j AS (SELECT it.*, size FROM it LEFT JOIN sz ON sz.source_id = it.source_id AND sz.p = it.p)
-SELECT source_id, item, 'missing' AS rule FROM j WHERE size IS NULL UNION ALL SELECT source_id, item, 'range' FROM j WHERE begin IS NULL OR begin + length > size UNION ALL SELECT source_id, item, 'duration' FROM j WHERE kind = 'segment' AND coalesce(seconds, 0) <= 0
-UNION ALL SELECT source_id, -1, 'map' FROM has WHERE NOT m UNION ALL SELECT source_id, -1, 'end' FROM has WHERE source_id % 11 = 4""",
+SELECT source_id, item, 'missing' AS rule FROM j WHERE size IS NULL UNION ALL SELECT source_id, item, 'range' FROM j WHERE p <> -2 AND (begin IS NULL OR begin + length > size) UNION ALL SELECT source_id, item, 'nested' FROM j WHERE p = -2 UNION ALL SELECT source_id, item, 'duration' FROM j WHERE kind = 'segment' AND coalesce(seconds, 0) <= 0
+UNION ALL SELECT source_id, -1, 'map' FROM has WHERE NOT m UNION ALL SELECT source_id, -1, 'end' FROM has WHERE source_id % 11 = 4 UNION ALL SELECT source_id, -1, 'encrypted' FROM has WHERE source_id % 13 = 5 UNION ALL SELECT source_id, -1, 'pending_range' FROM has WHERE source_id % 13 = 6
+UNION ALL SELECT DISTINCT source_id, -1, 'durations' FROM ln WHERE k % 31 = 17""",
     "x7_editorial_status": """WITH o AS (SELECT o_orderkey, o_orderstatus AS st, o_custkey AS c FROM orders), t AS (SELECT *, (o_orderkey % 7 = 0 OR o_orderkey % 3 = 1 OR c % 17 = 5 OR c % 19 = 6) AS un,
 list_bool_and(list_transform(range(1, 5), lambda i: (c + i * 2) % 13 <> 0)) AND list_bool_and(list_transform(range(1, 4), lambda i: (c + i * 3) % 13 <> 0)) AS ok FROM o)
 SELECT o_orderkey, CASE WHEN un THEN 'Unverified' WHEN st = 'O' THEN 'Rejected by text review' WHEN st = 'F' AND ok THEN 'Passed text review' ELSE 'Needs review' END AS status FROM t""",

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiline.functions.text import SPACES, blank, strip
+from lexiline.functions.text import pieces as text_pieces
 from lexiline.operators.clean import clean_confidence, normalize_speaker, seconds_to_ms
 
 # fixed values: the recognizer's fields, non-speech texts, the least score of a shot, line forms of logs and captions
 ASR_SCHEMA = "source_id long, duration_ms long, language string, segments array<struct<start:double,end:double,speaker:string,text:string,words:array<struct<word:string,start:double,end:double,score:double,speaker:string>>>>"
-NO_SPEECH = r"(?i)\A(?:[♪♫♬♩\s]+|\[(?:music|silence|no speech)\]|\((?:music|silence|no speech)\))\z"
+NO_SPEECH = r"(?i)\A(?:[♪♫♬♩" + SPACES[1:-1] + r"]+|\[(?:music|silence|no speech)\]|\((?:music|silence|no speech)\))\z"
 SHOT_FLOOR, SHOT_MOST = 3.0, 100.0
 TIME_LINE, SCORE_LINE = r"pts_time:([0-9]+(?:\.[0-9]+)?)", r"lavfi\.scd\.score=([0-9]+(?:\.[0-9]+)?)"
 STRICT_TIME, STRICT_SCORE = r"\bpts_time:(-?\d+(?:\.\d+)?(?:e[+-]?\d+)?)\b", r"^lavfi\.scd\.score=(-?\d+(?:\.\d+)?)$"
@@ -29,17 +31,20 @@ def read_asr(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
 
 def asr_words(raw: DataFrame) -> DataFrame:
     """(source_id, ord, segment, text, start_ms, end_ms, speaker, confidence): the words of all segments in spoken order. Blank words go; a segment without any other
-    gives the pieces of its text without times, and none where the text says that there is no speech. A word without a speaker has its segment's."""
-    blank = lambda w: F.trim(w["word"]) == ""
-    empty = F.lit(None).cast("array<struct<word:string,start:double,end:double,score:double,speaker:string>>")
-    silent = F.coalesce(F.trim("s.text"), F.lit("")).rlike(NO_SPEECH) | (F.coalesce(F.trim("s.text"), F.lit("")) == "")
+    gives the pieces of its text without times, and none where the text says that there is no speech. A segment with neither words nor text is refused. A word without a speaker has its segment's."""
+    empty_word = lambda w: blank(w["word"])
+    empty_type = "array<struct<word:string,start:double,end:double,score:double,speaker:string>>"
+    empty = F.lit(None).cast(empty_type)
+    silent = F.coalesce(strip("s.text"), F.lit("")).rlike(NO_SPEECH) | (F.coalesce(strip("s.text"), F.lit("")) == "")
     nothing = F.lit(None).cast("double")
-    pieces = F.transform(F.split(F.trim("s.text"), r"\s+"), lambda t: F.struct(t.alias("word"), nothing.alias("start"), nothing.alias("end"), nothing.alias("score"), F.lit(None).cast("string").alias("speaker")))
-    said = F.when(F.coalesce(F.exists("s.words", lambda w: ~blank(w)), F.lit(False)), F.col("s.words")).when(~silent, pieces).otherwise(empty)
-    words = raw.select("source_id", F.posexplode("segments").alias("segment", "s")).select("source_id", "segment", F.col("s.speaker").alias("whose"), F.posexplode(said).alias("k", "w")).filter(F.trim("w.word") != "")
+    pieces = F.transform(text_pieces("s.text"), lambda t: F.struct(t.alias("word"), nothing.alias("start"), nothing.alias("end"), nothing.alias("score"), F.lit(None).cast("string").alias("speaker")))
+    unreadable = F.col("s").isNull() | (F.col("s.words").isNull() & F.col("s.text").isNull())
+    refused = F.raise_error(F.concat(F.lit("a segment has neither words nor text: "), F.col("source_id").cast("string"))).cast(empty_type)
+    said = F.when(unreadable, refused).when(F.coalesce(F.exists("s.words", lambda w: ~empty_word(w)), F.lit(False)), F.col("s.words")).when(~silent, pieces).otherwise(empty)
+    words = raw.select("source_id", F.posexplode("segments").alias("segment", "s")).select("source_id", "segment", F.col("s.speaker").alias("whose"), F.posexplode(said).alias("k", "w")).filter(~blank("w.word"))
     order = Window.partitionBy("source_id").orderBy("segment", "k")
     return words.select(
-        "source_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("segment").cast("long").alias("segment"), F.trim("w.word").alias("text"), seconds_to_ms(F.col("w.start")).alias("start_ms"), seconds_to_ms(F.col("w.end")).alias("end_ms"),
+        "source_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("segment").cast("long").alias("segment"), strip("w.word").alias("text"), seconds_to_ms(F.col("w.start")).alias("start_ms"), seconds_to_ms(F.col("w.end")).alias("end_ms"),
         F.coalesce(normalize_speaker(F.col("w.speaker")), normalize_speaker(F.col("whose"))).alias("speaker"), clean_confidence(F.col("w.score")).alias("confidence"),
     )
 
@@ -71,10 +76,11 @@ def read_shot_grid(spark: SparkSession, path: str) -> DataFrame:
 
 def shot_log_violations(spark: SparkSession, path: str, least: float = SHOT_FLOOR, most: float = SHOT_MOST) -> DataFrame:
     """(source_id, n, rule) of detector logs read strictly: a time without a score or a score without a time (rows of either kind in turn), a score out of range,
-    a time that isn't beyond the one before it (compared exactly, as decimals). A log without rows of either kind has nothing to violate."""
+    a time that isn't beyond the one before it (compared exactly, as decimals). A log with text but without rows of either kind breaks rule unrecognised (n -1)."""
     o = Window.partitionBy("source_id").orderBy("n")
-    t, score = F.regexp_extract("line", STRICT_TIME, 1), F.regexp_extract(F.trim("line"), STRICT_SCORE, 1)
-    rows = _lines(spark, path).select("source_id", "n", F.when(t != "", t).cast("decimal(28,9)").alias("t"), F.when((t == "") & (score != ""), score).cast("double").alias("score")).filter("t is not null or score is not null")
+    t, score = F.regexp_extract("line", STRICT_TIME, 1), F.regexp_extract(strip("line"), STRICT_SCORE, 1)
+    lines = _lines(spark, path)
+    rows = lines.select("source_id", "n", F.when(t != "", t).cast("decimal(28,9)").alias("t"), F.when((t == "") & (score != ""), score).cast("double").alias("score")).filter("t is not null or score is not null")
     near = rows.withColumns({"before": F.lag("t").over(o), "after": F.lead("score").over(o)})
     pairs = F.max(F.when(F.col("after").isNotNull(), F.col("t"))).over(o.rowsBetween(Window.unboundedPreceding, -2))
     near = near.withColumn("earlier", pairs)
@@ -83,39 +89,67 @@ def shot_log_violations(spark: SparkSession, path: str, least: float = SHOT_FLOO
         "range": F.col("before").isNotNull() & ~F.col("score").between(least, most), "order": F.col("before").isNotNull() & F.col("score").isNotNull() & (F.col("before") <= F.col("earlier")),
     }
     found = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]), lambda x: x.isNotNull())
-    return near.select("source_id", F.col("n").cast("long").alias("n"), F.explode(found).alias("rule"))
+    said = lines.filter(~blank("line")).select("source_id").distinct().join(rows.select("source_id").distinct(), "source_id", "left_anti")
+    return near.select("source_id", F.col("n").cast("long").alias("n"), F.explode(found).alias("rule")).unionByName(said.select("source_id", F.lit(-1).cast("long").alias("n"), F.lit("unrecognised").alias("rule")))
 
 
-def playlist_items(lines: DataFrame) -> DataFrame:
-    """(source_id, item, kind, uri, seconds, begin, length) of the lines (source_id, n, line) of media playlists: what each refers to, in order. A range without a start
-    goes on where the one before it ended, if that is of the same object (else begin is null); a reference without a range has neither begin nor length."""
+def _references(lines: DataFrame) -> DataFrame:
+    """What each playlist refers to, in order: lines that are no tag, and tags with a URI. A range line belongs to the next line that is no tag, and so does a duration."""
     o = Window.partitionBy("source_id").orderBy("n")
-    attribute = lambda name: F.regexp_extract("line", rf'(?:[:,]){name}="([^"]+)"', 1)
-    tag = lambda name: F.when(F.col("line").startswith(f"#{name}:"), F.substring_index("line", f"#{name}:", -1))
-    is_map, plain = F.col("line").startswith("#EXT-X-MAP:"), (F.col("line") != "") & ~F.col("line").startswith("#")
-    marked = lines.withColumns({"refers": is_map | plain, "range": F.coalesce(tag("EXT-X-BYTERANGE"), F.when(is_map & (attribute("BYTERANGE") != ""), attribute("BYTERANGE"))), "inf": F.substring_index(tag("EXTINF"), ",", 1)})
-    own = marked.withColumn("item", F.coalesce(F.sum(F.col("refers").cast("long")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    kind, uri = F.when(is_map, "map").when(plain, "segment"), F.when(is_map, attribute("URI")).when(plain, F.col("line"))
-    g = own.withColumns({"kind": kind, "uri": uri}).groupBy("source_id", "item").agg(F.max("kind").alias("kind"), F.max("uri").alias("uri"), F.max("inf").cast("decimal(18,6)").alias("seconds"), F.max("range").alias("range")).filter("kind is not null")
-    part = lambda k: F.get(F.split("range", "@"), k).cast("long")
+    is_tag = F.col("line").startswith("#")
+    attributes = F.when(is_tag & ~F.col("line").rlike("^#EXT-X-(KEY|BYTERANGE):"), F.regexp_extract("line", "^[^:]*:(.*)$", 1)).otherwise("")
+    of = lambda name: F.nullif(F.regexp_extract(attributes, f'(?:^|,){name}="([^"]+)"(?:,|$)', 1), F.lit(""))
+    said = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    plain = ~is_tag & (F.col("line") != "")
+    block = F.coalesce(F.sum(plain.cast("long")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.withColumns({"plain": plain, "block": block, "tag_uri": of("URI"), "tag_range": of("BYTERANGE"), "next_range": F.when(F.col("line").startswith("#EXT-X-BYTERANGE:"), F.substring_index("line", "#EXT-X-BYTERANGE:", -1)), "inf": said("^#EXTINF:([^,]+),")})
+    b = Window.partitionBy("source_id", "block").orderBy("n")
+    last = lambda c: F.when(F.col("plain"), F.last(c, ignorenulls=True).over(b))
+    found = marked.withColumns({"range": F.coalesce(last("next_range"), "tag_range"), "seconds": last("inf").try_cast("decimal(18,6)"), "uri": F.when(F.col("plain"), F.col("line")).otherwise(F.col("tag_uri"))}).filter("uri is not null")
+    kind = F.when(F.col("plain"), "segment").when(F.col("line").startswith("#EXT-X-MAP:"), "map").otherwise("tag")
+    part = lambda k: F.get(F.split("range", "@"), k).try_cast("long")
+    numbered = found.withColumns({"item": (F.row_number().over(o) - 1).cast("long"), "kind": kind, "length": F.when(F.size(F.split("range", "@")) <= 2, part(0)), "start": part(1)})
     i = Window.partitionBy("source_id").orderBy("item")
-    goes_on = F.col("range").isNotNull() & part(1).isNull() & F.col("uri").eqNullSafe(F.lag("uri").over(i)) & F.lag("range").over(i).isNotNull()
-    runs = g.withColumns({"length": part(0), "start": part(1), "run": F.sum((~goes_on).cast("long")).over(i)})
+    goes_on = F.col("range").isNotNull() & ~F.contains("range", F.lit("@")) & F.col("uri").eqNullSafe(F.lag("uri").over(i)) & F.lag("range").over(i).isNotNull()
+    runs = numbered.withColumn("run", F.sum((~goes_on).cast("long")).over(i))
     r = Window.partitionBy("source_id", "run").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.select("source_id", "item", "kind", "uri", "seconds", (F.first("start").over(r) + F.sum("length").over(r) - F.col("length")).alias("begin"), "length")
+    return runs.select("source_id", "item", "kind", "uri", "seconds", (F.first("start").over(r) + F.sum("length").over(r) - F.col("length")).alias("begin"), "length", "range")
+
+
+def playlist_items(lines: DataFrame) -> DataFrame:
+    """(source_id, item, kind, uri, seconds, begin, length) of the lines (source_id, n, line) of media playlists: what each refers to, in order; kind is segment, map, or tag for
+    other tags with a URI. A range without a start goes on where the one before it ended, if that is of the same object (else begin is null); a reference without a range has neither begin nor length."""
+    return _references(lines).drop("range")
+
+
+def playlist_seconds(lines: DataFrame) -> DataFrame:
+    """(source_id, seconds): the sum of all durations of a playlist; null where there is none, or one that isn't a positive number."""
+    said = lines.select("source_id", F.nullif(F.regexp_extract("line", "^#EXTINF:([^,]+),", 1), F.lit("")).alias("inf"))
+    number = F.col("inf").try_cast("decimal(18,6)")
+    g = said.groupBy("source_id").agg(F.sum(number).alias("seconds"), F.coalesce(F.min(F.when(F.col("inf").isNotNull(), F.coalesce(number > 0, F.lit(False)))), F.lit(False)).alias("fine"))
+    return g.select("source_id", F.when(F.col("fine"), F.col("seconds")).alias("seconds"))
 
 
 def playlist_violations(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(source_id, item, rule): objects (source_id, uri, size) that are missing or empty, ranges past their object's end or without a start, unsafe names, segments without a
-    duration, and of whole playlists (item -1): no first line, no end, no map, no segment."""
-    j = playlist_items(lines).join(sizes, ["source_id", "uri"], "left")
+    """(source_id, item, rule): objects (source_id, uri, size) that are missing or empty, ranges past their object's end, without a start or unreadable, unsafe names, playlists
+    within playlists, segments without a duration, and of whole playlists (item -1): no first line, no end, no map or one without a URI, no segment, a key line, a range that no line follows, and not as many durations as segments."""
+    j = _references(lines).join(sizes, ["source_id", "uri"], "left")
     unsafe = F.col("uri").rlike(r"[:?#\\\\%]|^/|(^|/)\.{1,2}(/|$)")
     item = {
-        "unsafe": unsafe, "missing": F.coalesce("size", F.lit(0)) <= 0, "range": F.col("length").isNotNull() & (F.col("begin").isNull() | (F.col("length") <= 0) | (F.col("begin") + F.col("length") > F.col("size"))),
+        "unsafe": unsafe, "missing": F.coalesce("size", F.lit(0)) <= 0, "nested": F.col("uri").endswith(".m3u8"),
+        "range": F.col("range").isNotNull() & (F.col("begin").isNull() | (F.col("begin") < 0) | (F.col("length") <= 0) | F.coalesce(F.col("begin") + F.col("length") > F.col("size"), F.lit(False))),
         "duration": (F.col("kind") == "segment") & (F.coalesce("seconds", F.lit(0)) <= 0),
     }
-    whole = lines.groupBy("source_id").agg(F.min_by("line", "n").alias("first"), F.max((F.col("line") == "#EXT-X-ENDLIST").cast("int")).alias("end")).join(j.groupBy("source_id").agg(F.count_if(F.col("kind") == "map").alias("maps"), F.count_if(F.col("kind") == "segment").alias("segments")), "source_id", "left")
-    of_all = {"first_line": F.col("first") != "#EXTM3U", "end": F.col("end") == 0, "map": F.coalesce("maps", F.lit(0)) == 0, "segments": F.coalesce("segments", F.lit(0)) == 0}
+    starts = lambda tag: F.col("line").startswith(tag)
+    whole = lines.groupBy("source_id").agg(
+        F.min_by("line", "n").alias("first"), F.max((F.col("line") == "#EXT-X-ENDLIST").cast("int")).alias("end"), F.count_if(starts("#EXT-X-KEY:")).alias("keys"), F.count_if(F.col("line").rlike("^#EXTINF:[^,]+,")).alias("durations"),
+        F.count_if(starts("#EXT-X-MAP:") & ~F.col("line").rlike('[:,]URI="[^"]+"(,|$)')).alias("bad_maps"), F.max(F.when(starts("#EXT-X-BYTERANGE:"), F.col("n"))).alias("last_range"), F.max(F.when(~starts("#") & (F.col("line") != ""), F.col("n"))).alias("last_plain"),
+    )
+    whole = whole.join(j.groupBy("source_id").agg(F.count_if(F.col("kind") == "map").alias("maps"), F.count_if(F.col("kind") == "segment").alias("segments")), "source_id", "left")
+    of_all = {
+        "first_line": F.col("first") != "#EXTM3U", "end": F.col("end") == 0, "map": (F.coalesce("maps", F.lit(0)) == 0) | (F.col("bad_maps") > 0), "segments": F.coalesce("segments", F.lit(0)) == 0, "encrypted": F.col("keys") > 0,
+        "pending_range": F.col("last_range") > F.coalesce("last_plain", F.lit(-1)), "durations": F.col("durations") != F.coalesce("segments", F.lit(0)),
+    }
     found = lambda rules: F.explode(F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]), lambda x: x.isNotNull())).alias("rule")
     return j.select("source_id", "item", found(item)).unionByName(whole.select("source_id", F.lit(-1).cast("long").alias("item"), found(of_all)))
 
