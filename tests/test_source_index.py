@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexiline.operators.source_index import NODES, source_index, source_index_violations
 
@@ -103,46 +102,41 @@ def broken(rows, nodes, source):
     return out
 
 
-def found(spark, rows, nodes, source):
-    n = spark.createDataFrame([tuple(n[c] for c in NODES) for n in nodes], NODE_TYPES)
-    got = [(r["id"], r["rule"]) for r in source_index_violations(n, spark.createDataFrame(rows, SENTENCES)).filter(F.col("source_id") == source).collect()]
-    assert len(got) == len(set(got)) or ("region-0007", "duplicate") in got, "one row for each node and rule"
-    return set(got)
+def found(spark, rows, indexes):
+    """Violations of many indexes in one call: {source: (sentences' source, nodes)} under sources of their own."""
+    nodes = [tuple(source if c == "source_id" else n[c] for c in NODES) for source, (of, own) in indexes.items() for n in own if n["source_id"] == of]
+    said = [(source, *r[1:]) for source, (of, _) in indexes.items() for r in rows if r[0] == of]
+    got = [tuple(r) for r in source_index_violations(spark.createDataFrame(nodes, NODE_TYPES), spark.createDataFrame(said, SENTENCES)).collect()]
+    assert len(set(got)) == len([g for g in got if g[2] != "duplicate"]) + len({g for g in got if g[2] == "duplicate"}), "one row for each node and rule"
+    return {source: {(i, r) for s, i, r in got if s == source} for source in indexes}
 
 
 def test_a_built_index_breaks_nothing(spark, index):
     rows, nodes = index
     assert len([n for n in nodes if n["kind"] == "region"]) >= 19 + 2 and len([n for n in nodes if n["kind"] == "section"]) >= 5
-    for source in (1, 2, 3):
-        assert found(spark, rows, nodes, source) == set() == broken(rows, nodes, source)
+    assert found(spark, rows, {source: (source, nodes) for source in (1, 2, 3)}) == {1: set(), 2: set(), 3: set()} == {source: broken(rows, nodes, source) for source in (1, 2, 3)}
 
 
 CHANGES = {
     "child list": ("section-0002", {"child_ids": ["region-0009"]}), "preview": ("region-0003", {"preview": "x"}), "keywords": ("episode", {"keywords": []}), "count": ("region-0004", {"sentences": 99}),
     "renamed": ("region-0005", {"id": "region-5"}), "twice": ("region-0006", {"id": "region-0007"}), "placed first": ("region-0001", {"place": -1}), "unknown": ("region-0008", {"first_sentence": 1}),
-    "gap": ("region-0009", {"first_sentence": 3 * 260}), "end": ("region-0010", {"end_ms": 1}), "no vector": ("section-0001", {"embedding": []}), "parent": ("section-0003", {"parent": None}), "span": ("section-0002", {"last_sentence": 0}),
+    "gap": ("region-0009", {"first_sentence": 3 * 260}), "end": ("region-0010", {"end_ms": 1}), "vectorless": ("section-0001", {"embedding": []}), "parent": ("section-0003", {"parent": None}), "span": ("section-0002", {"last_sentence": 0}),
 }
 
 
-@pytest.mark.parametrize("name", sorted(CHANGES))
-def test_changed_nodes(spark, index, name):
-    rows, nodes = index
-    ident, change = CHANGES[name]
-    marred = [n | change if n["source_id"] == 1 and n["id"] == ident else n for n in nodes]
-    want = broken(rows, marred, 1)
-    assert want and found(spark, rows, marred, 1) == want
-
-
-def test_vectors_may_be_off_by_little(spark, index):
-    rows, nodes = index
-    for by, rules in ((1e-8, set()), (1e-3, {"vector", "mean"})):
-        marred = [n | {"embedding": [x * (1 + by) for x in n["embedding"]]} if n["source_id"] == 1 and n["id"] == "episode" else n for n in nodes]
-        assert {r for _, r in found(spark, rows, marred, 1)} == rules and broken(rows, marred, 1) == {("episode", r) for r in rules}
-
-
-def test_missing_nodes(spark, index):
+def test_changed_and_missing_nodes(spark, index):
+    """One source for each change: a node with other values, vectors that are off by little and by more, and levels that are missing."""
     rows, nodes = index
+    marred = {name: [n | change if n["source_id"] == 1 and n["id"] == ident else n for n in nodes] for name, (ident, change) in CHANGES.items()}
+    for name, by in (("within", 1e-8), ("beyond", 1e-3)):
+        marred[name] = [n | {"embedding": [x * (1 + by) for x in n["embedding"]]} if n["source_id"] == 1 and n["id"] == "episode" else n for n in nodes]
     for kind in ("episode", "section", "region"):
-        fewer = [n for n in nodes if n["source_id"] != 1 or n["kind"] != kind]
-        assert (None, "incomplete") in found(spark, rows, fewer, 1)
-    assert found(spark, rows, [n for n in nodes if n["source_id"] != 2], 2) == {(None, "incomplete")}
+        marred[f"no {kind}"] = [n for n in nodes if n["source_id"] != 1 or n["kind"] != kind]
+    got = found(spark, rows, {100 + k: (1, own) for k, own in enumerate(marred.values())} | {2: (2, [])})
+    for k, (name, own) in enumerate(marred.items()):
+        want = broken(rows, own, 1)
+        if name.startswith("no "):
+            assert (None, "incomplete") in got[100 + k] and (None, "incomplete") in want, name
+        else:
+            assert got[100 + k] == want and bool(want) == (name != "within"), name
+    assert got[2] == {(None, "incomplete")} and broken(rows, marred["beyond"], 1) == {("episode", "vector"), ("episode", "mean")}
