@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = tuple(f"lexiline.operators.{m}" for m in ("segment", "intervals", "clean", "aggregate", "retrieval", "metrics", "compile", "store", "checks", "files", "review", "inventory", "search", "source_index", "patch", "bundle", "inspection")) + ("lexiline.streaming.stateful",)
+MODULES = tuple(f"lexiline.operators.{m}" for m in ("segment", "intervals", "clean", "aggregate", "retrieval", "metrics", "compile", "store", "checks", "files", "review", "inventory", "search", "source_index", "patch", "bundle", "inspection", "views")) + ("lexiline.streaming.stateful",)
 
 
 def _all(what: str) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiline.operators.segment import GRID_SQL, sentence_grid
+from lexiline.plans.ordered import trail
 from lexiline.sources.timeline import UNITS_SQL, WORDS_SQL, table, units, words
 
 # fixed values: precedence of boundary kinds, in order
@@ -75,19 +76,16 @@ def peaks(samples: DataFrame, per_pixel: int) -> DataFrame:
 
 def admission(a: DataFrame, budget: int, calls: int) -> DataFrame:
     """Attempts (run, attempt, cost) in order, with what is reserved after each: one is admitted while its cost fits into the budget beside what was admitted before, and fewer than `calls` were.
-    A refused attempt reserves nothing. A run's attempts are folded as one array."""
-    listed = a.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "cost"))).alias("attempts"))
-    none = F.array().cast("array<struct<attempt:bigint,cost:bigint,running:bigint,admitted:boolean>>")
-    zero = F.lit(0).cast("long")
-
-    def step(state, x):
-        fits = (state["spent"] + x["cost"] <= budget) & (state["n"] < calls)
-        spent = state["spent"] + F.when(fits, x["cost"]).otherwise(zero)
-        row = F.struct(x["attempt"].alias("attempt"), x["cost"].alias("cost"), spent.alias("running"), fits.alias("admitted"))
-        return F.struct(spent.alias("spent"), (state["n"] + F.when(fits, 1).otherwise(0)).cast("long").alias("n"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    done = F.aggregate("attempts", F.struct(zero.alias("spent"), zero.alias("n"), none.alias("out")), step, lambda s: s["out"])
-    return listed.select("run", F.explode(done).alias("x")).select("run", "x.*")
+    A refused attempt reserves nothing. A run's attempts stream through one task, with two numbers of state."""
+
+    def step(state, row):
+        spent, n = state or (0, 0)
+        fits = spent + row[0] <= budget and n < calls
+        spent, n = (spent + row[0], n + 1) if fits else (spent, n)
+        return (spent, n), (spent, fits)
+
+    rows = a.select("run", F.col("attempt").cast("long").alias("attempt"), F.col("cost").cast("long").alias("cost"))
+    return trail(rows, ["run"], ["attempt", "cost"], ["cost"], step, {"running": "long", "admitted": "boolean"})
 
 
 def staircase(v: DataFrame) -> DataFrame:

@@ -72,6 +72,61 @@ def shortest_paths(layers: DataFrame) -> DataFrame:
     return layers.groupBy("source_id").applyInArrow(run, "source_id long, layer long, ms long, total long")
 
 
+def owned_paths(layers: DataFrame, quotes: DataFrame, durations: DataFrame) -> DataFrame:
+    """H3: one choice of each layer (source_id, layer, ms, cost, bid), the cuts between sections 0, 1, ...: times strictly between 0 and the duration (source_id, duration_ms) and strictly
+    increasing, and every quote (source_id, section, start_ms, end_ms) has its centre in its own section. The least total cost, of equal ones the earliest times, then the least ids.
+
+    (source_id, layer, ms, bid, total) of each source's path; layer -1 and nulls where there is none. Only the first and last centre of a section matter, and a state is a choice with its best
+    predecessor, so a plan takes as many steps as neighbouring layers have pairs of choices and as much memory as it has choices. A source is one plan; layers are numbered from 0 without gaps."""
+    centre = F.col("start_ms") + F.col("end_ms")  # twice the centre, whole
+    q = quotes.groupBy("source_id", F.col("section").alias("layer")).agg(F.min(centre).alias("lo"), F.max(centre).alias("hi"))
+    top = layers.groupBy("source_id").agg((F.max("layer") + 1).alias("layer"))
+    ends = top.join(q, ["source_id", "layer"], "left").join(durations, "source_id").select("source_id", F.col("lo").alias("last_lo"), F.col("hi").alias("last_hi"), "duration_ms")
+    rows = layers.select("source_id", F.col("layer").cast("long").alias("layer"), F.col("ms").cast("long").alias("ms"), F.col("cost").cast("long").alias("cost"), F.col("bid").cast("string").alias("bid")).join(q, ["source_id", "layer"], "left").join(ends, "source_id")
+
+    def owns(start: int, end: int, lo: int | None, hi: int | None) -> bool:
+        return lo is None or 2 * start <= lo and hi < 2 * end
+
+    def run(rows: pa.Table) -> pa.Table:
+        by: dict[int, list[dict]] = {}
+        for row in rows.to_pylist():
+            by.setdefault(row["layer"], []).append(row)
+        source, end = rows.column("source_id")[0].as_py(), rows.column("duration_ms")[0].as_py()
+        states, kept = [(0, 0, 0, 0, None)], []  # cost, rank of the times, rank of the ids, last time, place in the layer before
+        for layer in sorted(by):
+            made = []
+            for c in by[layer]:
+                fits = [(s[:3], k) for k, s in enumerate(states) if s[3] < c["ms"] and owns(s[3], c["ms"], c["lo"], c["hi"])]
+                if fits:
+                    (cost, times, ids), k = min(fits)
+                    made.append((cost + c["cost"], (times, c["ms"]), (ids, c["bid"]), c, k))
+            place = [{v: i for i, v in enumerate(sorted({m[j] for m in made}))} for j in (1, 2)]
+            states = [(m[0], place[0][m[1]], place[1][m[2]], m[3]["ms"], m[4]) for m in made]
+            kept.append([(m[3], m[4]) for m in made])
+        last = rows.column("last_lo")[0].as_py(), rows.column("last_hi")[0].as_py()
+        whole = [(s[:3], k) for k, s in enumerate(states) if s[3] < end and owns(s[3], end, *last)] if kept else []
+        out = []
+        if whole:
+            (total, *_), k = min(whole)
+            for layer in range(len(kept) - 1, -1, -1):
+                c, before = kept[layer][k]
+                out.append({"source_id": source, "layer": c["layer"], "ms": c["ms"], "bid": c["bid"], "total": total})
+                k = before
+        return pa.Table.from_pylist(out or [{"source_id": source, "layer": -1, "ms": None, "bid": None, "total": None}], schema=pa.schema([("source_id", pa.int64()), ("layer", pa.int64()), ("ms", pa.int64()), ("bid", pa.string()), ("total", pa.int64())]))
+
+    return rows.groupBy("source_id").applyInArrow(run, "source_id long, layer long, ms long, bid string, total long")
+
+
+def compiled_cover(paths: DataFrame, durations: DataFrame) -> DataFrame:
+    """H4: (source_id, section, start_ms, end_ms, start_bid, end_bid): the sections that the cuts of a path make of a source's whole time; a source without a path has none, one without cuts is a section."""
+    failed = paths.filter("layer < 0").select("source_id")
+    edges = paths.filter("layer >= 0").select("source_id", (F.col("layer") + 1).alias("section"), F.col("ms").alias("start_ms"), F.col("bid").alias("start_bid"))
+    first = durations.join(failed, "source_id", "left_anti").select("source_id", F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("start_ms"), F.lit(None).cast("string").alias("start_bid"))
+    o = by_source("section")
+    nexts = first.unionByName(edges).withColumns({"end_ms": F.lead("start_ms").over(o), "end_bid": F.lead("start_bid").over(o)})
+    return nexts.join(durations, "source_id").select("source_id", "section", "start_ms", F.coalesce("end_ms", "duration_ms").alias("end_ms"), "start_bid", "end_bid")
+
+
 def pause_ownership(c: DataFrame) -> DataFrame:
     """Of each (source, sentence) the latest admissible cut, trusted ones first."""
     w = Window.partitionBy("source_id", "sentence_id").orderBy("review", F.desc("ms"), F.desc("clearance"), "bid")
@@ -295,6 +350,17 @@ def _semantic(s, d):
     return c.groupBy("source_id", "state").agg(F.min("candidate_id").alias("first_id"), F.count("*").alias("n")).select("source_id", "first_id", "n")
 
 
+def _owned(s, d):
+    """Layers numbered from 0, a quote before each wanted time and after every second one, and durations."""
+    _shared_folder(s)
+    chosen = layer_choices(_wanted(s, d), _b(s, d)).checkpoint()
+    layers = chosen.withColumn("layer", (F.dense_rank().over(by_source("layer")) - 1).cast("long"))
+    wanted = _wanted(s, d).join(chosen.select("source_id", "layer").distinct(), ["source_id", "layer"], "left_semi").withColumn("k", (F.dense_rank().over(by_source("layer")) - 1).cast("long"))
+    said = lambda df, section, ms: df.select("source_id", section.alias("section"), ms.cast("long").alias("start_ms"), ms.cast("long").alias("end_ms"))
+    quotes = said(wanted, F.col("k"), F.col("wanted") - 400).unionByName(said(wanted.filter("k % 2 = 0"), F.col("k") + 1, F.col("wanted") + 300))
+    return layers, quotes, words(s, d).groupBy("source_id").agg(F.max("end_ms").cast("long").alias("duration_ms"))
+
+
 def _execution(s, d):
     """Kept sections and the drops between them, as one exact cover."""
     g = sentence_grid(words(s, d)).groupBy("source_id").agg(F.max("sentence_id").alias("top"))
@@ -309,6 +375,8 @@ QUERIES = {
     "h2_layer_choices": lambda s, d: layer_choices(_wanted(s, d), _b(s, d)),
     "h3_shortest_paths": lambda s, d: shortest_paths(layer_choices(_wanted(s, d), _b(s, d))),
     "h4_compiled_sections": lambda s, d: (lambda p: p.filter("layer >= 0").select("source_id", (F.row_number().over(by_source("layer"))).cast("long").alias("section"), F.col("ms").alias("start_ms"), F.lead("ms").over(by_source("layer")).alias("end_ms")))(shortest_paths(layer_choices(_wanted(s, d), _b(s, d)))),
+    "h3_owned_paths": lambda s, d: owned_paths(*_owned(s, d)),
+    "h4_compiled_cover": lambda s, d: (lambda o: compiled_cover(owned_paths(*o), o[2]))(_owned(s, d)),
     "h5_topic_execution": _execution,
     "h6_pause_ownership": lambda s, d: pause_ownership(_b(s, d).filter("sentence_id is not null")),
     "h7_inventory_plan": lambda s, d: inventory_plan(sentence_grid(words(s, d)).select("source_id", F.expr("sentence_id div 12").alias("section")).distinct()),

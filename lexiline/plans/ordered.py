@@ -96,6 +96,25 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], s
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def trail(df: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, outputs: dict[str, str]) -> DataFrame:
+    """df with what a fold leaves after each row: step(state, row) -> (state, values of the outputs), state None at the start of a key. As fold, it streams its keys with one state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(c).to_pylist() for c in columns))):
+                state, values = step(None if key != last else state, row)
+                last = key
+                out.append(values)
+            more = [pa.array(list(v), t) for v, t in zip(zip(*out) if out else [()] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *outputs])
+
+    types = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}[t] for t in outputs.values()]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {t}" for n, t in outputs.items())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def page(df: DataFrame, keys: list[str], order: list[Column | str], cursor: int, limit: int) -> DataFrame:
     """Rows cursor+1 to cursor+limit of each key in a total order."""
     if not 1 <= limit <= 1000 or cursor < 0:
