@@ -34,6 +34,8 @@ SHINGLE, PERMUTATIONS, ROWS, BANDS = 5, 1024, 4, 32
 PLANES = 2 * PERMUTATIONS // 64
 #: equal two-bit minima from which a pair is confirmed: at 0.75, 832 of 1024 are expected, and this is 4.8 deviations of 12.5 less
 LEAST_EQUAL = 772
+#: the similarity in percent that the bands and LEAST_EQUAL are made for
+LEAST_THRESHOLD = 75
 #: members that one copy of a pivot is sent ahead of; pivots of a bucket
 HEADED, PIVOTS = 512, 4
 #: sketches that a task holds, and members that it compares them with, in what the rounds leave
@@ -221,8 +223,10 @@ def in_blocks(rows: DataFrame, sketches: DataFrame, pivots: int | None = None) -
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if pivots else found
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+def near_duplicates(docs: DataFrame, threshold: int = LEAST_THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs. Bands and the cut-off of estimates are made for LEAST_THRESHOLD and find all links above it too; a lower threshold is refused."""
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"links below {LEAST_THRESHOLD} % would be lost")
     place = workspace(docs.sparkSession)
     sketched = materialise(sketch(docs), place, "sketch")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")

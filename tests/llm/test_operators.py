@@ -122,6 +122,23 @@ def test_near_duplicates(docs, texts, odd, none):
     assert op2_near_dedup.near_duplicates(odd).count() == odd.count() and op2_near_dedup.near_duplicates(none).count() == 0
 
 
+def test_thresholds_of_near_duplicates(spark):
+    """Higher thresholds keep only their own links, lower ones are refused."""
+    words = [f"w{i}" for i in range(204)]
+    rows = [(i, " ".join([*words[:at], f"x{i}", *words[at + 1 :]]) if at else " ".join(words)) for i, at in enumerate((0, 2, 100))] + [(3, " ".join(words[:184]))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (75, 90, 96):
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert {r["doc_id"]: r["component_id"] for r in op2_near_dedup.near_duplicates(frame, threshold).collect()} == root
+    with pytest.raises(ValueError):
+        op2_near_dedup.near_duplicates(frame, 74)
+
+
 def test_rounds_of_near_duplicates(spark):
     """A chain of texts, each near the next one only, is one component."""
     rng = random.Random(9)
