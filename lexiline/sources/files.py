@@ -25,7 +25,7 @@ CUE = r"\A(?:[^\n]*\n)?([0-9]{2,}):([0-9]{2}):([0-9]{2})[.,]([0-9]{3}) --> ([0-9
 # ---- sources -----------------------------------------------------------------------------------------------
 
 def read_asr(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Recordings, one to a line (multi_line: one to a file); anything that the schema doesn't hold ends the reading with an error."""
+    """Recordings, one to a line (multi_line: one to a file); anything that the schema doesn't hold ends the reading with an error."""
     return spark.read.schema(ASR_SCHEMA).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
 
 
