@@ -119,3 +119,59 @@ def test_admission_streams(spark):
             spent, n = (spent + cost, n + 1) if fits else (spent, n)
             assert got[run, i] == (spent, fits)
     assert took < 20
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def largest_matching(ref, hyp, tolerance):
+    """Pairs of points that are near, each point once, as many as possible: by augmenting paths, in any order of points."""
+    near = {i: [j for j, y in enumerate(hyp) if abs(x - y) <= tolerance] for i, x in enumerate(ref)}
+    taken: dict[int, int] = {}
+
+    def place(i, seen):
+        for j in near[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in near)
+
+
+def test_agreement_of_segmenters(spark):
+    from lexiline.operators.segment import sentence_grid
+    from lexiline.sources.timeline import words
+
+    grid = sentence_grid(words(spark, SF)).select("source_id", "end_ms", "pause_after_ms").collect()
+    points = {k: {} for k in (700, 1500, 2500)}
+    for r in grid:
+        for k, own in points.items():
+            if r["pause_after_ms"] is not None and r["pause_after_ms"] >= k:
+                own.setdefault(r["source_id"], []).append(r["end_ms"])
+    want = {}
+    for a, b in itertools.combinations(points, 2):
+        for source in points[a].keys() | points[b].keys():
+            r, h = points[a].get(source, []), points[b].get(source, [])
+            n = largest_matching(r, h, metrics.TOLERANCE_MS)
+            p, c = (n / len(h) if h else 0.0), (n / len(r) if r else 0.0)
+            want[source, a, b] = round(2 * p * c / (p + c), 6) if p + c else 0.0
+    assert {(r["source_id"], r["a"], r["b"]): r["f1"] for r in metrics.QUERIES["g9_agreement"](spark, SF).collect()} == want and want
+
+
+def test_compiled_sections_follow_the_path(spark):
+    from lexiline.operators.compile import QUERIES
+
+    path: dict[int, list] = {}
+    for r in QUERIES["h3_shortest_paths"](spark, SF).collect():
+        if r["layer"] >= 0:
+            path.setdefault(r["source_id"], []).append((r["layer"], r["ms"]))
+    want = set()
+    for source, cuts in path.items():
+        ms = [m for _, m in sorted(cuts)]
+        assert ms == sorted(set(ms))
+        want |= {(source, i + 1, a, b) for i, (a, b) in enumerate(zip(ms, [*ms[1:], None]))}
+    got = [(r["source_id"], r["section"], r["start_ms"], r["end_ms"]) for r in QUERIES["h4_compiled_sections"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
