@@ -105,11 +105,11 @@ def overlap_pairs(c: DataFrame) -> DataFrame:
 
 
 def handoffs(c: DataFrame, context: int = HANDOFF_CONTEXT) -> DataFrame:
-    """Neighbours in (first, last, id) order that don't overlap, with the sentences around the place between them."""
+    """Neighbours in (first, last, id) order that don't overlap, with the sentences of the first before the place between them, and of the second after it, so many at most."""
     w = by_source("first", "last", "candidate_id")
-    n = c.withColumns({"next_id": F.lead("candidate_id").over(w), "next_first": F.lead("first").over(w)})
+    n = c.withColumns({"next_id": F.lead("candidate_id").over(w), "next_first": F.lead("first").over(w), "next_last": F.lead("last").over(w)})
     h = n.filter("next_id is not null and next_first > last")
-    return h.select("source_id", "candidate_id", "next_id", F.greatest(F.lit(0), F.col("last") - context + 1).alias("before_first"), F.least("top", F.col("next_first") + context - 1).alias("after_last"))
+    return h.select("source_id", "candidate_id", "next_id", F.greatest("first", F.col("last") - context + 1).alias("before_first"), F.least("next_last", F.col("next_first") + context - 1).alias("after_last"))
 
 
 def region_relations(c: DataFrame, regions: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ ORACLES = {
     "c9_resolve_span": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, i AS (SELECT source_id, first - 2 AS first, last + 4 AS last, greatest(0, least(first - 2, top)) AS a, greatest(0, least(last + 4, top)) AS z FROM cand) SELECT i.source_id, first, last, s.start_ms, e.end_ms, (a <> first OR greatest(a, z) <> last) AS clamped FROM i JOIN grid s ON s.source_id = i.source_id AND s.sentence_id = a JOIN grid e ON e.source_id = i.source_id AND e.sentence_id = greatest(a, z)",
     "c10_temporal_iou": f"WITH {SPANS_SQL}, n AS (SELECT *, lead(start_ms) OVER w AS n, lead(end_ms) OVER w AS m FROM spans WINDOW w AS (PARTITION BY key ORDER BY start_ms, id)), u AS (SELECT *, greatest(0, least(end_ms, m) - greatest(start_ms, n)) AS b FROM n WHERE n IS NOT NULL) SELECT key, id, CASE WHEN end_ms - start_ms + m - n - b > 0 THEN round(b / (end_ms - start_ms + m - n - b)::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS iou FROM u",
     "c11_overlap_pairs": f"WITH {GRID_SQL}, {CANDIDATES_SQL} SELECT a.source_id, a.candidate_id AS a_id, b.candidate_id AS b_id, greatest(a.first, b.first) AS first, least(a.last, b.last) AS last FROM cand a JOIN cand b ON a.source_id = b.source_id AND a.candidate_id < b.candidate_id AND a.first <= b.last AND b.first <= a.last",
-    "c12_handoffs": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, n AS (SELECT *, lead(candidate_id) OVER w AS next_id, lead(first) OVER w AS nf FROM cand WINDOW w AS (PARTITION BY source_id ORDER BY first, last, candidate_id)) SELECT source_id, candidate_id, next_id, greatest(0, last - {HANDOFF_CONTEXT} + 1) AS before_first, least(top, nf + {HANDOFF_CONTEXT} - 1) AS after_last FROM n WHERE nf > last",
+    "c12_handoffs": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, n AS (SELECT *, lead(candidate_id) OVER w AS next_id, lead(first) OVER w AS nf, lead(last) OVER w AS nl FROM cand WINDOW w AS (PARTITION BY source_id ORDER BY first, last, candidate_id)) SELECT source_id, candidate_id, next_id, greatest(first, last - {HANDOFF_CONTEXT} + 1) AS before_first, least(nl, nf + {HANDOFF_CONTEXT} - 1) AS after_last FROM n WHERE nf > last",
     "c13_region_relations": f"WITH {GRID_SQL}, {CANDIDATES_SQL}, {REGIONS_SQL} SELECT c.source_id, candidate_id, r_id, CASE WHEN first = r_first AND last + 1 = r_end THEN 'same_extent' WHEN first >= r_first AND last + 1 <= r_end THEN 'inside' WHEN first <= r_first AND last + 1 >= r_end THEN 'covers' WHEN first < r_first THEN 'opening_overlap' ELSE 'closing_overlap' END AS relation FROM cand c JOIN reg r ON c.source_id = r.source_id AND first < r_end AND r_first <= last",
     "c14_event_timeline": f"WITH {GRID_SQL}, u AS (SELECT source_id, start_ms AS ms, sentence_id AS id, 'sentence' AS kind, 0 AS k FROM grid UNION ALL SELECT source_id, start_ms, sentence_id, 'turn', 1 FROM grid WHERE opens_turn UNION ALL SELECT source_id, end_ms, sentence_id, 'pause', 2 FROM grid WHERE pause_after_ms >= 700 UNION ALL SELECT source_id, start_ms + 300, ord, 'shot', 3 FROM words WHERE ord % 17 = 5) SELECT source_id, ms, id, kind, row_number() OVER (PARTITION BY source_id ORDER BY ms, k, id) AS position FROM u",
     "c15_section_owner": f"WITH {GRID_SQL}, {CANDIDATES_SQL} SELECT g.source_id, g.sentence_id, CASE WHEN count(c.candidate_id) = 1 THEN min(c.candidate_id) END AS section_id FROM grid g LEFT JOIN cand c ON c.source_id = g.source_id AND g.sentence_id BETWEEN c.first AND c.last GROUP BY ALL",
