@@ -19,13 +19,25 @@ _FACT = "struct<role:string,rule:string,space:string,key:array<string>,value:str
 
 @dataclass(frozen=True)
 class Has:
-    """A row has an identity in a space, with a value that can be looked up by it. `unique` names the rule that a second row of that identity breaks. An identity with a null part is none."""
+    """A row has an identity in a space, with a value that can be looked up by it; one for each element x of an array where `each` names one. `unique` names the rule that a second row of that identity breaks.
+    An identity with a null part is none."""
 
     space: str
     key: tuple[str, ...]
     when: str = "true"
     value: str = "null"
     unique: str | None = None
+    each: str | None = None
+
+
+@dataclass(frozen=True)
+class Lacks:
+    """A row breaks a rule if some row of its scope has an identity."""
+
+    rule: str
+    space: str
+    key: tuple[str, ...]
+    when: str = "true"
 
 
 @dataclass(frozen=True)
@@ -59,13 +71,13 @@ def _fact(role: str, rule: str | None, space: str = "", key: tuple[str, ...] = (
     return f"cast(struct('{role}', {name(rule)}, '{space}', {_texts(key)}, cast({value} as string), {name(after)}, {_texts(rest)}, {str(lenient).lower()}) as {_FACT})"
 
 
-def _facts(rule: Has | Needs | Breaks) -> str:
+def _facts(rule: Has | Needs | Lacks | Breaks) -> str:
     """An expression for the facts of a row by one rule, as an array."""
     if isinstance(rule, Breaks):
         return f"if({rule.when}, array({_fact('breaks', rule.rule)}), array())"
-    if isinstance(rule, Has):
-        return f"if({rule.when}, array({_fact('has', rule.unique, rule.space, rule.key, rule.value)}), array())"
-    one = _fact("needs", rule.rule, rule.space, rule.key, "null", rule.after, rule.rest, rule.lenient)
+    if isinstance(rule, Lacks):
+        return f"if({rule.when}, array({_fact('lacks', rule.rule, rule.space, rule.key)}), array())"
+    one = _fact("has", rule.unique, rule.space, rule.key, rule.value) if isinstance(rule, Has) else _fact("needs", rule.rule, rule.space, rule.key, "null", rule.after, rule.rest, rule.lenient)
     return f"if({rule.when}, {f'transform(coalesce({rule.each}, array()), x -> {one})' if rule.each else f'array({one})'}, array())"
 
 
@@ -92,5 +104,6 @@ def violations(tables: dict[str, DataFrame], catalogue: dict[str, tuple[str, lis
     absent = needs.filter("not lenient").join(known, at, "left_anti").select(*told)
     beyond = needs.filter("after is not null").select(*told, "space", "key", "after", "rest").join(has.select(*at, "value").distinct(), at).select(*told, F.col("after").alias("space"), F.concat(F.array("value"), "rest").alias("key"))
     twice = has.filter("rule is not null").groupBy(scope, "subject", "rule", "space", "key").agg(F.count("*").alias("n")).filter("n > 1").select(scope, "subject", F.array_join("key", ",").alias("row"), "rule")
-    found = [written.filter("role = 'breaks'").select(*told), absent, beyond.join(known, at, "left_anti").select(*told), twice.select(*told)]
+    present = written.filter("role = 'lacks'").join(known, at, "left_semi").select(*told)
+    found = [written.filter("role = 'breaks'").select(*told), present, absent, beyond.join(known, at, "left_anti").select(*told), twice.select(*told)]
     return reduce(DataFrame.unionByName, found).distinct()
