@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = tuple(f"lexiline.operators.{m}" for m in ("segment", "intervals", "clean", "aggregate", "retrieval", "metrics", "compile", "store", "checks", "files", "review", "inventory", "search", "source_index", "patch", "bundle", "inspection", "views", "shards", "evaluation", "portfolio")) + ("lexiline.streaming.stateful", "lexiline.sources.transcripts")
+MODULES = tuple(f"lexiline.operators.{m}" for m in ("segment", "intervals", "clean", "aggregate", "retrieval", "metrics", "compile", "store", "checks", "files", "review", "inventory", "search", "source_index", "patch", "bundle", "inspection", "views", "shards", "evaluation", "portfolio", "repairs")) + ("lexiline.streaming.stateful", "lexiline.sources.transcripts")
 
 
 def _all(what: str) -> dict:
