@@ -95,8 +95,8 @@ def s5_log(s: SparkSession, d: str) -> DataFrame:
     lines = F.array(line(0, F.concat(F.lit("[info] n:1 pts_time:"), F.format_string("%d.%03d", F.expr("at div 1000"), F.expr("at % 1000")))), line(1, F.lit("frame ok")), line(2, F.concat(F.lit("lavfi.scd.score="), (F.col("ord") % 11 * 11).cast("string"), F.lit(".25"))))
     x = w.select("source_id", F.explode(lines).alias("x")).select("source_id", "x.ord", "x.line").filter("not (ord % 3 = 2 and ord % 7 = 3) and not (ord % 3 = 0 and ord % 5 = 4)")
     path = f"{shared_folder(s)}/logs"
-    files.write_lines(x, path)
-    return files.shot_log_violations(s, path)
+    files.write_lines(x, path, archive=True)
+    return files.shot_log_violations(s, path, archive=True)
 
 
 #: lines near the end of some playlists: a key, a range that nothing follows, another playlist
@@ -116,8 +116,8 @@ def _playlists(s: SparkSession, d: str) -> DataFrame:
                    *[F.struct((F.col("m") * 3 + 6 + i).alias("ord"), F.when(F.col("source_id") % 13 == 5, odd[0]).when(F.col("source_id") % 13 == 6, odd[1]).when(F.col("source_id") % 13 == 7, odd[2]).otherwise("#EXT-X-NOTE").alias("line")) for i, odd in enumerate(ODD_LINES)],
                    F.struct((F.col("m") * 3 + 8).alias("ord"), F.when(F.col("source_id") % 11 != 4, "#EXT-X-ENDLIST").otherwise("#EXT-X-NOTE").alias("line")))
     path = f"{shared_folder(s)}/playlists"
-    files.write_lines(rows.unionByName(top.select("source_id", F.explode(ends).alias("x")).select("source_id", "x.ord", "x.line")), path)
-    return files.read_playlists(s, path)
+    files.write_lines(rows.unionByName(top.select("source_id", F.explode(ends).alias("x")).select("source_id", "x.ord", "x.line")), path, archive=True)
+    return files.read_playlists(s, path, archive=True)
 
 
 def v13_inventory(s: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Files in and out: recognizer JSON, detector logs, captions, sample frames, peaks and content-addressed artifacts.
 
-Readers take an explicit schema and refuse what doesn't fit. Writers sort within tasks and write one file for each recording, so a file is whole as it
-stands; its lines are gathered nowhere. A log or caption file is one recording's, which a task holds when it is numbered by line.
+Readers take an explicit schema and refuse what doesn't fit. Writers put a recording's file together in one task, which holds it whole, as it does when it is read and
+numbered by line. A file goes into a folder of its own, or with archive=True into a row (source_id, value) of Parquet, so that many recordings need few files.
 """
 
 from __future__ import annotations
@@ -49,17 +49,22 @@ def asr_words(raw: DataFrame) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, n, line) of files in folders source_id=..., numbered from 0."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("source_id").cast("long").alias("source_id"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+def _whole(spark: SparkSession, path: str, archive: bool) -> DataFrame:
+    """(source_id, value) of files in folders source_id=..., or of an archive of them."""
+    whole = spark.read.parquet(path) if archive else spark.read.text(path, wholetext=True)
+    return whole.select(F.col("source_id").cast("long").alias("source_id"), "value")
 
 
-def shot_log(spark: SparkSession, path: str, floor: float = SHOT_FLOOR) -> DataFrame:
+def _lines(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
+    """(source_id, n, line) of files in folders source_id=..., or of an archive of them, numbered from 0."""
+    return _whole(spark, path, archive).select("source_id", F.posexplode(F.split("value", "\n")).alias("n", "line"))
+
+
+def shot_log(spark: SparkSession, path: str, floor: float = SHOT_FLOOR, archive: bool = False) -> DataFrame:
     """(source_id, time_ms, score) of detector logs: a score belongs to the last time line before it, each time to one score; scores below the floor go."""
     o = Window.partitionBy("source_id").orderBy("n")
     t, score = F.regexp_extract("line", TIME_LINE, 1), F.regexp_extract("line", SCORE_LINE, 1)
-    known = _lines(spark, path).select("source_id", "n", F.when(t != "", t).cast("double").alias("t"), F.when(score != "", score).cast("double").alias("score")).filter("t is not null or score is not null")
+    known = _lines(spark, path, archive).select("source_id", "n", F.when(t != "", t).cast("double").alias("t"), F.when(score != "", score).cast("double").alias("score")).filter("t is not null or score is not null")
     paired = known.withColumns({"before": F.lag("t").over(o)}).filter("score is not null and t is null and before is not null")
     return paired.filter(F.col("score") >= floor).select("source_id", F.floor(F.col("before") * 1000 + 0.5).cast("long").alias("time_ms"), "score")
 
@@ -74,12 +79,12 @@ def read_shot_grid(spark: SparkSession, path: str) -> DataFrame:
     return x.select("source_id", F.floor(F.col("x.t") * 1000 + 0.5).cast("long").alias("time_ms"), "x.score")
 
 
-def shot_log_violations(spark: SparkSession, path: str, least: float = SHOT_FLOOR, most: float = SHOT_MOST) -> DataFrame:
+def shot_log_violations(spark: SparkSession, path: str, least: float = SHOT_FLOOR, most: float = SHOT_MOST, archive: bool = False) -> DataFrame:
     """(source_id, n, rule) of detector logs read strictly: a time without a score or a score without a time (rows of either kind in turn), a score out of range,
     a time that isn't beyond the one before it (compared exactly, as decimals). A log with text but without rows of either kind breaks rule unrecognised (n -1)."""
     o = Window.partitionBy("source_id").orderBy("n")
     t, score = F.regexp_extract("line", STRICT_TIME, 1), F.regexp_extract(strip("line"), STRICT_SCORE, 1)
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, archive)
     rows = lines.select("source_id", "n", F.when(t != "", t).cast("decimal(28,9)").alias("t"), F.when((t == "") & (score != ""), score).cast("double").alias("score")).filter("t is not null or score is not null")
     near = rows.withColumns({"before": F.lag("t").over(o), "after": F.lead("score").over(o)})
     pairs = F.max(F.when(F.col("after").isNotNull(), F.col("t"))).over(o.rowsBetween(Window.unboundedPreceding, -2))
@@ -154,15 +159,14 @@ def playlist_violations(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     return j.select("source_id", "item", found(item)).unionByName(whole.select("source_id", F.lit(-1).cast("long").alias("item"), found(of_all)))
 
 
-def read_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, n, line) of playlists in folders source_id=..."""
-    return _lines(spark, path)
+def read_playlists(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
+    """(source_id, n, line) of playlists in folders source_id=..., or of an archive of them."""
+    return _lines(spark, path, archive)
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, ord, start_ms, end_ms, text, ok) of WebVTT or SRT files in folders source_id=...; ok: positive, and not before the end of the cue before it."""
-    whole = spark.read.text(path, wholetext=True)
-    blocks = whole.select(F.col("source_id").cast("long").alias("source_id"), F.posexplode(F.split("value", "\n\n")).alias("n", "block")).filter(F.col("block").rlike(CUE))
+def read_captions(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
+    """(source_id, ord, start_ms, end_ms, text, ok) of WebVTT or SRT files in folders source_id=..., or of an archive of them; ok: positive, and not before the end of the cue before it."""
+    blocks = _whole(spark, path, archive).select("source_id", F.posexplode(F.split("value", "\n\n")).alias("n", "block")).filter(F.col("block").rlike(CUE))
     part = lambda k: F.regexp_extract("block", CUE, k).cast("long")
     ms = lambda k: ((part(k) * 60 + part(k + 1)) * 60 + part(k + 2)) * 1000 + part(k + 3)
     c = blocks.select("source_id", "n", ms(1).alias("start_ms"), ms(5).alias("end_ms"), F.rtrim(F.regexp_replace("block", CUE, "")).alias("text"))
@@ -186,8 +190,17 @@ def cue_clock(ms: str, point: str) -> Column:
     return F.concat(F.lpad(F.floor(c / 3_600_000).cast("string"), 2, "0"), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit(point), F.lpad((c % 1000).cast("string"), 3, "0"))
 
 
-def write_captions(cues: DataFrame, path: str, form: str = "vtt") -> None:
-    """K2: cues (source_id, ord, start_ms, end_ms, text) as a WebVTT or SRT file for each recording, in a folder source_id=..."""
+def _write(rows: DataFrame, path: str, sep: str, archive: bool) -> None:
+    """Rows (source_id, ord, value) as one text for each recording, each value ended by sep. The grouping keeps a recording's rows together; after repartition() Spark may split those of a union over tasks, and so over files."""
+    g = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), sep).alias("value"))
+    if archive:
+        g.select("source_id", F.concat("value", F.lit(sep)).alias("value")).write.parquet(path)
+    else:
+        g.write.partitionBy("source_id").option("lineSep", sep).text(path)
+
+
+def write_captions(cues: DataFrame, path: str, form: str = "vtt", archive: bool = False) -> None:
+    """K2: cues (source_id, ord, start_ms, end_ms, text) as a WebVTT or SRT file for each recording, in a folder source_id=... or a row of an archive."""
     if form not in ("vtt", "srt"):
         raise ValueError("form must be vtt or srt")
     point = "." if form == "vtt" else ","
@@ -196,31 +209,32 @@ def write_captions(cues: DataFrame, path: str, form: str = "vtt") -> None:
     rows = cues.select("source_id", "ord", block.alias("value"))
     if form == "vtt":
         rows = rows.unionByName(cues.select("source_id").distinct().select("source_id", F.lit(-1).cast("long").alias("ord"), F.lit("WEBVTT").alias("value")))
-    rows.repartition("source_id").sortWithinPartitions("source_id", "ord").select("source_id", "value").write.partitionBy("source_id").option("lineSep", "\n\n").text(path)
+    _write(rows, path, "\n\n", archive)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """K3: lines (source_id, ord, line) as a text file for each recording."""
-    lines.repartition("source_id").sortWithinPartitions("source_id", "ord").select("source_id", F.col("line").alias("value")).write.partitionBy("source_id").text(path)
+def write_lines(lines: DataFrame, path: str, archive: bool = False) -> None:
+    """K3: lines (source_id, ord, line) as a text file for each recording, in a folder source_id=... or a row of an archive."""
+    _write(lines.select("source_id", "ord", F.coalesce("line", F.lit("")).alias("value")), path, "\n", archive)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path).filter("line <> ''").select("source_id", F.col("n").cast("long").alias("ord"), "line")
+def read_lines(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
+    return _lines(spark, path, archive).filter("line <> ''").select("source_id", F.col("n").cast("long").alias("ord"), "line")
 
 
 PEAKS = "version int, samples_per_pixel int, bits int, length long, data array<long>"
 
 
-def write_peaks(peaks: DataFrame, path: str, per_pixel: int) -> None:
-    """K5: peaks (source_id, pixel, lo, hi) as a JSON document for each recording, least and greatest in turn."""
+def write_peaks(peaks: DataFrame, path: str, per_pixel: int, archive: bool = False) -> None:
+    """K5: peaks (source_id, pixel, lo, hi) as a JSON document for each recording, least and greatest in turn, in a folder source_id=... or a row of an archive."""
     data = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pixel", "lo", "hi"))), lambda p: F.array(p["lo"], p["hi"])))
     g = peaks.groupBy("source_id").agg(F.count("*").alias("length"), data.alias("data"))
     body = F.to_json(F.struct(F.lit(2).alias("version"), F.lit(per_pixel).alias("samples_per_pixel"), F.lit(8).alias("bits"), "length", "data"))
-    g.select("source_id", body.alias("value")).write.partitionBy("source_id").text(path)
+    out = g.select("source_id", body.alias("value")).write
+    out.parquet(path) if archive else out.partitionBy("source_id").text(path)
 
 
-def read_peaks(spark: SparkSession, path: str) -> DataFrame:
-    j = spark.read.text(path).select(F.col("source_id").cast("long").alias("source_id"), F.from_json("value", PEAKS, {"mode": "FAILFAST"}).alias("j"))
+def read_peaks(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
+    j = _whole(spark, path, archive).select("source_id", F.from_json("value", PEAKS, {"mode": "FAILFAST"}).alias("j"))
     x = j.select("source_id", "j.length", F.posexplode("j.data").alias("i", "v"))
     return x.groupBy("source_id", "length", F.expr("cast(i div 2 as long)").alias("pixel")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("i") % 2 == 1, F.col("v"))).alias("hi"))
 
