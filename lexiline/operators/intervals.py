@@ -29,7 +29,7 @@ def coverage_assessment(detected: DataFrame, recognized: DataFrame, keys: list[s
     """How well recognized intervals cover detected ones: clear, needs_review or unknown for each key."""
     gaps = subtracted(detected, recognized, keys)
     heard = merged(detected, keys).groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.max("end_ms").alias("speech_end"))
-    said = merged(recognized, keys).groupBy(*keys).agg(F.max("end_ms").alias("words_end"))
+    said = recognized.groupBy(*keys).agg(F.max("end_ms").alias("words_end"))  # words without length count here, too
     missing = gaps.groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("missing_ms"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"), F.count("*").alias("gaps"))
     j = heard.join(said, keys, "full").join(missing, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
