@@ -66,9 +66,13 @@ def manifest(rows: DataFrame) -> DataFrame:
     return pieces.groupBy("run").agg(F.sum("n").alias("artifacts"), F.sum("k").alias("included"), F.sum("b").alias("bytes"), in_order("piece", "hash").alias("sha256"))
 
 
-def write_bundles(rows: DataFrame, path: str) -> None:
-    """Writes bundles below run=<run>, and then the manifest, so that one that has none isn't whole. Runs of more than PIECE lines are several files."""
-    rows.withColumn("piece", F.expr(f"position div {PIECE}")).repartition("run", "piece").sortWithinPartitions("run", "position").drop("piece").write.partitionBy("run").option("ignoreNullFields", False).json(f"{path}/bundles")
+def write_bundles(rows: DataFrame, path: str, archive: bool = False) -> None:
+    """Writes bundles below run=<run>, and then the manifest, so that one that has none isn't whole. Runs of more than PIECE lines are several files. An archive has the lines of many runs, each with its run, in
+    one file, so that many runs need few files."""
+    if archive:
+        rows.write.option("ignoreNullFields", False).json(f"{path}/bundles")
+    else:
+        rows.withColumn("piece", F.expr(f"position div {PIECE}")).repartition("run", "piece").sortWithinPartitions("run", "position").drop("piece").write.partitionBy("run").option("ignoreNullFields", False).json(f"{path}/bundles")
     manifest(rows).write.option("ignoreNullFields", False).json(f"{path}/manifest")
 
 
@@ -112,13 +116,13 @@ def _store(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def k6_bundles(s: SparkSession, d: str) -> DataFrame:
     path = f"{shared_folder(s)}/bundles"
-    write_bundles(bundle_rows(*_store(s, d), SEEN)[0], path)
+    write_bundles(bundle_rows(*_store(s, d), SEEN)[0], path, archive=True)
     return read_bundles(s, path)[0].select("run", "position", "id", F.array_join("dependencies", ",").alias("dependencies"), "body_status", F.coalesce("body", F.lit("")).alias("body"))
 
 
 def k6_manifest(s: SparkSession, d: str) -> DataFrame:
     path = f"{shared_folder(s)}/bundles"
-    write_bundles(bundle_rows(*_store(s, d), SEEN)[0], path)
+    write_bundles(bundle_rows(*_store(s, d), SEEN)[0], path, archive=True)
     return read_bundles(s, path)[1].select("run", "artifacts", "included", "bytes")
 
 
