@@ -73,8 +73,10 @@ def encoding_plan(c: DataFrame) -> DataFrame:
 
 def interpolated(w: DataFrame) -> DataFrame:
     """Missing times filled: the words of a run without times share the time between its known neighbours by their lengths."""
-    o = by_source()
-    pts = w.withColumns({"prev": F.last("end_ms", True).over(o.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first("start_ms", True).over(o.rowsBetween(1, Window.unboundedFollowing)), "known": F.col("start_ms").isNotNull()})
+    o, back = by_source(), Window.partitionBy("source_id").orderBy(F.desc("ord"))
+    # the next time is the last one in reverse: a frame up to the end would be gone through again for each word
+    near = {"prev": F.last("end_ms", True).over(o.rowsBetween(Window.unboundedPreceding, -1)), "next": F.last("start_ms", True).over(back.rowsBetween(Window.unboundedPreceding, -1))}
+    pts = w.withColumns(near | {"known": F.col("start_ms").isNotNull()})
     pts = pts.withColumn("run", F.sum(F.col("known").cast("int")).over(o.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy("source_id", "run", "known")
     size = F.greatest(F.length("text"), F.lit(1))

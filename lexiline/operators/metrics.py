@@ -19,9 +19,9 @@ LEAST_SEGMENT, MOST_UNITS = 4, 10_000
 def boundary_string(grid: DataFrame, boundaries: DataFrame, name: str) -> DataFrame:
     """A bit for each sentence: whether a boundary falls at the start of the next one (boundaries go to the first start at or after them; edges are dropped)."""
     starts = grid.select("source_id", "start_ms", "sentence_id")
-    w = Window.partitionBy("source_id").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("source_id").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
     both = boundaries.select("source_id", F.col("ms").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("v")).unionByName(starts.select("source_id", F.col("start_ms").alias("t"), F.lit(1).alias("side"), F.col("sentence_id").alias("v")))
-    hit = both.withColumn("f", F.first("v", True).over(w)).filter("side = 0 and f > 0").select("source_id", (F.col("f") - 1).alias("sentence_id")).distinct().withColumn(name, F.lit(1))
+    hit = both.withColumn("f", F.last("v", True).over(w)).filter("side = 0 and f > 0").select("source_id", (F.col("f") - 1).alias("sentence_id")).distinct().withColumn(name, F.lit(1))
     return grid.select("source_id", "sentence_id").join(hit, ["source_id", "sentence_id"], "left").select("source_id", "sentence_id", F.coalesce(name, F.lit(0)).alias(name))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiline.operators import intervals
+from lexiline.operators import clean, intervals, metrics
 from lexiline.sources import timeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,3 +20,11 @@ def test_words_of_a_task_are_bounded_by_text(spark, monkeypatch):
     assert timeline.words(spark, SMALL).rdd.getNumPartitions() == -(-size // 1500) > 4
     for name in ("c7_word_at", "c7_word_at_all"):
         assert len(_parts(intervals.QUERIES[name](spark, SMALL))) > 4
+
+
+def test_interpolated_times_and_boundary_strings_in_tasks_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "TASK_TEXT", 1500)
+    for q in (clean.QUERIES["a6_interpolated_times"], metrics.QUERIES["g1_boundary_string"], metrics.QUERIES["g6_ghd"]):
+        plan = q(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
+        assert "RepartitionByExpression [conv_id" in plan
