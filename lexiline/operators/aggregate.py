@@ -12,6 +12,8 @@ from lexiline.sources.timeline import UNITS_SQL, WORDS_SQL, table, units, words
 # fixed values: precedence of boundary kinds, in order
 PRECEDENCE = ("edge", "pause", "turn", "shot", "sentence")
 SAFE_CLEARANCE_MS = 250
+# pairs of a block of a bootstrap, and resamples drawn from it in one row
+DRAW_BLOCK, DRAW_RESAMPLES = 1 << 20, 20
 
 
 def boundary_fusion(b: DataFrame) -> DataFrame:
@@ -99,14 +101,24 @@ def staircase(v: DataFrame) -> DataFrame:
 def bootstrap_interval(deltas: DataFrame, resamples: int = 2000, seed: int = 0) -> DataFrame:
     """Mean paired difference of each key and the 50th and 1950th of the sorted means of 2000 resamples; no interval for one pair.
 
-    Draws are hashes of (key, resample, draw), so they are the same on every run and need no generator state.
+    Draws are hashes of (key, resample, draw), so they are the same on every run and need no generator state. No draw becomes a row: some resamples of a key are one row with the key's differences as an
+    array, and sum what they draw from it. A key of more than DRAW_BLOCK pairs has its differences and its draws in blocks of that size, each met with each, so a row stays bounded.
     """
     w = Window.partitionBy("key").orderBy("pair")
     numbered = deltas.withColumn("i", F.row_number().over(w) - 1)
-    size = deltas.groupBy("key").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
-    draws = size.filter("n > 1").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("key", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    drawn = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "key", "r", "k"), F.col("n")).cast("int")).join(numbered.select("key", "i", "delta"), ["key", "i"])
-    means = drawn.groupBy("key", "r").agg(F.avg("delta").alias("m")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("m", "r")))
+    size = deltas.groupBy("key").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.count_if(F.col("delta").isNull()).alias("nulls"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "delta"))), lambda x: x["delta"])
+    blocks = numbered.groupBy("key", F.expr(f"i div {DRAW_BLOCK}").alias("block")).agg(ordered.alias("part"))
+    parts = blocks.join(size.filter("n > 1").select("key", "n", "nulls"), "key").withColumn("r0", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(DRAW_RESAMPLES))))
+    parts = parts.withColumn("k0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAW_BLOCK).cast("long")))).repartition(4 * -(-resamples // DRAW_RESAMPLES), "key", "block", "r0", "k0")
+    draws = F.sequence(F.col("k0"), F.least(F.col("k0") + DRAW_BLOCK, F.col("n")) - 1)
+    place = lambda r, k: (F.pmod(F.xxhash64(F.lit(seed), "key", r, k), F.col("n")) - F.col("block") * DRAW_BLOCK).cast("int")
+    got = lambda r, k: F.get("part", place(r, k))
+    total = lambda r: F.aggregate(draws, F.lit(0.0), lambda s, k: s + F.coalesce(got(r, k), F.lit(0.0)))
+    known = lambda r: F.aggregate(draws, F.lit(0).cast("long"), lambda s, k: s + F.when(got(r, k).isNotNull(), 1).otherwise(0).cast("long"))
+    each = F.transform(F.sequence(F.col("r0"), F.least(F.col("r0") + DRAW_RESAMPLES, F.lit(resamples)) - 1), lambda r: F.struct(r.alias("r"), total(r).alias("s"), F.when(F.col("nulls") > 0, known(r)).alias("c")))
+    drawn = parts.select("key", "n", "nulls", F.inline(each)).groupBy("key", "r").agg(F.sum("s").alias("s"), F.when(F.max("nulls") > 0, F.sum("c")).otherwise(F.max("n")).alias("c"))
+    means = drawn.select("key", "r", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("m")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("m", "r")))
     ends = means.groupBy("key").agg(F.max(F.when(F.col("rank") == resamples // 40, F.col("m"))).alias("low"), F.max(F.when(F.col("rank") == resamples - resamples // 40, F.col("m"))).alias("high"))
     return size.join(ends, "key", "left").select("key", "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiline.operators import clean, intervals, metrics
+from lexiline.operators import aggregate, clean, intervals, metrics
 from lexiline.sources import timeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +28,24 @@ def test_interpolated_times_and_boundary_strings_in_tasks_of_any_size(spark, mon
         plan = q(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
         assert "RepartitionByExpression [conv_id" in plan
+
+
+def test_bootstrap_in_blocks_equals_draws_joined(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, i * 3, None if k == "b" and i % 4 == 0 else float(rng.randrange(-5, 6))) for k, n in (("a", 41), ("b", 23), ("c", 1)) for i in range(n)]
+    deltas = spark.createDataFrame(rows, "key string, pair long, delta double")
+    monkeypatch.setattr(aggregate, "DRAW_BLOCK", 16)
+    monkeypatch.setattr(aggregate, "DRAW_RESAMPLES", 7)
+    df = aggregate.bootstrap_interval(deltas, 80)
+    got = {r["key"]: r for r in df.collect()}
+    draws = spark.range(80).selectExpr("cast(id as int) r").crossJoin(deltas.groupBy("key").agg(F.count("*").alias("n"))).selectExpr("key", "n", "r", "explode(sequence(0L, n - 1)) k")
+    drawn = {}
+    for r in draws.select("key", "r", F.pmod(F.xxhash64(F.lit(0), "key", "r", "k"), "n").alias("i")).collect():
+        drawn.setdefault((r["key"], r["r"]), []).append(r["i"])
+    for key in "ab":
+        d = [x for k, _, x in rows if k == key]
+        means = sorted(sum(y) / len(y) for r in range(80) for y in [[d[i] for i in drawn[key, r] if d[i] is not None]])
+        assert (got[key]["low"], got[key]["high"]) == (round(means[1], 6), round(means[77], 6))
+    assert got["c"]["low"] is None
