@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiline.operators import aggregate, clean, intervals, metrics
+from lexiline.operators import aggregate, clean, intervals, metrics, portfolio, retrieval
 from lexiline.sources import timeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,3 +49,34 @@ def test_bootstrap_in_blocks_equals_draws_joined(spark, monkeypatch):
         means = sorted(sum(y) / len(y) for r in range(80) for y in [[d[i] for i in drawn[key, r] if d[i] is not None]])
         assert (got[key]["low"], got[key]["high"]) == (round(means[1], 6), round(means[77], 6))
     assert got["c"]["low"] is None
+
+
+def test_hybrid_search_scores_few_pairs_and_loses_none(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    some = [[float(rng.randrange(-3, 4)) / 8 for _ in range(6)] for _ in range(12)]
+    vecs = [(i, rng.choice(some) if i % 3 else [rng.uniform(-0.3, 0.3) for _ in range(6)]) for i in range(400)] + [(400, None), (401, [0.1] * 5), (402, [float("nan")] * 6), (403, [None] * 6)]
+    v = spark.createDataFrame(vecs, "id long, vec array<double>")
+    q = v.filter("id % 40 = 0").selectExpr("id as query_id", "vec as query_vec")
+    t = spark.createDataFrame([(qi, i, float(rng.randrange(1, 9))) for qi in (0, 80) for i in range(0, 400, 7)], "query_id long, id long, score double")
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    got = {}
+    for cursor in (0, 16):
+        for r in retrieval.hybrid(t, v, q, cursor).collect():
+            got.setdefault(r["query_id"], {})[r["position"]] = (r["id"], r["score"])
+    best = t.groupBy("query_id").agg(F.max("score").alias("top"))
+    all_ = v.crossJoin(q).join(t, ["query_id", "id"], "left").join(best, "query_id", "left").select("query_id", "id", F.round(0.65 * (retrieval.dot(F.col("vec"), F.col("query_vec")) + 1) / 2 + 0.35 * F.coalesce(F.col("score") / F.col("top"), F.lit(0.0)), 4).alias("s"))
+    want = {}
+    for r in all_.orderBy("query_id", F.desc("s"), "id").collect():
+        want.setdefault(r["query_id"], []).append((r["id"], r["s"]))
+    for query, rows in want.items():
+        assert [str(got[query][i + 1]) for i in range(32)] == [str(x) for x in rows[:32]]
+    assert len(want) == 11
+    assert retrieval._nearest(v.filter("id < 400"), q.filter("query_id < 400"), 16).count() < 10 * 40
+
+
+def test_tables_of_a_review_do_not_go_back_to_words(spark):
+    for name, df in portfolio._tables(spark, SMALL).items():
+        assert "conversations" not in df._jdf.queryExecution().optimizedPlan().toString() and "conv_id" not in df._jdf.queryExecution().optimizedPlan().toString(), name
