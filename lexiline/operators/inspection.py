@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiline.functions.text import strip
-from lexiline.operators.source_index import _REGIONS, _index, _placed, _stored
+from lexiline.operators.source_index import _REGIONS, _index, _placed
+from lexiline.plans.shared import stored
 
 # fixed values: bounds of pages and queries, and what calls ask for where they don't say
 BROWSE_MOST, SEARCH_MOST, READ_MOST, READ_CHARS, QUERY_CHARS = 16, 12, 80, 16_000, 512
@@ -129,7 +130,7 @@ PAGE = 40
 def _trace(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """A trace for each source, that browses everything, searches once and reads all in pages; a fault in some, by the remainder of the source."""
     grid, nodes = _index(s, d)
-    nodes = _stored(s, nodes.select("source_id", "id", "kind", "ordinal", "child_ids"), "nodes")
+    nodes = stored(nodes.select("source_id", "id", "kind", "ordinal", "child_ids"), "nodes")
     odd = lambda k, fault, c: F.when(F.col("source_id") % 17 == k, fault).otherwise(c)
     null = lambda t: F.lit(None).cast(t)
     names = [x.rsplit(" ", 1) for x in CALLS.split(", ")]

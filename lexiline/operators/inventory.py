@@ -18,7 +18,12 @@ UNVERIFIED, REJECTED, PASSED, OPEN = "Unverified", "Rejected by text review", "P
 def hierarchy(grid: DataFrame) -> DataFrame:
     """(source_id, id, kind, parent, ordinal, children, first_sentence, last_sentence, start_ms, end_ms, sentences): regions of bounded size, sections of eight
     regions, and the episode. Keywords, previews and vectors of nodes are keywords(), preview() and pooled_weighted() over the same ranges."""
-    r = region_partition(grid).select("source_id", "sentence_id", F.col("region").alias("ordinal")).join(grid.select("source_id", "sentence_id", "start_ms", "end_ms"), ["source_id", "sentence_id"])
+    return hierarchy_of(region_partition(grid).join(grid.select("source_id", "sentence_id", "start_ms", "end_ms"), ["source_id", "sentence_id"]))
+
+
+def hierarchy_of(sentences: DataFrame) -> DataFrame:
+    """hierarchy() of sentences (source_id, sentence_id, start_ms, end_ms, region)."""
+    r = sentences.withColumn("ordinal", F.col("region"))
     regions = r.groupBy("source_id", "ordinal").agg(
         F.min("sentence_id").alias("first_sentence"), F.max("sentence_id").alias("last_sentence"), F.min_by("start_ms", "sentence_id").alias("start_ms"), F.max_by("end_ms", "sentence_id").alias("end_ms"), F.count("*").alias("sentences"), F.lit(0).cast("long").alias("children"),
     )

@@ -2,6 +2,8 @@
 
 Both work level by level from below. Counts of words add up from regions to sections to the episode, vectors are means of those of the children weighted by
 sentences, and previews look up three sentences of a node by place, so no level reads all sentences again. What is gathered into one row are a node's children and keywords.
+
+Texts and vectors of sentences travel once, to the tasks of their source (so many that each has some bytes of text): all counts and means are made there, and neither words nor components are shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lexiline.functions.text import strip
 from lexiline.operators import inventory
-from lexiline.operators.inventory import SECTION_REGIONS, hierarchy
+from lexiline.operators.inventory import SECTION_REGIONS, hierarchy_of
 from lexiline.operators.retrieval import _TOK, tokens
-from lexiline.operators.segment import GRID_SQL, region_partition, sentence_grid
-from lexiline.plans.shared import shared_folder
-from lexiline.sources.timeline import by_source, table, words
+from lexiline.operators.segment import GRID_SQL, placed_regions, sentence_grid
+from lexiline.plans.ordered import as_of
+from lexiline.plans.shared import stored
+from lexiline.sources.timeline import by_source, table, text_tasks, words
 
 # fixed values: words of a node, characters of each part of a preview and what stands between parts, how far norms and means of vectors may be off
 KEYWORDS, PREVIEW_CHARS, BETWEEN = 10, 240, " … "
@@ -36,7 +39,7 @@ def _placed(sentences: DataFrame) -> DataFrame:
 
 
 def _keywords(leaves: DataFrame) -> DataFrame:
-    """(source_id, kind, at, keywords) of sentences (source_id, at, text) of regions."""
+    """(source_id, kind, at, keywords) of sentences (source_id, at, text) of regions. Where these are dealt by source, nothing is shuffled."""
     n = leaves.select("source_id", "at", F.explode(tokens(F.col("text"))).alias("word")).groupBy("source_id", "at", "word").agg(F.count("*").alias("n"))
     all_ = _levels(n).groupBy("source_id", "kind", "at", "word").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("source_id", "kind", "at").orderBy(F.desc("n"), "word"))
@@ -49,47 +52,48 @@ def _previews(ranges: DataFrame, placed: DataFrame) -> DataFrame:
     """(source_id, kind, at, preview) of ranges (source_id, kind, at, lo, hi) of places."""
     n = F.col("hi") - F.col("lo") + 1
     three = F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 2).cast("long"), (n - 1).cast("long")))
-    wanted = ranges.select("source_id", "kind", "at", "lo", F.posexplode(three).alias("j", "off")).withColumn("k", (F.col("lo") + F.col("off")).cast("int"))
-    part = F.substring(strip("text"), 1, PREVIEW_CHARS)
-    met = wanted.join(placed.select("source_id", "k", "text"), ["source_id", "k"])
-    return met.groupBy("source_id", "kind", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", part.alias("text")))), lambda x: x["text"]), BETWEEN).alias("preview"))
+    wanted = ranges.select("source_id", "kind", "at", "lo", F.posexplode(three).alias("j", "off")).withColumn("k", F.col("lo") + F.col("off"))
+    met = wanted.join(placed.select("source_id", "k", F.substring(strip("text"), 1, PREVIEW_CHARS).alias("part")), ["source_id", "k"])
+    return met.groupBy("source_id", "kind", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "part"))), lambda x: x["part"]), BETWEEN).alias("preview"))
 
 
 def _means(children: DataFrame) -> DataFrame:
-    """(source_id, at, dim, x): unit vectors of weighted means of children (source_id, at, vec, weight); none where the mean is of no length."""
-    d = children.select("source_id", "at", "weight", F.posexplode("vec").alias("dim", "x")).groupBy("source_id", "at", "dim").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
-    length = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("source_id", "at")))
-    return d.withColumn("length", length).filter("length > 0 and not isnan(length)").select("source_id", "at", "dim", (F.col("m") / F.col("length")).alias("x"))
-
-
-def _vectors(means: DataFrame) -> DataFrame:
-    return means.groupBy("source_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("embedding"))
+    """(source_id, at, embedding): unit vectors of weighted means of children (source_id, at, vec, weight); none where the mean is of no length. Where children are dealt by source, nothing is shuffled."""
+    x = F.col("x").cast("double")
+    d = children.select("source_id", "at", "weight", F.posexplode("vec").alias("dim", "x")).groupBy("source_id", "at", "dim").agg((F.sum(x * F.col("weight")) / F.sum("weight")).alias("m"))
+    ms = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda v: v["m"])
+    v = d.groupBy("source_id", "at").agg(ms.alias("ms")).withColumn("length", F.sqrt(F.aggregate("ms", F.lit(0.0), lambda a, m: a + F.coalesce(m * m, F.lit(0.0)))))
+    return v.filter("length > 0 and not isnan(length)").select("source_id", "at", F.transform("ms", lambda m: m / F.col("length")).alias("embedding"))
 
 
 def source_index(grid: DataFrame, unit_vectors: DataFrame) -> DataFrame:
     """The nodes of each source (NODES) from sentences (source_id, sentence_id, start_ms, end_ms, text) and vectors of their parts (source_id, sentence_id, vec): regions of bounded
     size, sections of eight regions, the episode. A source whose vectors have a mean of no length has nodes without one."""
-    at = region_partition(grid).select("source_id", "sentence_id", F.col("region").alias("at"))
-    leaves = at.join(grid.select("source_id", "sentence_id", "text"), ["source_id", "sentence_id"])
-    placed = _placed(grid)
-    spans = at.join(placed.select("source_id", "sentence_id", "k"), ["source_id", "sentence_id"]).groupBy("source_id", "at").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    tasks = text_tasks(grid, "text")
+    placed = stored(placed_regions(grid, tasks), "placed").withColumn("at", F.col("region"))
+    spans = placed.groupBy("source_id", "at").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     ranges = _levels(spans).groupBy("source_id", "kind", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    region_vectors = _vectors(_means(at.join(unit_vectors, ["source_id", "sentence_id"]).withColumn("weight", F.lit(1))))
+    # regions come to the vectors of sentences within the tasks of a source
+    at = placed.select("source_id", "sentence_id", "at").repartition(tasks, "source_id")
+    parts = as_of(unit_vectors.select("source_id", "sentence_id", "vec").repartition(tasks, "source_id"), at, ["source_id"], "sentence_id", "sentence_id", ["at"])
+    parts = parts.filter("right_sentence_id = sentence_id").select("source_id", F.col("right_at").alias("at"), "vec", F.lit(1).alias("weight"))
+    region_vectors = stored(_means(parts), "regions")
     sized = spans.select("source_id", "at", (F.col("hi") - F.col("lo") + 1).alias("weight"))
     section_children = region_vectors.join(sized, ["source_id", "at"]).select("source_id", F.expr(UP["section"]).alias("at"), F.col("embedding").alias("vec"), "weight")
-    section_vectors = _vectors(_means(section_children))
+    section_vectors = _means(section_children.repartition(tasks, "source_id"))
     weights = sized.groupBy("source_id", F.expr(UP["section"]).alias("at")).agg(F.sum("weight").alias("weight"))
-    episode_vectors = _vectors(_means(section_vectors.join(weights, ["source_id", "at"]).select("source_id", F.lit(0).cast("long").alias("at"), F.col("embedding").alias("vec"), "weight")))
+    episode_vectors = _means(section_vectors.join(weights, ["source_id", "at"]).select("source_id", F.lit(0).cast("long").alias("at"), F.col("embedding").alias("vec"), "weight").repartition(tasks, "source_id"))
     vectors = None
     for kind, v in (("region", region_vectors), ("section", section_vectors), ("episode", episode_vectors)):
         v = v.select("source_id", F.lit(kind).alias("kind"), F.col("at").cast("long").alias("at"), "embedding")
         vectors = v if vectors is None else vectors.unionByName(v)
-    h = hierarchy(grid).withColumn("at", F.col("ordinal"))
+    h = hierarchy_of(placed).withColumn("at", F.col("ordinal"))
     sections = h.filter("kind = 'section'").groupBy("source_id").agg(F.count("*").alias("n_sections"))
     children = h.filter("parent is not null").groupBy("source_id", F.col("parent").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]).alias("child_ids"))
     place = F.when(F.col("kind") == "episode", 0).when(F.col("kind") == "section", 1 + F.col("at")).otherwise(1 + F.col("n_sections") + F.col("at"))
     key = ["source_id", "kind", "at"]
-    out = h.drop("children").join(sections, "source_id").join(children, ["source_id", "id"], "left").join(_keywords(leaves), key, "left").join(_previews(ranges, placed), key, "left").join(vectors, key, "left")
+    words_of = _keywords(placed.select("source_id", "at", "text").repartition(tasks, "source_id"))
+    out = h.drop("children").join(sections, "source_id").join(children, ["source_id", "id"], "left").join(words_of, key, "left").join(_previews(ranges, placed), key, "left").join(vectors, key, "left")
     none = F.array().cast("array<string>")
     return out.withColumns({"place": place.cast("long"), "child_ids": F.coalesce("child_ids", none), "keywords": F.coalesce("keywords", none)}).select(*NODES)
 
@@ -102,9 +106,13 @@ def source_index_violations(nodes: DataFrame, sentences: DataFrame) -> DataFrame
     episode, a section or a region is incomplete (id null). Each level is held against the one below as it is stated there, so words of a node above regions are those that its regions own."""
     rank = F.when(F.col("kind") == "episode", 0).when(F.col("kind") == "section", 1).otherwise(2)
     of_kind, of_source = Window.partitionBy("source_id", "kind").orderBy("place"), Window.partitionBy("source_id").orderBy("place")
-    n = nodes.withColumns({"at": (F.row_number().over(of_kind) - 1).cast("long"), "rank": rank, "same": F.count("*").over(Window.partitionBy("source_id", "id"))})
+    tasks = text_tasks(sentences, "text")
+    at = (F.row_number().over(of_kind) - 1).cast("long")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    whole = F.coalesce((F.abs(length - 1) <= F.greatest(F.lit(UNIT_OFF), UNIT_OFF * length)) & (F.size("embedding") > 0) & ~F.isnan(length), F.lit(False))
+    n = nodes.withColumn("whole", whole).drop("embedding").repartition(tasks, "source_id").withColumns({"at": at, "rank": rank, "same": F.count("*").over(Window.partitionBy("source_id", "id"))})
     n = n.withColumn("before", F.lag("rank").over(of_source))
-    placed = _placed(sentences)
+    placed = stored(_placed(sentences.repartition(tasks, "source_id")), "placed")
     total = placed.groupBy("source_id").agg(F.max("k").alias("top"))
     find = lambda c, k: placed.select("source_id", F.col("sentence_id").alias(c), F.col("k").alias(k))
     regions = n.filter("kind = 'region'").join(find("first_sentence", "lo"), ["source_id", "first_sentence"], "left").join(find("last_sentence", "hi"), ["source_id", "last_sentence"], "left")
@@ -113,7 +121,8 @@ def source_index_violations(nodes: DataFrame, sentences: DataFrame) -> DataFrame
     # what each level should be, from the regions as stated
     spans = regions.filter("lo <= hi").select("source_id", "at", "lo", "hi", F.col("sentences").alias("weight"))
     ranges = _levels(spans).groupBy("source_id", "kind", "at").agg(F.min_by("lo", "leaf").alias("lo"), F.max_by("hi", "leaf").alias("hi"))
-    leaves = spans.select("source_id", "at", F.explode(F.sequence("lo", "hi")).alias("k")).join(placed.select("source_id", "k", "text"), ["source_id", "k"])
+    claims = spans.select("source_id", "at", "lo", "hi").repartition(tasks, "source_id").select("source_id", "at", F.explode(F.sequence("lo", "hi")).alias("k"))
+    leaves = as_of(claims, placed.select("source_id", "k", "text").repartition(tasks, "source_id"), ["source_id"], "k", "k", ["text"]).filter("right_k = k").select("source_id", "at", F.col("right_text").alias("text"))
     ends = lambda c, *values: placed.select("source_id", F.col("k").alias(c), *[F.col(v).alias(f"own_{v}" if v != "sentence_id" else f"own_{c}") for v in values])
     key = ["source_id", "kind", "at"]
     none = F.array().cast("array<string>")
@@ -124,25 +133,25 @@ def source_index_violations(nodes: DataFrame, sentences: DataFrame) -> DataFrame
     j = n.join(should, key, "left").join(children, key, "left")
     name = F.when(F.col("kind") == "episode", "episode").otherwise(F.format_string("%s-%04d", "kind", F.col("at") + 1))
     parent = F.when(F.col("kind") == "section", "episode").when(F.col("kind") == "region", F.format_string("section-%04d", F.expr(UP["section"]) + 1))
-    known, length = F.col("lo").isNotNull(), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    known = F.col("lo").isNotNull()
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     rules = {
         "duplicate": F.col("same") > 1, "order": (F.col("rank") < F.col("before")) | (F.col("rank") == 0) & (F.col("before") == 0), "name": ~F.col("id").eqNullSafe(name), "ordinal": ~F.col("ordinal").eqNullSafe(F.col("at")),
         "parent": ~F.col("parent").eqNullSafe(parent), "children": ~F.coalesce("child_ids", none).eqNullSafe(F.coalesce("own_children", none)), "count": known & ~F.col("sentences").eqNullSafe(F.col("hi") - F.col("lo") + 1),
         "span": known & (F.col("kind") != "region") & (differs("first_sentence", "own_lo") | differs("last_sentence", "own_hi")), "times": known & (differs("start_ms", "own_start_ms") | differs("end_ms", "own_end_ms")),
         "keywords": known & ~F.coalesce("keywords", none).eqNullSafe(F.coalesce("own_keywords", none)), "preview": known & differs("preview", "own_preview"),
-        "vector": ~F.coalesce((F.abs(length - 1) <= F.greatest(F.lit(UNIT_OFF), UNIT_OFF * length)) & (F.size("embedding") > 0) & ~F.isnan(length), F.lit(False)),
+        "vector": ~F.col("whole"),
     }
     of_regions = {"unknown": F.col("lo").isNull() | F.col("hi").isNull(), "partition": F.coalesce((F.col("lo") != F.col("ended") + 1) | (F.col("hi") < F.col("lo")), F.lit(False)), "coverage": F.col("next").isNull() & ~F.col("hi").eqNullSafe(F.col("top"))}
     found = lambda which: F.explode(F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in which.items()]), lambda x: x.isNotNull())).alias("rule")
     out = j.select("source_id", "id", found(rules)).unionByName(regions.select("source_id", "id", found(of_regions)))
-    # means: children as stated, by component
-    own = lambda kind: n.filter(F.col("kind") == kind).select("source_id", "at", F.col("embedding").alias("vec"), F.col("sentences").alias("weight"))
-    means = _means(own("region").withColumn("at", F.expr(UP["section"]))).withColumn("kind", F.lit("section")).unionByName(_means(own("section").withColumn("at", F.lit(0).cast("long"))).withColumn("kind", F.lit("episode")))
-    stated = n.filter("kind <> 'region'").select("source_id", "kind", "at", "id", F.posexplode_outer("embedding").alias("dim", "v"))
-    off = F.coalesce(F.abs(F.col("v") - F.col("x")) > MEAN_OFF + MEAN_OFF * F.abs("x"), F.lit(True))
-    bad = stated.join(means, [*key, "dim"], "left").groupBy(*key, "id").agg(F.bool_or(off).alias("off"), F.count("*").alias("size"))
-    bad = bad.join(means.groupBy(*key).agg(F.count("*").alias("dims")), key, "left").filter(F.col("off") | ~F.col("size").eqNullSafe(F.col("dims")))
+    # means: children as stated
+    v = nodes.select("source_id", "kind", "id", "place", "sentences", "embedding").repartition(tasks, "source_id").withColumn("at", at)
+    own = lambda kind, up: v.filter(F.col("kind") == kind).select("source_id", up.alias("at"), F.col("embedding").alias("vec"), F.col("sentences").alias("weight"))
+    means = _means(own("region", F.expr(UP["section"]))).withColumn("kind", F.lit("section")).unionByName(_means(own("section", F.lit(0).cast("long"))).withColumn("kind", F.lit("episode")))
+    stated = v.filter("kind <> 'region'").select(*key, "id", "embedding").join(means.withColumnRenamed("embedding", "mean"), key, "left")
+    off = F.exists(F.arrays_zip("embedding", "mean"), lambda x: F.coalesce(F.abs(x["embedding"] - x["mean"]) > MEAN_OFF + MEAN_OFF * F.abs(x["mean"]), F.lit(True)))
+    bad = stated.filter(F.coalesce((F.size("embedding") != F.size("mean")) | off, F.lit(True)))
     out = out.unionByName(bad.select("source_id", "id", F.lit("mean").alias("rule")))
     per = total.select("source_id").unionByName(n.select("source_id")).distinct().join(n.groupBy("source_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in UP]), "source_id", "left")
     incomplete = per.filter(" or ".join(f"coalesce({k}, 0) = 0" for k in UP)).select("source_id", F.lit(None).cast("string").alias("id"), F.lit("incomplete").alias("rule"))
@@ -152,18 +161,12 @@ def source_index_violations(nodes: DataFrame, sentences: DataFrame) -> DataFrame
 # ---- queries -------------------------------------------------------------------------------------------------
 
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    grid = _stored(s, sentence_grid(words(s, d)).select("source_id", "sentence_id", "start_ms", "end_ms", "text"), "grid")
-    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("vec"))
+    grid = stored(sentence_grid(words(s, d)).select("source_id", "sentence_id", "start_ms", "end_ms", "text"), "grid")
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
     parts = grid.select("source_id", "sentence_id", ((F.col("source_id") * 7 + F.col("sentence_id")) % 500).alias("v")).join(vectors, "v").drop("v")
     return grid, source_index(grid, parts)
 
 
-def _stored(s: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(s)}/{name}"
-    df.write.parquet(path)
-    return s.read.schema(df.schema).parquet(path)
-
-
 def e6_source_index(s: SparkSession, d: str) -> DataFrame:
     weighed = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return _index(s, d)[1].select("source_id", "id", "kind", "parent", "ordinal", "place", F.array_join("child_ids", ",").alias("child_ids"), "first_sentence", "last_sentence", "start_ms", "end_ms", "sentences", F.array_join("keywords", " ").alias("keywords"), "preview", F.round(weighed, 4).alias("weighed"))
@@ -185,7 +188,7 @@ def _marred(nodes: DataFrame) -> DataFrame:
 
 def v5_source_index(s: SparkSession, d: str) -> DataFrame:
     grid, nodes = _index(s, d)
-    return source_index_violations(_stored(s, _marred(nodes), "nodes"), grid)
+    return source_index_violations(stored(_marred(nodes), "nodes"), grid)
 
 
 QUERIES = {"e6_source_index": e6_source_index, "v5_source_index": v5_source_index}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from lexiline.operators import aggregate, clean, intervals, metrics, portfolio, retrieval
+from lexiline.operators import aggregate, clean, intervals, metrics, portfolio, retrieval, source_index
+from lexiline.plans.shared import stored
 from lexiline.sources import timeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,3 +83,22 @@ def test_hybrid_search_scores_few_pairs_and_loses_none(spark, monkeypatch):
 def test_tables_of_a_review_do_not_go_back_to_words(spark):
     for name, df in portfolio._tables(spark, SMALL).items():
         assert "conversations" not in df._jdf.queryExecution().optimizedPlan().toString() and "conv_id" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def _dealt_by(df):
+    """What the shuffles of a plan are dealt by."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_index_shuffles_neither_words_nor_components(spark):
+    rows = [(s, k, k * 10, k * 10 + 9, f"Word {s} and other words {k}.") for s in (1, 2) for k in range(70)]
+    grid = spark.createDataFrame(rows, "source_id long, sentence_id long, start_ms long, end_ms long, text string")
+    parts = spark.createDataFrame([(s, k, [1.0 + s, float(k)]) for s, k, *_ in rows if k % 9], "source_id long, sentence_id long, vec array<double>")
+    nodes = stored(source_index.source_index(grid, parts), "nodes")
+    for df in (source_index.source_index(grid, parts), source_index.source_index_violations(nodes, grid)):
+        assert not [x for x in _dealt_by(df) if "word#" in x or "dim#" in x or "m#" in x]
+    assert nodes.count() == 2 * (3 + 1 + 1) and source_index.source_index_violations(nodes, grid).count() == 0
+    # a part of no known sentence counts nowhere
+    more = parts.unionByName(spark.createDataFrame([(1, 500, [9.0, 9.0]), (1, -1, [9.0, 9.0]), (3, 0, [1.0, 1.0])], parts.schema))
+    key = lambda df: sorted((r["source_id"], r["id"], [round(x, 9) for x in r["embedding"]]) for r in df.collect())
+    assert key(source_index.source_index(grid, more)) == key(nodes)
