@@ -1,7 +1,8 @@
 """Rules over many tables as data, checked in one pass of each table.
 
-A table's catalogue says which identities a row has, which ones it needs, and what breaks it by itself. Each table is scanned once: every row gives its facts, which are written; needs then meet identities in one join
-for all rules of all tables, rather than in a join for each rule.
+A table's catalogue says which identities a row has, which ones it needs, and what breaks it by itself. Every row gives its facts; needs then meet identities in one window over
+(scope, space, key) for all rules of all tables, rather than in a join for each rule. Facts are many times the rows that they are of: either they are written once, or, where all tables are dealt by scope, they
+stay in the tasks where they are made, and only rows were shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiline.plans.shared import shared_folder
@@ -90,20 +91,38 @@ def facts(tables: dict[str, DataFrame], catalogue: dict[str, tuple[str, list]],
     return reduce(DataFrame.unionByName, out)
 
 
-def violations(tables: dict[str, DataFrame], catalogue: dict[str, tuple[str, list]], scope: str) -> DataFrame:
-    """(scope, subject, row, rule), each once, of what breaks a catalogue's rules. Rows of a null scope see no identity. For a rule of distinctness the row is the identity, its parts joined by commas."""
+def violations(tables: dict[str, DataFrame], catalogue: dict[str, tuple[str, list]], scope: str, dealt: bool = False) -> DataFrame:
+    """(scope, subject, row, rule), each once, of what breaks a catalogue's rules. Rows of a null scope see no identity. For a rule of distinctness the row is the identity, its parts joined by commas.
+    `dealt` says that the tables come dealt by scope, in equal numbers of tasks: then no fact is written, nor shuffled to meet another of its key."""
     some = next(iter(tables.values()))
-    path = f"{shared_folder(some.sparkSession)}/facts"
-    facts(tables, catalogue, scope).write.partitionBy("role").parquet(path)
-    spark, schema = some.sparkSession, f"{scope} {some.schema[scope].dataType.simpleString()}, subject string, row string, rule string, space string, key array<string>, value string, after string, rest array<string>, lenient boolean, role string"
-    written = spark.read.schema(schema).parquet(path)
+    spark, kind = some.sparkSession, some.schema[scope].dataType.simpleString()
+    schema = f"{scope} {kind}, subject string, row string, rule string, space string, key array<string>, value string, after string, rest array<string>, lenient boolean, role string"
+    if not dealt:
+        path = f"{shared_folder(spark)}/facts"
+        facts(tables, catalogue, scope).write.partitionBy("role").parquet(path)
+
+    def part(keep, where: str) -> DataFrame:
+        """Facts of the rules that `keep` takes, which are those of `where`."""
+        if not dealt:
+            return spark.read.schema(schema).parquet(path).filter(where)
+        kept = {n: (catalogue[n][0], [r for r in catalogue[n][1] if keep(r)]) for n in tables}
+        given = {n: df for n, df in tables.items() if kept[n][1]}
+        return facts(given, kept, scope) if given else spark.createDataFrame([], schema)
+
     told = [scope, "subject", "row", "rule"]
-    has = written.filter("role = 'has' and not exists(key, p -> p is null)").select(scope, "space", "key", "value", "subject", "rule")
-    known, at = has.select(scope, "space", "key").distinct(), [scope, "space", "key"]
-    needs = written.filter("role = 'needs'")
-    absent = needs.filter("not lenient").join(known, at, "left_anti").select(*told)
-    beyond = needs.filter("after is not null").select(*told, "space", "key", "after", "rest").join(has.select(*at, "value").distinct(), at).select(*told, F.col("after").alias("space"), F.concat(F.array("value"), "rest").alias("key"))
-    twice = has.filter("rule is not null").groupBy(scope, "subject", "rule", "space", "key").agg(F.count("*").alias("n")).filter("n > 1").select(scope, "subject", F.array_join("key", ",").alias("row"), "rule")
-    present = written.filter("role = 'lacks'").join(known, at, "left_semi").select(*told)
-    found = [written.filter("role = 'breaks'").select(*told), present, absent, beyond.join(known, at, "left_anti").select(*told), twice.select(*told)]
-    return reduce(DataFrame.unionByName, found).distinct()
+    at = [scope, "space", "key"]
+    identity = "not exists(key, p -> p is null)"
+    met = part(lambda r: isinstance(r, (Has, Lacks)) or isinstance(r, Needs) and not r.lenient, "role in ('has', 'lacks') or role = 'needs' and not lenient").filter(f"role <> 'has' or {identity}")
+    has, same = F.col("role") == "has", Window.partitionBy(*at)
+    met = met.select(*told, "space", "key", "role").withColumns({"known": F.max(has).over(same) & F.col(scope).isNotNull(), "ruled": F.count_if(has & F.col("rule").isNotNull()).over(same)})
+    broken = met.filter("role = 'lacks' and known or role = 'needs' and not known").select(*told)
+    twice = met.filter("role = 'has' and rule is not null and ruled > 1").groupBy(*at, "subject", "rule").agg(F.count("*").alias("n")).filter("n > 1").select(scope, "subject", F.array_join("key", ",").alias("row"), "rule")
+    # what is found by a need, and must be an identity of another space
+    further = [r for n in tables for r in catalogue[n][1] if isinstance(r, Needs) and r.after]
+    listed = lambda spaces: f"role = 'has' and space in ({', '.join(repr(x) for x in sorted(spaces)) or 'null'})"
+    of = lambda spaces: part(lambda r: isinstance(r, Has) and r.space in spaces, listed(spaces)).filter(identity)
+    values = of({r.space for r in further}).select(*at, "value").distinct()
+    beyond = part(lambda r: isinstance(r, Needs) and r.after, "role = 'needs' and after is not null").select(*told, "space", "key", "after", "rest").join(values, at).select(*told, F.col("after").alias("space"), F.concat(F.array("value"), "rest").alias("key"))
+    lost = beyond.join(of({r.after for r in further}).select(*at).distinct(), at, "left_anti").select(*told)
+    alone = part(lambda r: isinstance(r, Breaks), "role = 'breaks'").select(*told)
+    return reduce(DataFrame.unionByName, [alone, broken, twice, lost]).distinct()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexiline.operators import aggregate, clean, intervals, metrics, portfolio, retrieval, source_index
+from lexiline.operators import aggregate, clean, evaluation, intervals, metrics, portfolio, retrieval, source_index
+from lexiline.plans import rules
 from lexiline.plans.shared import stored
 from lexiline.sources import timeline
 
@@ -102,3 +104,17 @@ def test_index_shuffles_neither_words_nor_components(spark):
     more = parts.unionByName(spark.createDataFrame([(1, 500, [9.0, 9.0]), (1, -1, [9.0, 9.0]), (3, 0, [1.0, 1.0])], parts.schema))
     key = lambda df: sorted((r["source_id"], r["id"], [round(x, 9) for x in r["embedding"]]) for r in df.collect())
     assert key(source_index.source_index(grid, more)) == key(nodes)
+
+
+def test_facts_of_dealt_tables_stay_where_they_are(spark, monkeypatch):
+    tables = evaluation._tables(spark, SMALL)
+    met = rules.facts(tables, evaluation.CATALOGUE, "bundle").withColumn("n", F.count("*").over(Window.partitionBy("bundle", "space", "key")))
+    assert not [x for x in _dealt_by(met) if "key#" in x]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(evaluation.bundle_violations(tables))
+
+    def refused(_):
+        raise AssertionError("facts are written")
+
+    monkeypatch.setattr(rules, "shared_folder", refused)
+    assert rows(evaluation.bundle_violations(tables, dealt=True)) == want and len(want) > 500
