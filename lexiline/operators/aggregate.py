@@ -126,20 +126,18 @@ def bootstrap_interval(deltas: DataFrame, resamples: int = 2000, seed: int = 0)
 # ---- queries -----------------------------------------------------------------------------------------------
 
 def boundaries(s: SparkSession, d: str) -> DataFrame:
-    w = words(s, d)
-    g = sentence_grid(w)
+    return boundaries_of(words(s, d))
+
+
+def boundaries_of(w: DataFrame) -> DataFrame:
+    """Boundaries of words: each sentence and each word gives all of its own at once, so words are gone through twice, not once for each kind."""
     none = F.lit(None).cast("long")
-    parts = [
-        g.select("source_id", F.col("start_ms").alias("ms"), F.lit("sentence").alias("kind"), (F.col("sentence_id") % 7 / 8).alias("score"), "sentence_id", F.lit(0).alias("ins")),
-        g.filter("opens_turn").select("source_id", F.col("start_ms").alias("ms"), F.lit("turn").alias("kind"), F.lit(0.5).alias("score"), "sentence_id", F.lit(1).alias("ins")),
-        g.filter("pause_after_ms >= 700").select("source_id", F.col("end_ms").alias("ms"), F.lit("pause").alias("kind"), F.lit(0.25).alias("score"), none.alias("sentence_id"), F.lit(2).alias("ins")),
-        w.filter("ord % 17 = 5").select("source_id", F.col("start_ms").alias("ms"), F.lit("shot").alias("kind"), F.lit(1.0).alias("score"), none.alias("sentence_id"), F.lit(3).alias("ins")),
-        w.filter("ord = 0").select("source_id", F.col("start_ms").alias("ms"), F.lit("edge").alias("kind"), F.lit(0.0).alias("score"), none.alias("sentence_id"), F.lit(4).alias("ins")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = lambda ms, kind, score, sentence, ins: F.struct(F.col(ms).alias("ms"), F.lit(kind).alias("kind"), score.cast("double").alias("score"), sentence.alias("sentence_id"), F.lit(ins).alias("ins"))
+    own = F.col("sentence_id")
+    of_sentence = F.array(one("start_ms", "sentence", own % 7 / 8, own, 0), F.when(F.col("opens_turn"), one("start_ms", "turn", F.lit(0.5), own, 1)), F.when(F.col("pause_after_ms") >= 700, one("end_ms", "pause", F.lit(0.25), none, 2)))
+    of_word = F.array(F.when(F.expr("ord % 17 = 5"), one("start_ms", "shot", F.lit(1.0), none, 3)), F.when(F.col("ord") == 0, one("start_ms", "edge", F.lit(0.0), none, 4)))
+    told = lambda df, which: df.select("source_id", F.inline(F.array_compact(which)))
+    return told(sentence_grid(w), of_sentence).unionByName(told(w.filter("ord % 17 = 5 or ord = 0"), of_word))
 
 
 BOUNDARIES_SQL = """bnd AS (SELECT source_id, start_ms AS ms, 'sentence' AS kind, sentence_id % 7 / 8 AS score, sentence_id, 0 AS ins FROM grid UNION ALL SELECT source_id, start_ms, 'turn', 0.5, sentence_id, 1 FROM grid WHERE opens_turn UNION ALL SELECT source_id, end_ms, 'pause', 0.25, NULL, 2 FROM grid WHERE pause_after_ms >= 700
@@ -157,8 +155,8 @@ _JUDGE = "jd AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic, CASE WH
 
 def _assembly(s, d):
     """Fused boundaries with their clearance from words that run over them, and whether they need a look."""
-    b = boundary_fusion(boundaries(s, d))
     w = words(s, d)
+    b = boundary_fusion(boundaries_of(w))
     from lexiline.operators.intervals import clearance
 
     c = clearance(b.select(F.col("source_id"), F.col("ms").alias("t"), "primary_kind", "score"), w.select("source_id", (F.col("start_ms") - 60).alias("start_ms"), (F.col("end_ms") - 60).alias("end_ms")), ["source_id"])

@@ -45,12 +45,15 @@ def inside_test(points: DataFrame, intervals: DataFrame, keys: list[str]) -> Dat
 
 
 def clearance(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """0 inside an interval, else the distance to the nearest one; t itself where there is none."""
-    m = merged(intervals, keys).select(*keys, "start_ms", "end_ms")
-    back = as_of(points, m, keys, "t", "start_ms", ["end_ms"])
-    both = as_of(back.withColumnRenamed("right_start_ms", "b_start").withColumnRenamed("right_end_ms", "b_end"), m, keys, "t", "start_ms", ["end_ms"], forward=True)
-    before, after = F.col("t") - F.col("b_end"), F.col("right_start_ms") - F.col("t")
-    return both.select(*points.columns, F.when(F.col("t") < F.col("b_end"), 0).otherwise(F.coalesce(F.least(before, after), "t")).cast("long").alias("clearance_ms"))
+    """0 inside an interval, else the distance to the nearest one; t itself where there is none.
+
+    Points and merged intervals are united once: the last interval before is carried along in order, the next one in reverse."""
+    m = merged(intervals, keys).select(*keys, F.col("start_ms").alias("__t"), F.struct("start_ms", "end_ms").alias("__v"))
+    both = points.withColumns({"__t": F.col("t"), "__side": F.lit(1)}).unionByName(m.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    carried = lambda *order: F.last("__v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("__b", carried("__t", "__side")).withColumn("__a", carried(F.desc("__t"), "__side")).filter("__side = 1")
+    before, after = F.col("t") - F.col("__b.end_ms"), F.col("__a.start_ms") - F.col("t")
+    return met.select(*points.columns, F.when(F.col("t") < F.col("__b.end_ms"), 0).otherwise(F.coalesce(F.least(before, after), "t")).cast("long").alias("clearance_ms"))
 
 
 def sentence_at(points: DataFrame, grid: DataFrame) -> DataFrame:

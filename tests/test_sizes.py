@@ -118,3 +118,31 @@ def test_facts_of_dealt_tables_stay_where_they_are(spark, monkeypatch):
 
     monkeypatch.setattr(rules, "shared_folder", refused)
     assert rows(evaluation.bundle_violations(tables, dealt=True)) == want and len(want) > 500
+
+
+def test_evidence_goes_through_words_few_times(spark):
+    plan = aggregate.QUERIES["e2_evidence_assembly"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 3 and plan.count("Exchange") <= 3
+
+
+def test_clearance_in_one_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(k, a := rng.randrange(400), a + rng.randrange(1, 30)) for k in (1, 2) for _ in range(9)]
+    at = [(k, rng.choice([rng.randrange(460), *[x for s in spans for x in s[1:]]]), i) for i, k in enumerate([1, 2, 3, None] * 60)]
+    got = intervals.clearance(spark.createDataFrame(at, "key long, t long, i long"), spark.createDataFrame(spans, "key long, start_ms long, end_ms long"), ["key"]).collect()
+
+    def expected(k, t):
+        own = []
+        for _, a, b in sorted(s for s in spans if s[0] == k):
+            if own and a <= own[-1][1]:
+                own[-1] = (own[-1][0], max(b, own[-1][1]))
+            else:
+                own.append((a, b))
+        if any(a <= t < b for a, b in own):
+            return 0
+        gaps = [t - b for a, b in own if a <= t][-1:] + [a - t for a, _ in own if a >= t][:1]
+        return min(gaps) if gaps else t
+
+    assert sorted((r["i"], r["clearance_ms"]) for r in got) == sorted((i, expected(k, t)) for k, t, i in at)
