@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexiline.operators import aggregate, clean, evaluation, intervals, metrics, portfolio, retrieval, source_index
+from lexiline.operators import aggregate, bundle, clean, evaluation, intervals, metrics, portfolio, retrieval, source_index
+from lexiline.operators import compile as plans
 from lexiline.plans import rules
 from lexiline.plans.shared import stored
 from lexiline.sources import timeline
@@ -146,3 +147,49 @@ def test_clearance_in_one_pass(spark):
         return min(gaps) if gaps else t
 
     assert sorted((r["i"], r["clearance_ms"]) for r in got) == sorted((i, expected(k, t)) for k, t, i in at)
+
+
+def test_closure_shuffles_neither_edges_nor_what_was_reached(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(plans, "shared_folder", lambda s: f"file://{tmp_path}/r")
+    monkeypatch.setattr(plans, "LEAST_ROWS", 8, raising=False)
+    written, write = {}, DataFrameWriter.parquet
+
+    def kept(self, path, *a, **k):
+        written[path.split("/")[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = [(i, j) for i in range(1, 60) for j in (i // 2, i // 3, (i * 7) % 60) if j]
+        roots = range(0, 60, 5)
+        got = plans.closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(i, i) for i in roots], "root long, node long")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = {(i, i) for i in roots}
+    while more := {(r, b) for r, n in want for a, b in edges if a == n} - want:
+        want |= more
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    rounds = [p for name, p in written.items() if name.startswith("reached-") and name != "reached-0"]
+    assert len(rounds) > 3 and all(p.count("Exchange hashpartitioning") == 2 for p in rounds)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexiline_")]
+
+
+def test_an_archive_grows_little_by_lines_that_many_bundles_share(spark, tmp_path):
+    import glob
+    import hashlib
+    import os
+
+    body = lambda i: "".join(hashlib.sha256(f"{i}.{k}".encode()).hexdigest() for k in range(20))
+    artifacts = [(1, i, hashlib.sha256(body(i).encode()).hexdigest(), "f", "evidence", None, 9, i, body(i), 1) for i in range(40)]
+    roots = [(r, 1, r % 2, 1) for r in range(300)]
+    edges = [(i, j, 1) for i in (0, 1) for j in range(2, 40)]
+    given = [spark.createDataFrame(x, s) for x, s in ((roots, "run long, source_id long, id long, version long"), (artifacts, "source_id long, id long, sha256 string, fingerprint string, kind string, format string, size_bytes long, created long, body string, version long"), (edges, "id long, input long, version long"))]
+    rows, refused = bundle.bundle_rows(*given, 1)
+    bundle.write_bundles(rows, f"file://{tmp_path}/a", archive=True)
+    read, stated = bundle.read_bundles(spark, f"file://{tmp_path}/a")
+    assert refused.count() == 0 and read.count() == 300 * 39 and bundle.bundle_violations(read, stated).count() == 0
+    assert sum(map(os.path.getsize, glob.glob(f"{tmp_path}/a/bundles/part-*"))) < 300 * 39 * len(body(0)) / 10
