@@ -193,3 +193,31 @@ def test_an_archive_grows_little_by_lines_that_many_bundles_share(spark, tmp_pat
     read, stated = bundle.read_bundles(spark, f"file://{tmp_path}/a")
     assert refused.count() == 0 and read.count() == 300 * 39 and bundle.bundle_violations(read, stated).count() == 0
     assert sum(map(os.path.getsize, glob.glob(f"{tmp_path}/a/bundles/part-*"))) < 300 * 39 * len(body(0)) / 10
+
+
+def test_a_manifest_is_made_of_what_placed_the_lines(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(bundle, "PIECE", 7)
+    monkeypatch.setattr(bundle, "shared_folder", lambda s: f"file://{tmp_path}/m")
+    written, write = {}, DataFrameWriter.json
+
+    def kept(self, path, *a, **k):
+        written[path.split("/")[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "json", kept)
+    got = bundle.k6_manifest(spark, SMALL).count()
+    assert "to_json" not in written["manifest"] and written["manifest"].count("Exchange") == 1
+    rows, stated = bundle.read_bundles(spark, f"file://{tmp_path}/m/bundles")
+    again = bundle.manifest(rows)
+    assert got == stated.count() > 20 and stated.select(sorted(stated.columns)).exceptAll(again.select(sorted(again.columns))).count() == 0 == bundle.bundle_violations(rows, stated).count()
+
+
+def test_artifacts_that_a_source_has_twice_are_in_a_bundle_twice(spark):
+    rows = [(1, i, "h", "f", "media", None, 3, 9 - i, None, 1) for i in (1, 2, 2, 3)] + [(1, 3, "g", "f", "media", None, 5, 1, None, 1), (2, 2, "h", "f", "media", None, 3, 0, None, 1)]
+    artifacts = spark.createDataFrame(rows, "source_id long, id long, sha256 string, fingerprint string, kind string, format string, size_bytes long, created long, body string, version long")
+    roots = spark.createDataFrame([(7, 1, 1, 1), (8, 2, 2, 1), (9, 2, 1, 1), (10, None, 2, 1), (11, 1, None, 1)], "run long, source_id long, id long, version long")
+    got, refused = bundle.bundle_rows(roots, artifacts, spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 1)], "id long, input long, version long"), 1)
+    assert [(r["run"], r["position"], r["id"], r["sha256"]) for r in got.orderBy("run", "position").collect()] == [(7, 0, 3, "g"), (7, 1, 3, "h"), (7, 2, 2, "h"), (7, 3, 2, "h"), (7, 4, 1, "h")]
+    assert sorted(map(str, refused.collect())) == sorted(map(str, [r for r in spark.createDataFrame([(8, 3, "absent"), (9, 1, "absent"), (9, 3, "absent"), (10, 2, "absent"), (10, 3, "absent"), (11, None, "absent")], refused.schema).collect()]))
